@@ -1,8 +1,7 @@
 """Inputs of the queries, derived from the given tables, and the same in SQL.
 
 The 64 numbers of an embedding are 16 unit maps of 2 × 2; label maps are 4 × 4. A vector's
-class gives its pixel labels (two channels) and, for two classes out of three, an
-image-level label.
+class gives its pixel labels (two channels) and, for most classes, an image-level label.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 UNITS, SIDE, GRID = 16, 2, 4
 DENSE_Q = 0.9
 CATEGORIES = ["object", "part", "scene"]
+#: Classes whose images carry no image-level label.
+NO_SCENE = [0, 3, 6, 9]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -90,8 +91,8 @@ def channels(spark, sf) -> DataFrame:
 
 
 def scalars(spark, sf) -> DataFrame:
-    vectors = table(spark, sf, "embeddings").where(F.col("label") % 3 != 0)
-    return vectors.select(
+    vectors = table(spark, sf, "embeddings")
+    return vectors.where(~F.col("label").isin(NO_SCENE)).select(
         F.col("vec_id").alias("img"),
         F.lit("scene").alias("category"),
         F.lit(0).alias("channel"),
@@ -225,7 +226,7 @@ _CTE = {
       SELECT vec_id, 1, py::INT, px::INT,
              CASE WHEN (label + 2 * py + px) % 4 = 0 THEN 0 ELSE (label + 2 * py + px) % 4 + 2 END::INT
       FROM embeddings, range(4) a(py), range(4) b(px))""",
-    "scal": "scal AS (SELECT vec_id AS img, label + 6 AS lab FROM embeddings WHERE label % 3 <> 0)",
+    "scal": "scal AS (SELECT vec_id AS img, label + 6 AS lab FROM embeddings WHERE label NOT IN (0, 3, 6, 9))",
     "labcat": """labcat AS (
       SELECT lab, CASE WHEN lab <= 3 THEN 0 WHEN lab <= 5 THEN 1 ELSE 2 END AS cat
       FROM (SELECT lab FROM seg WHERE lab > 0 UNION SELECT lab FROM scal))""",

@@ -1 +1,162 @@
+"""Tallies and intersection over union."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import fixtures as fx
+from checks import query
+from checks.sources import RECORDS_SQL
+from unitscope.operators import tally
+from unitscope.session import cut
+
+
+@query("h1_image_label_area", fx.sql("SELECT lab AS label, (count(*) * 16)::BIGINT AS area FROM scal GROUP BY lab", "scal"))
+def image_label_area(spark, sf):
+    return tally.image_label_area(fx.scalars(spark, sf), fx.images(spark, sf))
+
+
+@query("h2_pixel_label_area", fx.sql("SELECT lab AS label, count(*) AS area FROM seg WHERE lab > 0 GROUP BY lab", "seg"))
+def pixel_label_area(spark, sf):
+    return tally.pixel_label_area(fx.channels(spark, sf))
+
+
+@query(
+    "h3_activation_gate",
+    fx.sql("SELECT img, unit, round(max(v), 9) AS max_v FROM cell JOIN thr USING (unit) GROUP BY img, unit, t HAVING max(v) > t", "thr"),
+)
+def activation_gate(spark, sf):
+    open_ = tally.gate(fx.blocks(spark, sf), fx.thresholds(spark, sf))
+    return fx.rounded(open_.select("img", "unit", F.array_max("values").alias("max_v")), "max_v")
+
+
+@query("h4_activation_mask", fx.sql("SELECT img, unit, py, px, round(v, 9) AS v FROM mask", "mask"))
+def activation_mask(spark, sf):
+    mask = tally.activation_mask(fx.blocks(spark, sf), fx.thresholds(spark, sf), fx.images(spark, sf))
+    return fx.rounded(mask, "v")
+
+
+@query("h5_unit_area", fx.sql("SELECT unit, sum(area)::BIGINT AS area FROM area GROUP BY unit", "area"))
+def unit_area(spark, sf):
+    return tally.unit_area(fx.hits(spark, sf))
+
+
+@query(
+    "h6_unit_pixel_labels",
+    fx.sql(
+        """SELECT unit, lab AS label, count(*) AS both FROM mask JOIN seg USING (img, py, px)
+           WHERE lab > 0 GROUP BY unit, lab""",
+        "mask",
+        "seg",
+    ),
+)
+def unit_pixel_labels(spark, sf):
+    none = fx.scalars(spark, sf).where(F.lit(False))
+    hits = tally.mask_labels(
+        fx.blocks(spark, sf), fx.thresholds(spark, sf), fx.images(spark, sf), fx.channels(spark, sf), none
+    )
+    return tally.unit_label_pixels(hits)
+
+
+@query(
+    "h7_unit_image_labels",
+    fx.sql("SELECT unit, lab AS label, sum(area)::BIGINT AS both FROM area JOIN scal USING (img) GROUP BY unit, lab", "area", "scal"),
+)
+def unit_image_labels(spark, sf):
+    none = fx.channels(spark, sf).where(F.lit(False))
+    hits = tally.mask_labels(
+        fx.blocks(spark, sf), fx.thresholds(spark, sf), fx.images(spark, sf), none, fx.scalars(spark, sf)
+    )
+    return tally.unit_label_pixels(hits)
+
+
+@query("h8_unit_category_area", fx.sql("SELECT unit, cat AS cat_idx, area FROM catarea", "catarea"))
+def unit_category_area(spark, sf):
+    return tally.unit_category_area(fx.hits(spark, sf), fx.labelcat(spark, sf))
+
+
+@query(
+    "h9_iou",
+    fx.sql(
+        """SELECT unit, lab AS label, cat AS cat_idx, both_n AS both, act AS activation, truth,
+                  round(iou, 9) AS iou FROM iou""",
+        "iou",
+    ),
+)
+def iou(spark, sf):
+    return fx.rounded(fx.dissection(spark, sf).scores, "iou")
+
+
+@query(
+    "h10_best_labels",
+    fx.sql(
+        """SELECT unit, cat AS cat_idx, lab AS label, truth, act AS activation, both_n AS intersect,
+                  round(iou, 9) AS iou FROM best""",
+        "best",
+    ),
+)
+def best_labels(spark, sf):
+    return fx.rounded(fx.dissection(spark, sf).best, "iou")
+
+
+@query(
+    "h11_best_category",
+    fx.sql("SELECT unit, cat AS cat_idx, lab AS label, round(score, 9) AS score FROM top_", "top"),
+)
+def best_category(spark, sf):
+    return fx.rounded(tally.best_category(fx.dissection(spark, sf).best), "score")
+
+
+@query(
+    "h12_unit_order",
+    fx.sql(
+        "SELECT unit, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, unit) - 1 AS position FROM top_",
+        "top",
+    ),
+)
+def unit_order(spark, sf):
+    top = tally.best_category(fx.dissection(spark, sf).best)
+    return fx.rounded(tally.unit_order(top.select("unit", "score")), "score")
+
+
+@query("h13_tally_records", RECORDS_SQL)
+def tally_records(spark, sf):
+    records = fx.dissection(spark, sf).records
+    return fx.rounded(records, "score", *[f"{c}-iou" for c in fx.CATEGORIES])
+
+
+@query(
+    "h14_merged_tallies",
+    fx.sql(
+        """SELECT unit, 'unit' AS kind, 0 AS key, sum(area)::BIGINT AS amount FROM area GROUP BY unit
+           UNION ALL SELECT unit, 'both', lab, n FROM both_
+           UNION ALL SELECT unit, 'cat', cat, area FROM catarea
+           UNION ALL SELECT -1, 'label', lab, n FROM truth""",
+        "both",
+        "catarea",
+        "truth",
+    ),
+)
+def merged_tallies(spark, sf):
+    """Three image ranges tallied on their own and added up."""
+    thresholds = fx.thresholds(spark, sf)
+    size = fx.images(spark, sf).count()
+    bounds = [0, size // 3, size // 2, None]
+    parts = []
+    for start, end in zip(bounds, bounds[1:]):
+
+        def part(df):
+            kept = df.where(F.col("img") >= start)
+            return kept.where(F.col("img") < end) if end is not None else kept
+
+        parts.append(
+            tally.tally_sums(
+                part(fx.blocks(spark, sf)),
+                thresholds,
+                part(fx.images(spark, sf)),
+                part(fx.channels(spark, sf)),
+                part(fx.scalars(spark, sf)),
+                fx.labelcat(spark, sf),
+            )
+        )
+    return tally.merge_tallies(*[cut(p) for p in parts])

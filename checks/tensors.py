@@ -100,14 +100,23 @@ def channel_rows(spark, sf):
     return reshape.channel_rows(fx.cells(spark, sf), fx.SIDE, fx.SIDE)
 
 
-@query("c5_image_slice", fx.sql("SELECT img, unit, y, x, v FROM cell WHERE img BETWEEN 64 AND 191", "cell"))
+_SIZE = "(SELECT max(vec_id) + 1 FROM embeddings)"
+
+
+@query(
+    "c5_image_slice",
+    fx.sql(f"SELECT img, unit, y, x, v FROM cell WHERE img >= {_SIZE} // 4 AND img < {_SIZE} // 4 * 3", "cell"),
+)
 def image_slice(spark, sf):
-    return reshape.slice_images(fx.cells(spark, sf), 64, 192)
+    """The middle half of the images."""
+    quarter = reshape.shape_values(fx.matrix(spark, sf))[0] // 4
+    return reshape.slice_images(fx.cells(spark, sf), quarter, quarter * 3)
 
 
-@query("c6_first_images", fx.sql(f"SELECT {_IDS}, v AS value FROM cell WHERE img < 300", "cell"))
+@query("c6_first_images", fx.sql(f"SELECT {_IDS}, v AS value FROM cell WHERE img < {_SIZE} // 2", "cell"))
 def first_images(spark, sf):
-    return reshape.first_images(fx.matrix(spark, sf), 300)
+    mat = fx.matrix(spark, sf)
+    return reshape.first_images(mat, reshape.shape_values(mat)[0] // 2)
 
 
 @query(
@@ -283,7 +292,7 @@ def threshold_join(spark, sf):
     "d11_image_lookup",
     """SELECT 'vec_' || vec_id || '.jpg' AS image, vec_id AS img, 'data/images/vec_' || vec_id || '.jpg' AS path,
               CASE WHEN vec_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, 4 AS sh, 4 AS sw,
-              CASE WHEN label % 3 <> 0 THEN label + 6 END AS scene
+              CASE WHEN label NOT IN (0, 3, 6, 9) THEN label + 6 END AS scene
        FROM embeddings JOIN orders ON o_orderkey = vec_id WHERE o_orderstatus = 'F'""",
 )
 def image_lookup(spark, sf):
