@@ -16,8 +16,15 @@ CATEGORIES = ["object", "part", "scene"]
 NO_SCENE = [0, 3, 6, 9]
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its footer is read once per session."""
+    key = (spark.sparkContext.applicationId, f"{sf}/{name}.parquet")
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(key[1])
+    return _TABLES[key]
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -102,10 +109,13 @@ def scalars(spark, sf) -> DataFrame:
 
 def labelcat(spark, sf) -> DataFrame:
     """Primary category of every label in use."""
+    from unitscope.session import cut
+
     pixel = channels(spark, sf).select(F.explode("labels").alias("label"))
     used = pixel.where("label > 0").unionByName(scalars(spark, sf).select("label")).distinct()
     label = F.col("label")
-    return used.select("label", F.when(label <= 3, 0).when(label <= 5, 1).otherwise(2).alias("cat_idx"))
+    # kept like the small stored table it stands for
+    return cut(used.select("label", F.when(label <= 3, 0).when(label <= 5, 1).otherwise(2).alias("cat_idx")))
 
 
 def names(spark, sf) -> DataFrame:
@@ -210,9 +220,9 @@ _CTE = {
       SELECT o::INT AS o, greatest(floor(c), 0)::INT AS a, least(floor(c) + 1, 1)::INT AS b, c - floor(c) AS f
       FROM (SELECT o, (o + 0.5e0) * 2 / 4 - 0.5e0 AS c FROM range(4) t(o)))""",
     "up": """up AS (
-      SELECT img, unit, py, px, top + (bottom - top) * fy AS v FROM (
-        SELECT c1.img, c1.unit, ty.o AS py, tx.o AS px, ty.f AS fy,
-               c1.v + (c2.v - c1.v) * tx.f AS top, c3.v + (c4.v - c3.v) * tx.f AS bottom
+      SELECT img, unit, py, px, lft + (rgt - lft) * fx AS v FROM (
+        SELECT c1.img, c1.unit, ty.o AS py, tx.o AS px, tx.f AS fx,
+               c1.v + (c3.v - c1.v) * ty.f AS lft, c2.v + (c4.v - c2.v) * ty.f AS rgt
         FROM tap ty CROSS JOIN tap tx
         JOIN cell c1 ON c1.y = ty.a AND c1.x = tx.a
         JOIN cell c2 ON c2.img = c1.img AND c2.unit = c1.unit AND c2.y = ty.a AND c2.x = tx.b

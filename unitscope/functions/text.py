@@ -50,6 +50,10 @@ def display_name(c: Column) -> Column:
 
 
 def location_name(file: Column, rate: Column, label: Column, unit: Column) -> Column:
-    """``<file without its four-character suffix>_<rate, two decimals>_<label>_<unit>``."""
+    """``<file without its four-character suffix>_<rate, two decimals>_<label>_<unit>``.
+
+    A rate half-way between two hundredths goes to the even one.
+    """
     stem = F.substring(file, F.lit(1), F.length(file) - 4)
-    return F.concat_ws("_", stem, F.format_string("%.2f", rate), label, unit.cast("string"))
+    shown = F.format_string("%.2f", F.bround(rate, 2))
+    return F.concat_ws("_", stem, shown, label, unit.cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +29,15 @@ def normalise(pixels: DataFrame, bgr_mean: list[float] = BGR_MEAN) -> DataFrame:
 
 
 def resize(pixels: DataFrame, shape_in: tuple[int, int], shape_out: tuple[int, int]) -> DataFrame:
-    """Bilinear resize of every channel, rounded to bytes."""
+    """Bilinear resize of every channel, rounded to bytes.
+
+    Sums are rounded to nine places first, so the order of addition cannot tip a half.
+    """
     spark = pixels.sparkSession
     wy = bilinear_weights(spark, shape_in[0], shape_out[0])
     wx = bilinear_weights(spark, shape_in[1], shape_out[1])
     out = resample(pixels.withColumnRenamed("ch", "unit"), wy, wx)
-    byte = F.least(F.greatest(F.floor(F.col("v") + F.lit(0.5)), F.lit(0)), F.lit(255))
+    byte = F.least(F.greatest(F.floor(F.round("v", 9) + F.lit(0.5)), F.lit(0)), F.lit(255))
     return out.select(
         "img",
         F.col("unit").alias("ch"),
@@ -72,30 +75,32 @@ def extract_features(images: DataFrame, model: Model, shape: tuple[int, int, int
     table.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            stacked = np.stack(batch["values"].to_list()).reshape(-1, *shape)
-            ids = batch["img"].to_numpy()
-            for layer, out in model(stacked).items():
+            ids = batch.column("img").to_numpy(zero_copy_only=False)
+            stacked = batch.column("values").flatten().to_numpy(zero_copy_only=False)
+            for layer, out in model(stacked.reshape(-1, *shape).copy()).items():
                 out = np.asarray(out, dtype=float)
                 n, units = out.shape[:2]
                 h, w = (list(out.shape[2:]) + [1, 1])[:2]
-                flat = out.reshape(n * units, -1)
-                yield pd.DataFrame(
-                    {
-                        "img": np.repeat(ids, units),
-                        "layer": layer,
-                        "unit": np.tile(np.arange(units), n),
-                        "h": h,
-                        "w": w,
-                        "values": list(flat),
-                        "max_v": flat.max(axis=1),
-                    }
+                flat = out.reshape(n * units, h * w)
+                ends = np.arange(0, (n * units + 1) * h * w, h * w, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(ids, units)),
+                        pa.array([layer] * (n * units)),
+                        pa.array(np.tile(np.arange(units, dtype=np.int32), n)),
+                        pa.array(np.full(n * units, h, np.int32)),
+                        pa.array(np.full(n * units, w, np.int32)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel())),
+                        pa.array(flat.max(axis=1)),
+                    ],
+                    names=["img", "layer", "unit", "h", "w", "values", "max_v"],
                 )
 
-    return images.select("img", "values").mapInPandas(run, _FEATURES)
+    return images.select("img", "values").mapInArrow(run, _FEATURES)
 
 
 def split_invalid(features: DataFrame) -> tuple[DataFrame, DataFrame]:

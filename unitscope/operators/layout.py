@@ -21,6 +21,16 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` before a stage that multiplies its rows.
+
+    The number of partitions is the session's, stated outright: adaptive execution would
+    merge partitions by their bytes, which are small before the expansion.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def global_index(df: DataFrame, order: list[str | Column], name: str = "idx") -> DataFrame:
     """0-based position of each row under a total order.
 

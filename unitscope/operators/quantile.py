@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from unitscope.operators.layout import bounded
+from unitscope.operators.layout import BROADCAST_ROWS
 from unitscope.session import cut
 
 #: Readout position of the activation threshold: index 994 of 1000 even points on [0, 1].
@@ -43,6 +43,11 @@ def _position(q: Column, n: Column, method: str) -> Column:
     return F.least(F.greatest(q * n - F.lit(0.5), F.lit(0.0)), (n - 1).cast("double"))
 
 
+def _broadcaster(size: int) -> Callable[[DataFrame], DataFrame]:
+    """Broadcast tables of up to ``size`` numbers if that is little, else leave the join to Spark."""
+    return F.broadcast if size <= 10 * BROADCAST_ROWS else (lambda df: df)
+
+
 def exact_quantiles(
     df: DataFrame,
     by: list[str],
@@ -72,7 +77,10 @@ def exact_quantiles(
     edges = cut(
         vals.groupBy(*by).agg(F.percentile_approx("_v", probes, accuracy).alias("_edges"))
     )
-    tagged = vals.join(bounded(edges), by).withColumn("_b", _bucket(len(probes), F.col("_v")))
+    groups = edges.count()
+    # edges hold a list per group; targets and buckets a few rows per group and quantile
+    ship = _broadcaster(groups * max(len(probes), 2 * len(qs)))
+    tagged = vals.join(ship(edges), by).withColumn("_b", _bucket(len(probes), F.col("_v")))
     tagged = tagged.drop("_edges")
 
     group = Window.partitionBy(*by)
@@ -99,13 +107,13 @@ def exact_quantiles(
     buckets = targets.select(*by, "_b", "_before").distinct()
     inside = Window.partitionBy(*by, "_b").orderBy("_v")
     spans = (
-        tagged.join(bounded(buckets), [*by, "_b"])
+        tagged.join(ship(buckets), [*by, "_b"])
         .groupBy(*by, "_b", "_before", "_v")
         .agg(F.count("*").alias("_c"))
         .withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_start", F.col("_end") - F.col("_c"))
     )
-    found = spans.join(bounded(targets.drop("_before")), [*by, "_b"]).where(
+    found = spans.join(ship(targets.drop("_before")), [*by, "_b"]).where(
         (F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_end"))
     )
     low = F.max(F.when(F.col("_k") == F.col("_low"), F.col("_v")))

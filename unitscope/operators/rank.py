@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitscope.functions import display_name
-from unitscope.operators.layout import bounded, global_index, top_per_group
+from unitscope.operators.layout import bounded, global_index, spread, top_per_group
 from unitscope.operators.reduce import mode_earliest
-from unitscope.operators.resample import lerp_value
+from unitscope.operators.resample import expand_pixels
 
 #: Lowest score shown, images shown per unit, order of the categories.
 SCORE_THRESHOLD = 0.04
@@ -132,18 +132,14 @@ def map_areas(
     counts 0.
     """
     limits = bounded(thresholds.select("unit", "thresh"))
-    over = F.array_max("values") > F.col("thresh")
-    pixels = F.when(over, F.sequence(F.lit(0), F.lit(height * width - 1))).otherwise(
-        F.array(F.lit(-1))
-    )
-    value = lerp_value(
-        F.col("_p"), F.col("h"), F.col("w"), F.lit(height), F.lit(width), F.col("values")
-    )
+    peak = F.array_max("values")
+    silent = ~(peak > F.col("thresh")) | F.isnan(peak)
+    hit = (F.col("py") >= 0) & (F.col("v") > F.col("thresh"))
+    maps = spread(blocks.join(limits, "unit"), "img", "unit")
     return (
-        blocks.join(limits, "unit")
-        .withColumn("_p", F.explode(pixels))
+        expand_pixels(maps, F.lit(height), F.lit(width), skip=silent)
         .groupBy("img", "unit", *keep)
-        .agg(F.count_if((F.col("_p") >= 0) & (value > F.col("thresh"))).alias("area"))
+        .agg(F.count_if(hit).alias("area"))
     )
 
 

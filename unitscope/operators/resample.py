@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from unitscope.operators.layout import BROADCAST_ROWS
+from unitscope.operators.layout import BROADCAST_ROWS, spread
 
 _WEIGHTS = T.StructType(
     [
@@ -129,8 +129,7 @@ def resample(cells: DataFrame, weights_y: DataFrame, weights_x: DataFrame) -> Da
     wy = weights_y.select(F.col("o").alias("py"), F.col("i").alias("y"), F.col("w").alias("wy"))
     wx = weights_x.select(F.col("o").alias("px"), F.col("i").alias("x"), F.col("w").alias("wx"))
     rows = (
-        cells.select("img", "unit", "y", "x", "v")
-        .repartition("img", "unit")
+        spread(cells.select("img", "unit", "y", "x", "v"), "img", "unit")
         .join(wy, "y")
         .groupBy("img", "unit", "py", "x")
         .agg(F.sum(F.col("v") * F.col("wy")).alias("v"))
@@ -221,50 +220,55 @@ def _with_unreached(reached: DataFrame, image_shape) -> DataFrame:
     return grid.join(reached, keys, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
-def lerp_value(pixel: Column, h: Column, w: Column, oh: Column, ow: Column, values: Column) -> Column:
-    """Value of one pixel of a map enlarged to ``oh × ow``; plain column arithmetic.
+def _taps(o: Column, n_in: Column, n_out: Column) -> tuple[Column, Column, Column]:
+    """First and second source index of an output index, and the share of the second.
 
-    Clamping the taps is the same as normalising the filter at the border.
+    Clamping the indices is the same as normalising the filter at the border.
     """
+    at = (o + F.lit(0.5)) * n_in / n_out - F.lit(0.5)
+    low = F.floor(at)
+    first = F.greatest(low, F.lit(0)).cast("int")
+    second = F.least(low + 1, n_in - 1).cast("int")
+    return first, second, at - low
 
-    def axis(o: Column, n_in: Column, n_out: Column):
-        at = (o + F.lit(0.5)) * n_in / n_out - F.lit(0.5)
-        low = F.floor(at)
-        last = n_in - 1
-        return (
-            F.greatest(low, F.lit(0)).cast("int"),
-            F.least(low + 1, last).cast("int"),
-            at - low,
-        )
-
-    y0, y1, fy = axis(F.floor(pixel / ow), h, oh)
-    x0, x1, fx = axis(pixel % ow, w, ow)
 
-    def at(y, x):
-        return F.get(values, (y * w + x).cast("int"))
+def expand_pixels(blocks: DataFrame, oh: Column, ow: Column, skip: Column | None = None) -> DataFrame:
+    """Rows with a map ``(…, h, w, values)`` times the pixels ``(py, px, v)`` of the map
+    enlarged to ``oh × ow`` by bilinear interpolation.
 
-    top = at(y0, x0) + (at(y0, x1) - at(y0, x0)) * fx
-    bottom = at(y1, x0) + (at(y1, x1) - at(y1, x0)) * fx
-    return top + (bottom - top) * fy
+    Each output row is blended from two map rows once, then every pixel from two of its
+    entries, all inside one narrow stage. Rows for which ``skip`` holds are kept as a
+    single row with ``py`` = -1.
+    """
+    rows, cols = F.sequence(F.lit(0), (oh - 1).cast("int")), (ow - 1).cast("int")
+    if skip is not None:
+        rows = F.when(skip, F.array(F.lit(-1))).otherwise(rows)
+        cols = F.when(F.col("py") < 0, F.lit(0)).otherwise(cols)
+    h, w, values = F.col("h"), F.col("w"), F.col("values")
+    y0, y1, fy = _taps(F.greatest(F.col("py"), F.lit(0)), h, oh)
+    x0, x1, fx = _taps(F.col("px"), w, ow)
+    blended = F.zip_with(
+        F.slice(values, y0 * w + 1, w), F.slice(values, y1 * w + 1, w), lambda a, b: a + (b - a) * fy
+    )
+    left, right = F.get("_row", x0), F.get("_row", x1)
+    return (
+        blocks.withColumn("py", F.explode(rows))
+        .withColumn("_row", blended)
+        .drop("values", "h")
+        .withColumn("px", F.explode(F.sequence(F.lit(0), cols)))
+        .withColumn("v", left + (right - left) * fx)
+        .drop("_row", "w")
+    )
 
 
 def enlarge_blocks(blocks: DataFrame, height: int | str, width: int | str) -> DataFrame:
     """Bilinear enlargement of whole maps to pixel rows ``(…, py, px, v)``.
 
-    Sizes are numbers, or names of columns holding the size wanted for the row. One
-    narrow stage: each row is expanded and interpolated where it is.
+    Sizes are numbers, or names of columns holding the size wanted for the row.
     """
     oh = F.lit(height) if isinstance(height, int) else F.col(height)
     ow = F.lit(width) if isinstance(width, int) else F.col(width)
-    pixels = F.sequence(F.lit(0), (oh * ow - 1).cast("int"))
-    value = lerp_value(F.col("_p"), F.col("h"), F.col("w"), oh, ow, F.col("values"))
-    return (
-        blocks.withColumn("_p", F.explode(pixels))
-        .withColumn("v", value)
-        .withColumn("py", F.floor(F.col("_p") / ow).cast("int"))
-        .withColumn("px", (F.col("_p") % ow).cast("int"))
-        .drop("_p", "h", "w", "values")
-    )
+    return expand_pixels(blocks, oh, ow)
 
 
 def cells_to_blocks(cells: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitscope.operators.layout import bounded, global_index
-from unitscope.operators.resample import enlarge_blocks, lerp_value
+from unitscope.operators.layout import bounded, global_index, spread
+from unitscope.operators.resample import enlarge_blocks, expand_pixels
 
 #: Stands for "any pixel under the mask" next to the real labels.
 _ANY = -1
@@ -66,7 +66,7 @@ def gate(blocks: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def activation_mask(blocks: DataFrame, thresholds: DataFrame, images: DataFrame) -> DataFrame:
     """Pixels ``(img, unit, py, px, v)`` of the enlarged maps over the threshold."""
-    sized = gate(blocks, thresholds).join(images.select("img", "sh", "sw"), "img")
+    sized = spread(gate(blocks, thresholds), "img").join(images.select("img", "sh", "sw"), "img")
     pixels = enlarge_blocks(sized, "sh", "sw").where(F.col("v") > F.col("thresh"))
     return pixels.select("img", "unit", "py", "px", "v")
 
@@ -86,21 +86,16 @@ def mask_labels(
     flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel", "labels"))), lambda c: c["labels"]))
     maps = channels.groupBy("img").agg(flat.alias("_labels"), F.count("*").cast("int").alias("_channels"))
     sized = (
-        gate(blocks, thresholds)
+        spread(gate(blocks, thresholds), "img")
         .join(images.select("img", "sh", "sw"), "img")
         .join(maps, "img", "left")
         .withColumn("_channels", F.coalesce("_channels", F.lit(0)))
     )
-    area = F.col("sh") * F.col("sw")
-    value = lerp_value(
-        F.col("_p"), F.col("h"), F.col("w"), F.col("sh"), F.col("sw"), F.col("values")
-    )
-    masked = sized.withColumn("_p", F.explode(F.sequence(F.lit(0), (area - 1).cast("int")))).where(
-        value > F.col("thresh")
-    )
+    masked = expand_pixels(sized, F.col("sh"), F.col("sw")).where(F.col("v") > F.col("thresh"))
     # layer 0 counts the pixel itself, layer c >= 1 its label in channel c - 1
     layered = masked.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_channels"))))
-    at = ((F.col("_c") - 1) * area + F.col("_p")).cast("int")
+    pixel = F.col("py") * F.col("sw") + F.col("px")
+    at = (F.col("_c") - 1) * (F.col("sh") * F.col("sw")) + pixel
     label = F.when(F.col("_c") == 0, F.lit(_ANY)).otherwise(F.get("_labels", at))
     counts = (
         layered.select("img", "unit", label.alias("label"))
