@@ -244,6 +244,22 @@ def multiply_2d_self(spark, sf):
     return fx.rounded(algebra.multiply_2d(mat, flipped, salts=2), "value", digits=4)
 
 
+@query(
+    "d8_multiply_tiled",
+    """WITH a AS (SELECT l_suppkey AS i, l_partkey // 4 AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
+       SELECT -1::BIGINT AS id_1, -1::BIGINT AS id_2, a.i AS id_3, b.i AS id_4, round(sum(a.v * b.v), 4) AS value
+       FROM a JOIN a b USING (k) GROUP BY a.i, b.i""",
+)
+def multiply_tiled(spark, sf):
+    """Suppliers by the parts they share, as a product of tiles."""
+    items = fx.table(spark, sf, "lineitem")
+    mat = items.groupBy(F.col("l_suppkey").alias("id_3"), F.floor(F.col("l_partkey") / 4).alias("id_4")).agg(
+        F.sum("l_quantity").alias("value")
+    )
+    flipped = mat.select(F.col("id_4").alias("id_3"), F.col("id_3").alias("id_4"), "value")
+    return fx.rounded(algebra.multiply_tiled(mat, flipped), "value", digits=4)
+
+
 @query(
     "d8_multiply_batched",
     fx.sql(

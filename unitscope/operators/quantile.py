@@ -26,15 +26,19 @@ def _probes(qs: list[float], accuracy: int) -> list[float]:
     return sorted(cuts)
 
 
-def _bucket(n_edges: int, value: Column) -> Column:
-    """Number of edges below the value."""
-    if n_edges <= 16:
-        below = [(F.get("_edges", F.lit(i)) < value).cast("int") for i in range(n_edges)]
-        total = below[0]
-        for term in below[1:]:
-            total = total + term
-        return total
-    return F.size(F.filter("_edges", lambda e: e < value))
+def _with_bucket(df: DataFrame, n_edges: int) -> DataFrame:
+    """Number ``_b`` of sorted ``_edges`` below ``_v``, by bisection in plain columns.
+
+    Each step is a column of its own, so it is computed once per row.
+    """
+    step = 1 << (n_edges.bit_length() - 1)
+    df = df.withColumn("_b", F.lit(0))
+    while step:
+        at = F.col("_b") + F.lit(step - 1)
+        below = (at < n_edges) & (F.get("_edges", at) < F.col("_v"))
+        df = df.withColumn("_b", F.col("_b") + F.when(below, F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    return df
 
 
 def _position(q: Column, n: Column, method: str) -> Column:
@@ -80,8 +84,7 @@ def exact_quantiles(
     groups = edges.count()
     # edges hold a list per group; targets and buckets a few rows per group and quantile
     ship = _broadcaster(groups * max(len(probes), 2 * len(qs)))
-    tagged = vals.join(ship(edges), by).withColumn("_b", _bucket(len(probes), F.col("_v")))
-    tagged = tagged.drop("_edges")
+    tagged = _with_bucket(vals.join(ship(edges), by), len(probes)).drop("_edges")
 
     group = Window.partitionBy(*by)
     upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
