@@ -26,10 +26,12 @@ def groups():
 
 
 @pytest.mark.parametrize("qs", [[0.0, 1.0], [994 / 999], [i / 20 for i in range(21)]])
-@pytest.mark.parametrize("accuracy", [20, 10_000])
-def test_exact_quantiles(spark, groups, qs, accuracy):
-    """Right whatever the sketch proposes, with heavy ties and tiny groups."""
-    out = quantile.exact_quantiles(_frame(spark, groups), ["g"], "v", qs, accuracy=accuracy)
+@pytest.mark.parametrize("accuracy, bucket_rows", [(20, 10**6), (10_000, 10**6), (40, 20)])
+def test_exact_quantiles(spark, groups, qs, accuracy, bucket_rows):
+    """Right whatever the sketch proposes, with heavy ties, tiny groups and repeated cuts."""
+    out = quantile.exact_quantiles(
+        _frame(spark, groups), ["g"], "v", qs, accuracy=accuracy, bucket_rows=bucket_rows
+    )
     rows = out.collect()
     assert len(rows) == len(groups) * len(qs)
     for r in rows:

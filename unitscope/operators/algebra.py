@@ -100,15 +100,17 @@ def multiply_2d(left: DataFrame, right: DataFrame, *, salts: int = 1, ordered=Fa
 
 
 _TILE = "id_3 long, id_4 long, value double"
+_OPEN_TILES = 32
 
 
 def multiply_tiled(left: DataFrame, right: DataFrame, block: int = 256, *, ordered=False) -> DataFrame:
     """Matrix product of dense 2-D operands, by square tiles of ``block`` ids a side.
 
-    Tiles meet on the inner tile number and are multiplied as arrays inside the tasks, so a
-    product of side n makes ``n³ / block`` rows to add up instead of ``n³``. A tile holds at
-    most ``block²`` cells, whatever the size of the operands. Cells of the result exist
-    where the operands share an inner index, as in :func:`multiply_2d`.
+    Tiles meet on the inner tile number and are multiplied and added up as arrays inside the
+    tasks, so a product of side n leaves at most ``n³ / block`` rows to add up instead of
+    ``n³``. A tile holds at most ``block²`` cells, and a long inner axis is dealt with by
+    several tasks. Cells of the result exist where the operands share an inner index, as in
+    :func:`multiply_2d`.
     """
 
     def tiles(mat: DataFrame, outer: str, inner: str, name: str) -> DataFrame:
@@ -133,20 +135,31 @@ def multiply_tiled(left: DataFrame, right: DataFrame, block: int = 256, *, order
             present[at] = 1
             return dense.reshape(block, block), present.reshape(block, block)
 
+        def emit(key, total, present):
+            i, j = np.nonzero(present)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(i + key[0] * block), pa.array(j + key[1] * block), pa.array(total[i, j])],
+                names=["id_3", "id_4", "value"],
+            )
+
+        # sums of the result tiles at hand; the oldest leaves when there are too many
+        open_: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for row in range(batch.num_rows):
                 (a, has_a), (b, has_b) = tile(batch, "i", row), tile(batch, "j", row)
-                i, j = np.nonzero(has_a @ has_b)
-                first, second = batch.column("_i")[row].as_py(), batch.column("_j")[row].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(i + first * block), pa.array(j + second * block), pa.array((a @ b)[i, j])],
-                    names=["id_3", "id_4", "value"],
-                )
+                key = batch.column("_i")[row].as_py(), batch.column("_j")[row].as_py()
+                total, present = open_.pop(key, (0.0, 0.0))
+                open_[key] = total + a @ b, present + has_a @ has_b
+                if len(open_) > _OPEN_TILES:
+                    oldest = next(iter(open_))
+                    yield emit(oldest, *open_.pop(oldest))
+        for key, sums in open_.items():
+            yield emit(key, *sums)
 
     pairs = tiles(left, "id_3", "id_4", "i").join(tiles(right, "id_4", "id_3", "j"), "_k")
     absent = F.lit(ABSENT).cast("long")
     out = (
-        spread(pairs, "_i", "_j", "_k")
+        spread(pairs.withColumn("_s", F.col("_k") % 16), "_i", "_j", "_s")
         .mapInArrow(run, _TILE)
         .groupBy("id_3", "id_4")
         .agg(F.sum("value").alias("value"))

@@ -66,8 +66,8 @@ def dense_labels(
     Holes get their own number and empty values ('' for text, 0 for numbers), or nulls
     with ``allow_none``. ``empty`` overrides the empty value of a column.
     """
-    top = labels.agg(F.max(key).alias("_m"))
-    numbers = top.select(F.explode(F.sequence(F.lit(0), F.col("_m").cast("int"))).alias(key))
+    top = labels.agg(F.max(key)).first()[0]
+    numbers = labels.sparkSession.range(0 if top is None else int(top) + 1).withColumnRenamed("id", key)
     kinds = dict(labels.dtypes)
     out = numbers.withColumn(key, F.col(key).cast(kinds[key])).join(labels, key, "left")
     if allow_none:

@@ -13,11 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitscope.operators.layout import bounded
+from unitscope.operators.algebra import multiply_tiled
+from unitscope.operators.layout import bounded, global_index
 from unitscope.session import cut
 
 #: Widest unit range counted as a dense matrix per task (a few dozen MB).
 DENSE_UNITS = 2048
+#: Units up to which the pairs of one item are listed.
+FEW_UNITS = 512
 
 _EDGE = "src long, dst long, weight long"
 
@@ -26,21 +29,43 @@ def coactivation_edges(active: DataFrame, item: str = "img", unit: str = "unit")
     """Number of items on which both units are active, from rows ``(item, unit)``.
 
     Up to ``DENSE_UNITS`` units, every task multiplies its 0/1 item × unit matrix with
-    itself and emits each pair once, so no pair of an item is ever shuffled. A wider unit
-    range is counted by a join on the item, pre-aggregated before the shuffle.
+    itself and emits each pair once, so no pair of an item is ever shuffled. In a wider
+    range, items with few units are joined with themselves, and items with many are
+    counted as a product of tiles; an item that is active almost everywhere is never
+    expanded pair by pair.
     """
     rows = active.select(F.col(item).alias("_i"), F.col(unit).cast("long").alias("_u")).distinct()
     low, high = rows.agg(F.min("_u"), F.max("_u")).first()
     if low is None or high - low + 1 <= DENSE_UNITS:
         return _dense_edges(rows, low or 0, 0 if low is None else high - low + 1)
-    a = rows.withColumnRenamed("_u", "src")
-    b = rows.withColumnRenamed("_u", "dst")
-    return (
-        a.join(b, "_i")
-        .where(F.col("src") < F.col("dst"))
-        .groupBy("src", "dst")
-        .agg(F.count("*").alias("weight"))
+    return _wide_edges(rows)
+
+
+def _wide_edges(rows: DataFrame, few: int = FEW_UNITS) -> DataFrame:
+    sizes = rows.groupBy("_i").agg(F.count("*").alias("_n"))
+    many = cut(sizes.where(F.col("_n") > few).select("_i"))
+    none = many.isEmpty()
+    small = rows if none else rows.join(bounded(many), "_i", "left_anti")
+    pairs = small.withColumnRenamed("_u", "src").join(small.withColumnRenamed("_u", "dst"), "_i")
+    counts = pairs.where(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    if none:
+        return counts
+    # dense numbers for the items and units at hand keep the tiles well filled
+    big = rows.join(global_index(many, ["_i"], "_row").select("_i", "_row"), "_i").select("_row", "_u")
+    units = cut(global_index(big.select("_u").distinct(), ["_u"], "_col"))
+    big = cut(big.join(bounded(units), "_u").select("_row", "_col"))
+    one = F.lit(1.0).alias("value")
+    product = multiply_tiled(
+        big.select(F.col("_col").alias("id_3"), F.col("_row").alias("id_4"), one),
+        big.select(F.col("_row").alias("id_3"), F.col("_col").alias("id_4"), one),
+    ).where(F.col("id_3") < F.col("id_4"))
+    # units are numbered in order, so src stays below dst
+    src = units.select(F.col("_col").alias("id_3"), F.col("_u").alias("src"))
+    dst = units.select(F.col("_col").alias("id_4"), F.col("_u").alias("dst"))
+    heavy = product.join(bounded(src), "id_3").join(bounded(dst), "id_4").select(
+        "src", "dst", F.round("value").cast("long").alias("weight")
     )
+    return counts.unionByName(heavy).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def _dense_edges(rows: DataFrame, low: int, width: int) -> DataFrame:

@@ -14,13 +14,15 @@ from unitscope.session import cut
 #: Readout position of the activation threshold: index 994 of 1000 even points on [0, 1].
 THRESHOLD_QUANTILE = 994 / 999
 
-_EVEN_PROBES = 63
+#: Even cut points, and how often a bucket may be cut again (64 ways each time).
+_EVEN = [i / 64 for i in range(1, 64)]
+_MAX_DEPTH = 5
 
 
 def _probes(qs: list[float], accuracy: int) -> list[float]:
     """Where to cut a group so that few values share a bucket with a wanted quantile."""
     if len(qs) > 8:
-        return [i / (_EVEN_PROBES + 1) for i in range(1, _EVEN_PROBES + 1)]
+        return _EVEN
     margin = 2.0 / accuracy
     cuts = {min(1.0, max(0.0, q + d)) for q in qs for d in (-margin, margin)}
     return sorted(cuts)
@@ -59,6 +61,7 @@ def exact_quantiles(
     qs: list[float],
     method: str = "linear",
     accuracy: int = 10_000,
+    bucket_rows: int = 4_000_000,
 ) -> DataFrame:
     """Exact quantiles as rows ``(*by, q_idx, q, quantile)``; null and NaN are skipped.
 
@@ -67,56 +70,56 @@ def exact_quantiles(
     No group is ever gathered in one task. A small sketch per group proposes cut points
     close to the wanted quantiles; exact counts between the cuts tell which buckets hold
     them; only those buckets are shuffled, with equal values collapsed first, and
-    numbered. The sketch steers the balance only, the result does not depend on it.
+    numbered. Buckets of more than ``bucket_rows`` different values are cut again. The
+    sketch steers the balance only, the result does not depend on it.
     """
     if method not in ("linear", "midrank"):
         raise ValueError(f"unknown method {method}")
     qs = [float(q) for q in qs]
-    probes = _probes(qs, accuracy)
     number = F.col(value).cast("double")
     # adding 0.0 turns -0.0 into 0.0, so both count as one value
     vals = df.where(number.isNotNull() & ~F.isnan(number)).select(
         *by, (number + F.lit(0.0)).alias("_v")
     )
-    edges = cut(
-        vals.groupBy(*by).agg(F.percentile_approx("_v", probes, accuracy).alias("_edges"))
-    )
-    groups = edges.count()
-    # edges hold a list per group; targets and buckets a few rows per group and quantile
-    ship = _broadcaster(groups * max(len(probes), 2 * len(qs)))
-    tagged = _with_bucket(vals.join(ship(edges), by), len(probes)).drop("_edges")
-
-    group = Window.partitionBy(*by)
-    upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.array(
-        *[F.struct(F.lit(i).alias("q_idx"), F.lit(q).alias("q")) for i, q in enumerate(qs)]
-    )
-    targets = (
-        tagged.groupBy(*by, "_b")
-        .agg(F.count("*").alias("_n_b"))
-        .withColumn("_n", F.sum("_n_b").over(group))
-        .withColumn("_before", F.coalesce(F.sum("_n_b").over(upto), F.lit(0)))
-        .withColumn("_w", F.explode(wanted))
-        .select(*by, "_b", "_n_b", "_n", "_before", "_w.q_idx", "_w.q")
-        .withColumn("_pos", _position(F.col("q"), F.col("_n"), method))
-        .withColumn("_frac", F.col("_pos") - F.floor("_pos"))
-        .withColumn("_low", F.floor("_pos"))
-        .withColumn("_high", F.least(F.col("_low") + 1, F.col("_n") - 1))
-        .withColumn("_k", F.explode(F.array_distinct(F.array("_low", "_high"))))
-        .where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_n_b")))
-        .select(*by, "_b", "_before", "q_idx", "q", "_k", "_low", "_high", "_frac")
-    )
-    targets = cut(targets)
-    buckets = targets.select(*by, "_b", "_before").distinct()
-    inside = Window.partitionBy(*by, "_b").orderBy("_v")
+    keys, probes, wanted = list(by), _probes(qs, accuracy), None
+    for depth in range(_MAX_DEPTH):
+        edges = cut(
+            vals.groupBy(*keys).agg(F.percentile_approx("_v", probes, accuracy).alias("_edges"))
+        )
+        # edges hold a list per group; targets and buckets a few rows per group and quantile
+        ship = _broadcaster(edges.count() * max(len(probes), 2 * len(qs)))
+        tagged = _with_bucket(vals.join(ship(edges), keys), len(probes)).drop("_edges")
+        upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = (
+            tagged.groupBy(*keys, "_b")
+            .agg(F.count("*").alias("_n_b"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+            .withColumn("_before", F.coalesce(F.sum("_n_b").over(upto), F.lit(0)))
+        )
+        if wanted is None:
+            placed = _positions(counts, keys, qs, method)
+        else:
+            placed = counts.join(ship(wanted), keys).withColumn("_off", F.col("_off") + F.col("_before"))
+        inside_bucket = (F.col("_k") >= F.col("_off")) & (F.col("_k") < F.col("_off") + F.col("_n_b"))
+        targets = cut(placed.where(inside_bucket).drop("_before"))
+        largest = targets.where("_min < _max").agg(F.max("_n_b")).first()[0] or 0
+        if largest <= bucket_rows or depth == _MAX_DEPTH - 1:
+            break
+        name = f"_b{depth}"
+        buckets = targets.select(*keys, "_b").distinct()
+        vals = cut(tagged.join(ship(buckets), [*keys, "_b"]).withColumnRenamed("_b", name))
+        wanted = targets.withColumnRenamed("_b", name).drop("_n_b", "_min", "_max")
+        keys, probes = [*keys, name], _EVEN
+    buckets = targets.select(*keys, "_b", "_off").distinct()
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
     spans = (
-        tagged.join(ship(buckets), [*by, "_b"])
-        .groupBy(*by, "_b", "_before", "_v")
+        tagged.join(ship(buckets), [*keys, "_b"])
+        .groupBy(*keys, "_b", "_off", "_v")
         .agg(F.count("*").alias("_c"))
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
+        .withColumn("_end", F.col("_off") + F.sum("_c").over(inside))
         .withColumn("_start", F.col("_end") - F.col("_c"))
+        .drop("_off")
     )
-    found = spans.join(ship(targets.drop("_before")), [*by, "_b"]).where(
+    found = spans.join(ship(targets), [*keys, "_b"]).where(
         (F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_end"))
     )
     low = F.max(F.when(F.col("_k") == F.col("_low"), F.col("_v")))
@@ -133,6 +136,25 @@ def exact_quantiles(
     )
 
 
+def _positions(counts: DataFrame, by: list[str], qs: list[float], method: str) -> DataFrame:
+    """Buckets of a group times the order statistics ``_k`` every quantile needs."""
+    wanted = F.array(
+        *[F.struct(F.lit(i).alias("q_idx"), F.lit(q).alias("q")) for i, q in enumerate(qs)]
+    )
+    return (
+        counts.withColumn("_n", F.sum("_n_b").over(Window.partitionBy(*by)))
+        .withColumn("_off", F.col("_before"))
+        .withColumn("_w", F.explode(wanted))
+        .select(*[c for c in counts.columns], "_n", "_off", "_w.q_idx", "_w.q")
+        .withColumn("_pos", _position(F.col("q"), F.col("_n"), method))
+        .withColumn("_frac", F.col("_pos") - F.floor("_pos"))
+        .withColumn("_low", F.floor("_pos"))
+        .withColumn("_high", F.least(F.col("_low") + 1, F.col("_n") - 1))
+        .withColumn("_k", F.explode(F.array_distinct(F.array("_low", "_high"))))
+        .drop("_n", "_pos")
+    )
+
+
 def unit_thresholds(cells: DataFrame, q: float = THRESHOLD_QUANTILE) -> DataFrame:
     """One activation threshold per unit over all images and positions."""
     return exact_quantiles(cells, ["unit"], "v", [q]).select(

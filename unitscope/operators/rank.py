@@ -9,6 +9,7 @@ from unitscope.functions import display_name
 from unitscope.operators.layout import bounded, global_index, spread, top_per_group
 from unitscope.operators.reduce import mode_earliest
 from unitscope.operators.resample import expand_pixels
+from unitscope.session import cut
 
 #: Lowest score shown, images shown per unit, order of the categories.
 SCORE_THRESHOLD = 0.04
@@ -37,29 +38,22 @@ def label_histogram(records: DataFrame, threshold: float = SCORE_THRESHOLD) -> D
 def _category_rank(histogram: DataFrame, order: list[str]) -> DataFrame:
     """Position of every category: the given order, then others as their labels come up."""
     known = F.array(*[F.lit(c) for c in order])
-    first = (
-        histogram.groupBy("category")
-        .agg(
-            F.max(F.struct("n_units", "best_score")).alias("_top"),
-        )
-        .withColumn("_known", F.array_position(known, F.col("category")))
+    at = F.array_position(known, F.col("category"))
+    keyed = histogram.groupBy("category").agg(F.max(F.struct("n_units", "best_score")).alias("_top")).select(
+        "category",
+        F.when(at > 0, at).otherwise(F.lit(len(order) + 1)).alias("_at"),
+        F.when(at > 0, F.lit(0)).otherwise(-F.col("_top.n_units")).alias("_n"),
+        F.when(at > 0, F.lit(0.0)).otherwise(-F.col("_top.best_score")).alias("_s"),
     )
-    # categories number a handful, so their order fits one sorted list
-    key = F.struct(
-        F.when(F.col("_known") > 0, F.col("_known")).otherwise(F.lit(len(order) + 1)).alias("k"),
-        (-F.when(F.col("_known") > 0, F.lit(0)).otherwise(F.col("_top.n_units"))).alias("n"),
-        (-F.when(F.col("_known") > 0, F.lit(0.0)).otherwise(F.col("_top.best_score"))).alias("s"),
-        F.col("category"),
-    )
-    listed = first.agg(F.array_sort(F.collect_list(key)).alias("_l"))
-    ranked = listed.select(F.posexplode("_l").alias("cat_pos", "_k"))
-    return ranked.select(F.col("_k.category").alias("category"), "cat_pos")
+    ranked = global_index(keyed, ["_at", "_n", "_s", "category"], "cat_pos")
+    return ranked.select("category", F.col("cat_pos").cast("int").alias("cat_pos"))
 
 
 def label_order(histogram: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Labels by category order, then number of units and best score, both descending."""
+    histogram = cut(histogram)
     ranks = _category_rank(histogram, order or CATEGORY_ORDER)
-    keyed = histogram.join(F.broadcast(ranks), "category")
+    keyed = histogram.join(bounded(ranks), "category")
     by = [F.asc("cat_pos"), F.desc("n_units"), F.desc("best_score"), F.asc("label")]
     return global_index(keyed, by, "label_pos")
 
@@ -75,9 +69,9 @@ def rendered_order(
 
     Equal keys keep the order of ``position``.
     """
-    histogram = label_histogram(records, threshold)
+    histogram = cut(label_histogram(records, threshold))
     ranks = _category_rank(histogram, order or CATEGORY_ORDER)
-    lookup = histogram.join(F.broadcast(ranks), "category").select(
+    lookup = histogram.join(bounded(ranks), "category").select(
         "label", "cat_pos", "n_units", "best_score"
     )
     high = F.col("score") >= threshold
