@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks import query
 from unitscope.operators import concepts
+from unitscope.operators.layout import bounded
 
 
 def _documents(spark, sf):
@@ -93,7 +94,7 @@ def _coverage(spark, sf):
     per = part.groupBy(F.col("p_type").alias("category"), _brand().alias("number")).agg(
         F.round(F.sum("p_retailprice"), 2).alias("coverage"), F.count("*").alias("frequency")
     )
-    return per.join(F.broadcast(concepts.category_table(part, "p_type")), "category")
+    return per.join(bounded(concepts.category_table(part, "p_type")), "category")
 
 
 _COV = """cov AS (

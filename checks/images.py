@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks import query
 from unitscope.operators import images, resample
+from unitscope.operators.layout import bounded
 
 _MEANS = "[124.6901::DOUBLE, 118.6897::DOUBLE, 109.5388::DOUBLE]"
 
@@ -65,11 +66,19 @@ def resized_images(spark, sf):
 _KERNELS = np.array([[[1, 0, -1], [2, 0, -2], [1, 0, -1]], [[0, 1, 0], [1, -4, 1], [0, 1, 0]]], dtype=float)
 
 
-def _convolve(batch: np.ndarray) -> dict[str, np.ndarray]:
-    """A stride-2 convolution of the first channel and its spatial mean."""
-    windows = np.lib.stride_tricks.sliding_window_view(batch[:, 0], (3, 3), axis=(1, 2))[:, ::2, ::2]
-    maps = np.einsum("nhwij,uij->nuhw", windows, _KERNELS)
-    return {"conv": maps, "mean": maps.mean(axis=(2, 3))}
+def _convolution(broken_over: float | None = None):
+    """A stride-2 convolution of the first channel and its spatial mean; NaN for images
+    whose first value is over a limit. A closure, so tasks need not import this module."""
+    kernels = _KERNELS
+
+    def model(batch: np.ndarray) -> dict[str, np.ndarray]:
+        windows = np.lib.stride_tricks.sliding_window_view(batch[:, 0], (3, 3), axis=(1, 2))[:, ::2, ::2]
+        maps = np.einsum("nhwij,uij->nuhw", windows, kernels)
+        if broken_over is not None:
+            maps[batch[:, 0, 0, 0] > broken_over] = np.nan
+        return {"conv": maps, "mean": maps.mean(axis=(2, 3))}
+
+    return model
 
 
 def _flat_images(spark, sf):
@@ -94,7 +103,7 @@ _CONV = f"""WITH {_PLAIN}, {_KERNEL_SQL}, conv AS (
         UNION ALL SELECT img, 'mean', u, 0, round(avg(v), 6) + 0 FROM conv GROUP BY img, u""",
 )
 def extracted_features(spark, sf):
-    features = images.extract_features(_flat_images(spark, sf), _convolve, (1, 8, 8))
+    features = images.extract_features(_flat_images(spark, sf), _convolution(), (1, 8, 8))
     flat = features.select("img", "layer", "unit", F.posexplode("values").alias("p", "v"))
     return fx.rounded(flat, "v", digits=6)
 
@@ -104,31 +113,17 @@ def extracted_features(spark, sf):
     f"{_CONV} SELECT img, 'conv' AS layer, u AS unit, round(max(v), 6) + 0 AS max_v FROM conv GROUP BY img, u",
 )
 def feature_maxima(spark, sf):
-    features = images.extract_features(_flat_images(spark, sf), _convolve, (1, 8, 8)).where("layer = 'conv'")
+    features = images.extract_features(_flat_images(spark, sf), _convolution(), (1, 8, 8)).where("layer = 'conv'")
     return fx.rounded(features.select("img", "layer", "unit", "max_v"), "max_v", digits=6)
 
 
-def _faulty(batch: np.ndarray) -> dict[str, np.ndarray]:
-    """The convolution, broken for images with a bright first pixel."""
-    maps = _convolve(batch)["conv"]
-    maps[batch[:, 0, 0, 0] > 0.1] = np.nan
-    return {"conv": maps}
-
-
-def _sound(batch: np.ndarray) -> dict[str, np.ndarray]:
-    """Recovers all but the brightest."""
-    maps = _convolve(batch)["conv"]
-    maps[batch[:, 0, 0, 0] > 0.2] = np.nan
-    return {"conv": maps}
-
-
 @query(
     "l4_nan_guard",
     "SELECT vec_id AS img, CASE WHEN embedding[1]::DOUBLE > 0.2e0 THEN 'failed' ELSE 'valid' END AS state FROM embeddings",
 )
 def nan_guard(spark, sf):
     """Images with NaN outputs run once more; those still invalid are listed."""
-    good, failed = images.extract_guarded(_flat_images(spark, sf), _faulty, (1, 8, 8), retry=_sound)
+    good, failed = images.extract_guarded(_flat_images(spark, sf), _convolution(0.1), (1, 8, 8), retry=_convolution(0.2))
     valid = good.select("img").distinct().withColumn("state", F.lit("valid"))
     return valid.unionByName(failed.withColumn("state", F.lit("failed")))
 
@@ -146,7 +141,7 @@ def nan_guard(spark, sf):
 )
 def highlighted_images(spark, sf):
     grown = resample.enlarge_blocks(fx.blocks(spark, sf), fx.GRID, fx.GRID)
-    on = grown.join(F.broadcast(fx.thresholds(spark, sf)), "unit")
+    on = grown.join(bounded(fx.thresholds(spark, sf)), "unit")
     mask = on.withColumn("mask", (F.col("v") > F.col("thresh")).cast("double"))
     return fx.rounded(images.highlight(fx.pixels(spark, sf), mask), "v", digits=6)
 
@@ -205,7 +200,53 @@ def field_map_bilinear(spark, sf):
     return fx.rounded(resample.upsample_linear(fx.cells(spark, sf), (2, 2), _WIDE), "v")
 
 
-@query("m3_bicubic")
+def _spline_table(knots: np.ndarray, n_out: int) -> np.ndarray:
+    """Weights of the spline, found from its definition: one cubic per interval through
+    both ends, equal slopes and curvatures at inner knots, and equal third derivatives at
+    the second and the last but one."""
+    n, pieces = len(knots), len(knots) - 1
+
+    def power(t: float, order: int) -> np.ndarray:
+        table = [[1, t, t**2, t**3], [0, 1, 2 * t, 3 * t**2], [0, 0, 2, 6 * t], [0, 0, 0, 6]]
+        return np.array(table[order], dtype=float)
+
+    rows, right = [], []
+
+    def equation(parts: dict[int, np.ndarray], unit: int | None) -> None:
+        row = np.zeros(4 * pieces)
+        for piece, values in parts.items():
+            row[4 * piece : 4 * piece + 4] = values
+        rows.append(row)
+        right.append(np.eye(n)[unit] if unit is not None else np.zeros(n))
+
+    width = np.diff(knots)
+    for p in range(pieces):
+        equation({p: power(0.0, 0)}, p)
+        equation({p: power(width[p], 0)}, p + 1)
+    for p in range(pieces - 1):
+        orders = [1, 2] + ([3] if p in (0, pieces - 2) else [])
+        for order in orders:
+            equation({p: power(width[p], order), p + 1: -power(0.0, order)}, None)
+    solved = np.linalg.solve(np.array(rows), np.array(right))
+    out = []
+    for t in np.clip(np.arange(n_out, dtype=float), knots[0], knots[-1]):
+        p = min(max(int(np.searchsorted(knots, t, side="right")) - 1, 0), pieces - 1)
+        out.append(power(t - knots[p], 0) @ solved[4 * p : 4 * p + 4])
+    return np.array(out)
+
+
+_SPLINE = _spline_table(1.0 + 2.0 * np.arange(8), 16)
+_SPLINE_SQL = "ws(o, i, w) AS (VALUES " + ", ".join(
+    f"({o}, {i}, {float(_SPLINE[o, i])!r}::DOUBLE)" for o in range(16) for i in range(8)
+) + ")"
+
+
+@query(
+    "m3_bicubic",
+    f"""WITH {_PLAIN}, {_SPLINE_SQL}
+        SELECT img, 0 AS unit, a.o AS py, b.o AS px, round(sum(v * a.w * b.w), 9) + 0 AS v
+        FROM plain JOIN ws a ON a.i = y JOIN ws b ON b.i = x GROUP BY img, a.o, b.o""",
+)
 def bicubic(spark, sf):
     return fx.rounded(resample.upsample_cubic(_single_unit(spark, sf), (8, 8), _THIN), "v")
 

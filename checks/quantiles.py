@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks import query
 from unitscope.operators import quantile, reshape
+from unitscope.operators.layout import bounded
 from unitscope.session import cut
 
 _QS = [0.0, 0.1, 0.5, 0.9, 0.995, 1.0]
@@ -58,7 +59,7 @@ def sketch_merge(spark, sf):
     merged = cut(quantile.merge_sketches(daily, ["event_type"]))
     median = quantile.sketch_quantiles(merged, ["event_type"], [0.5]).select("event_type", "estimate")
     rank = (
-        events.join(F.broadcast(median), "event_type")
+        events.join(bounded(cut(median)), "event_type")
         .groupBy("event_type")
         .agg(
             F.avg((F.col("value") < F.col("estimate")).cast("double")).alias("below"),
@@ -73,14 +74,12 @@ def sketch_merge(spark, sf):
 
 @query(
     "f5_midrank_quantiles",
-    f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k,
-                        count(*) OVER (PARTITION BY event_type) AS n FROM events),
-            q AS (SELECT DISTINCT event_type, n, i AS q_idx,
-                         greatest(least({_LIST}[i + 1] * n - 0.5e0, n - 1), 0) AS pos FROM r, range({len(_QS)}) t(i))
-       SELECT event_type, q_idx::INT AS q_idx,
-              round(a.value + (b.value - a.value) * (pos - floor(pos)), 6) AS quantile
-       FROM q JOIN r a USING (event_type) JOIN r b USING (event_type)
-       WHERE a.k = floor(pos) AND b.k = least(floor(pos) + 1, q.n - 1)""",
+    f"""WITH r AS (SELECT event_type, list(value ORDER BY value) AS vs, count(*) AS n FROM events GROUP BY event_type),
+            q AS (SELECT *, i AS q_idx, greatest(least({_LIST}[i + 1] * n - 0.5e0, n - 1), 0) AS pos
+                  FROM r, range({len(_QS)}) t(i)),
+            p AS (SELECT event_type, q_idx, pos - floor(pos) AS f, vs[floor(pos)::BIGINT + 1] AS a,
+                         vs[least(floor(pos)::BIGINT + 1, n - 1) + 1] AS b FROM q)
+       SELECT event_type, q_idx::INT AS q_idx, round(a + (b - a) * f, 6) AS quantile FROM p""",
 )
 def midrank_quantiles(spark, sf):
     out = quantile.quantiles(fx.table(spark, sf, "events"), ["event_type"], "value", _QS)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks import query
-from unitscope.operators import resample, tally
+from unitscope.operators import resample
+from unitscope.operators.layout import bounded
 from unitscope.session import scratch
 from unitscope.sources import images as image_files
 from unitscope.sources import labels, store, tensors
@@ -39,7 +40,7 @@ def nested_round_trip(spark, sf):
 @query(
     "a4_feature_store",
     fx.sql(
-        "SELECT 'resnet' AS model, 'layer4' AS layer, img, unit, round(max(v), 9) AS max_v FROM cell GROUP BY img, unit",
+        "SELECT 'net' AS model, 'layer4' AS layer, img, unit, round(max(v), 9) AS max_v FROM cell GROUP BY img, unit",
         "cell",
     ),
 )
@@ -47,7 +48,7 @@ def feature_store(spark, sf):
     path = scratch(spark, "features")
 
     def compute():
-        return fx.blocks(spark, sf).select(F.lit("resnet").alias("model"), F.lit("layer4").alias("layer"), "*")
+        return fx.blocks(spark, sf).select(F.lit("net").alias("model"), F.lit("layer4").alias("layer"), "*")
 
     store.load_or_compute(spark, path, compute, ["model", "layer"])
     again = store.load_or_compute(spark, path, compute, ["model", "layer"])
@@ -57,18 +58,18 @@ def feature_store(spark, sf):
 
 @query("a5_saved_table", fx.sql("SELECT unit::BIGINT AS id_2, count(*) AS cells FROM cell GROUP BY unit", "cell"))
 def saved_table(spark, sf):
-    table = tensors.save_table(fx.matrix(spark, sf), "feature_map2", scratch(spark, "feature_map2"))
+    table = tensors.save_table(fx.matrix(spark, sf), "scope_features", scratch(spark, "features"))
     return table.groupBy("id_2").agg(F.count("*").alias("cells"))
 
 
 @query("a6_table_query", "SELECT n_nationkey, n_name, n_regionkey, c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey")
 def table_query(spark, sf):
     joined = fx.table(spark, sf, "customer").join(
-        F.broadcast(fx.table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")
+        bounded(fx.table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")
     )
     rows = joined.select("n_nationkey", "n_name", "n_regionkey", "c_custkey")
-    tensors.save_table(rows, "phy", scratch(spark, "phy"))
-    return tensors.query_table(spark, "phy")
+    tensors.save_table(rows, "scope_customers", scratch(spark, "customers"))
+    return tensors.query_table(spark, "scope_customers")
 
 
 @query(
@@ -272,7 +273,7 @@ def class_list_rewrite(spark, sf):
 @query(
     "a16_threshold_store",
     fx.sql(
-        """SELECT 'broden' AS dataset, 'resnet' AS model_name, 'layer4' AS layer_name, unit AS unit_id,
+        """SELECT 'scenes' AS dataset, 'net' AS model_name, 'layer4' AS layer_name, unit AS unit_id,
                   round(t, 9) AS thresh FROM thr""",
         "thr",
     ),
@@ -280,7 +281,7 @@ def class_list_rewrite(spark, sf):
 def threshold_store(spark, sf):
     path = scratch(spark, "thresholds")
     kept = store.load_or_compute(
-        spark, path, lambda: store.threshold_table(fx.thresholds(spark, sf), "broden", "resnet", "layer4")
+        spark, path, lambda: store.threshold_table(fx.thresholds(spark, sf), "scenes", "net", "layer4")
     )
     return fx.rounded(kept, "thresh")
 
@@ -311,13 +312,13 @@ def tally_csv(spark, sf):
 @query(
     "a18_tally_table",
     fx.sql(
-        """SELECT 'broden' AS dataset, 'resnet' AS model_name, 'layer4' AS layer_name, unit AS unit_id,
+        """SELECT 'scenes' AS dataset, 'net' AS model_name, 'layer4' AS layer_name, unit AS unit_id,
                   label AS semantic_label FROM top_""",
         "top",
     ),
 )
 def tally_table(spark, sf):
-    rows = store.tally_table(fx.dissection(spark, sf).records, "broden", "resnet", "layer4")
+    rows = store.tally_table(fx.dissection(spark, sf).records, "scenes", "net", "layer4")
     path = scratch(spark, "tally_result")
     rows.write.parquet(path)
     return spark.read.parquet(path)

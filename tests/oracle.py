@@ -6,6 +6,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -15,6 +16,8 @@ def connect(sf: str):
     import duckdb
 
     con = duckdb.connect()
+    # spill outside the repository
+    con.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='run-')}'")
     for path in glob.glob(f"{sf}/*.parquet"):
         name = os.path.basename(path)[: -len(".parquet")]
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")

@@ -175,3 +175,16 @@ def test_load_or_compute_runs_once(spark):
     for _ in range(2):
         assert store.load_or_compute(spark, path, compute, ["model", "layer"]).first().img == 1
     assert len(calls) == 1
+
+
+def test_features_are_stored_by_layer(spark):
+    df = spark.range(40).select(
+        F.lit("m").alias("model"), F.concat(F.lit("l"), (F.col("id") % 2).cast("string")).alias("layer"),
+        F.col("id").alias("img"), F.lit(0).alias("unit"), F.array(F.lit(0.5)).alias("values"),
+    )
+    path = scratch(spark, "by-layer")
+    store.save_features(df, path)
+    assert store.is_complete(spark, path) and not store.is_complete(spark, path + "-other")
+    one = spark.read.parquet(path).where("layer = 'l1'")
+    assert one.count() == 20
+    assert "PartitionFilters: [isnotnull(layer" in one._jdf.queryExecution().executedPlan().toString()

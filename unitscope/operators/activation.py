@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from unitscope.functions import location_name
 from unitscope.operators.layout import bounded, top_per_group
@@ -33,8 +34,6 @@ def ranked_units(rates: DataFrame, records: DataFrame) -> DataFrame:
     joined = rates.join(bounded(info), "unit")
     # a group holds one row per unit of the network, whatever the number of images
     order = [F.desc("rate"), F.desc("score"), F.asc("unit")]
-    from pyspark.sql.window import Window
-
     return joined.withColumn("rank", F.row_number().over(Window.partitionBy("img").orderBy(*order)))
 
 
@@ -113,8 +112,8 @@ def location_names(strongest: DataFrame, images: DataFrame, records: DataFrame)
 def rate_tree(features: DataFrame, units: list[int], max_depth: int = 4, min_leaf: int = 10):
     """Decision tree (Gini) on wide unit features ``(img, cls, unit_<n>…)``.
 
-    A leaf of ten rows already implies a split of at least twenty. Returns the
-    fitted pipeline stages ``(assembler, model)``; columns are assembled in unit order.
+    A leaf of ten rows already implies a split of at least twenty. Returns the assembler of
+    the unit columns, in the order given, and the fitted tree.
     """
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler

@@ -55,10 +55,14 @@ def bilinear_weights(spark: SparkSession, n_in: int, n_out: int) -> DataFrame:
     """Half-pixel triangle filter; widened when shrinking; normalised at the edges."""
     scale = n_in / n_out
     reach = max(scale, 1.0)
-    centers = (np.arange(n_out) + 0.5) * scale
-    distance = np.abs(np.arange(n_in) + 0.5 - centers[:, None]) / reach
-    weights = np.maximum(0.0, 1.0 - distance)
-    return _from_dense(spark, weights / weights.sum(axis=1, keepdims=True))
+    rows = []
+    for o in range(n_out):
+        center = (o + 0.5) * scale
+        taps = np.arange(max(0, int(center - reach - 0.5)), min(n_in, int(center + reach + 1.5)))
+        weights = np.maximum(0.0, 1.0 - np.abs(taps + 0.5 - center) / reach)
+        weights /= weights.sum()
+        rows += [(o, int(i), float(w)) for i, w in zip(taps, weights) if w > 0]
+    return _table(spark, rows)
 
 
 def linear_weights(

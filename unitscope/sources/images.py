@@ -49,24 +49,6 @@ def label_pixels(images: DataFrame) -> DataFrame:
     return image_pixels(images).select("file", "y", "x", label.alias("label"))
 
 
-def _png(rgb: np.ndarray) -> bytes:
-    """A minimal 8-bit RGB PNG."""
-    height, width, _ = rgb.shape
-    lines = np.concatenate([np.zeros((height, 1), np.uint8), rgb.reshape(height, -1)], axis=1)
-
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        crc = zlib.crc32(kind + data)
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", crc)
-
-    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
-    return (
-        b"\x89PNG\r\n\x1a\n"
-        + chunk(b"IHDR", head)
-        + chunk(b"IDAT", zlib.compress(lines.tobytes()))
-        + chunk(b"IEND", b"")
-    )
-
-
 def write_png(images: DataFrame, path: str) -> int:
     """Write images ``(file, height, width, rgb array<int>)`` below a shared folder.
 
@@ -74,6 +56,23 @@ def write_png(images: DataFrame, path: str) -> int:
     a repeated task overwrites them with the same bytes. Returns the number of files.
     """
 
+    def png(rgb: np.ndarray) -> bytes:
+        """A minimal 8-bit RGB PNG."""
+        height, width, _ = rgb.shape
+        lines = np.concatenate([np.zeros((height, 1), np.uint8), rgb.reshape(height, -1)], axis=1)
+
+        def chunk(kind: bytes, data: bytes) -> bytes:
+            crc = zlib.crc32(kind + data)
+            return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", crc)
+
+        head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+        return (
+            b"\x89PNG\r\n\x1a\n"
+            + chunk(b"IHDR", head)
+            + chunk(b"IDAT", zlib.compress(lines.tobytes()))
+            + chunk(b"IEND", b"")
+        )
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
@@ -87,7 +86,7 @@ def write_png(images: DataFrame, path: str) -> int:
             for row in batch.itertuples(index=False):
                 rgb = np.asarray(row.rgb, dtype=np.uint8).reshape(row.height, row.width, 3)
                 with target.open_output_stream(f"{base}/{row.file}") as out:
-                    out.write(_png(rgb))
+                    out.write(png(rgb))
                 done += 1
         yield pd.DataFrame({"n": [done]})
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from unitscope.operators.layout import spread
 from unitscope.schema import ABSENT, IDS, MATRIX
 
 
@@ -72,7 +73,8 @@ def cells_to_nested(mat: DataFrame, keys: list[str] = (), images_per_row: int =
         return df.groupBy(*by).agg(F.transform(ordered, lambda s: s[item]).alias("_n"))
 
     run = (F.floor(F.col("id_1") / images_per_row) * images_per_row).alias("first_img")
-    rows = mat.select(*keys, run, *IDS, F.col("value").alias("_n"))
+    # one shuffle by run serves all four levels
+    rows = spread(mat.select(*keys, run, *IDS, F.col("value").alias("_n")), *keys, "first_img")
     by = [*keys, "first_img", *IDS]
     for depth in range(4):
         axis = by.pop()
