@@ -165,7 +165,7 @@ def append(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, Any]], adde
 
     A computed name takes the place of a column of that name in ``df``.
     """
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     extra = StructType.fromDDL(added)
@@ -174,16 +174,18 @@ def append(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, Any]], adde
     schema = StructType(list(kept.schema.fields) + list(extra.fields))
     kind = to_arrow_schema(extra)
     names = kept.columns
+    plain = [f"_c{i}" for i in range(len(names))]  # dots in names are no matter inside
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            made = make(batch)
+            made = make(batch.rename_columns(names))
             new = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in zip(kind, (made[f.name] for f in kind))]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + new, names=list(names) + [f.name for f in kind])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + new, names=plain + [f.name for f in kind])
 
-    return kept.mapInArrow(run, schema)
+    inner = StructType([StructField(p, f.dataType) for p, f in zip(plain, kept.schema)] + list(extra.fields))
+    return kept.toDF(*plain).mapInArrow(run, inner).toDF(*schema.names)
 
 
 def quoted(name: str) -> Column:

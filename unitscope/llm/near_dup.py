@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from unitscope.llm.common import (
-    WordHashes, arrow, byte_texts, cut, lists, mix, set_digests, shingle_sets, small_side, table, word_hashes,
+    WordHashes, arrow, byte_texts, cut, lists, mix, quoted, set_digests, shingle_sets, small_side, table, word_hashes,
 )
 from unitscope.llm.registry import query
 from unitscope.operators.graph import connected_components
@@ -204,12 +204,8 @@ def components(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are not the smallest id of their component."""
-    gone = components(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(F.broadcast(gone) if small_enough(gone) else gone, "doc_id", "left_anti").select(docs.columns)
-
-
-def small_enough(df: DataFrame, rows: int = 1_000_000) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    gone = cut(components(docs).where(~F.col("kept")).select("doc_id"))
+    return docs.join(small_side(gone), "doc_id", "left_anti").select([quoted(c) for c in docs.columns])
 
 
 @query("op2_near_dup")
