@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["near_dup", "lines", "mixing", "quality", "packing"]
+_MODULES = ["near_dup", "lines", "mixing", "quality", "packing", "private", "toxicity", "digests"]
 
 
 def load_all() -> None:
