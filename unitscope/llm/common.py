@@ -7,7 +7,6 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +16,9 @@ from unitscope.session import checkpoint_dir, cut  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch handed to Python; texts can be long.
 BATCH_ROWS = 500
-#: Words remembered in a task before its cache starts anew.
-CACHE_WORDS = 200_000
+_ODD = 0x9E3779B97F4A7C15
+#: Bytes hashed together.
+SEGMENT = 1 << 20
 #: Rows of ids that may be broadcast (a few MB); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -45,16 +45,6 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every bit."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -62,15 +52,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(parts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_LETTERS = np.random.default_rng(256).integers(0, 2**64, 256, dtype=np.uint64)
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        made = []
+        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+            row = np.full(n, base, dtype=np.uint64)
+            row[:1] = 1
+            with np.errstate(over="ignore"):
+                made.append(np.multiply.accumulate(row))
+        if n > 4 * SEGMENT:
+            return made[0], made[1]
+        _POWERS[:] = made
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def span_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of the bytes ``x``."""
+    power, back = powers(len(x))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[x] * power, dtype=np.uint64)])
+        return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of every part one after another, and the number of each."""
-    counts = np.zeros(len(parts), dtype=np.int64)
-    out: list[int] = []
-    for i, part in enumerate(parts):
-        words = part.split()
-        counts[i] = len(words)
-        out.extend([cache[w] for w in words])
-    return np.array(out, dtype=np.uint64), counts
+    joined = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
+    sizes = np.array([len(p) + 1 for p in parts], dtype=np.int64)
+    out, where, at = [], [], 0
+    while at < len(joined):
+        to = min(at + SEGMENT, len(joined))
+        while to < len(joined) and not _SPACE[joined[to - 1]]:  # a word is not cut
+            more = np.flatnonzero(_SPACE[joined[to : to + SEGMENT]])
+            to += int(more[0]) + 1 if len(more) else min(SEGMENT, len(joined) - to)
+        x = joined[at:to]
+        edge = np.diff(np.concatenate([[True], _SPACE[x], [True]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        out.append(span_hashes(x, starts, ends))
+        where.append(starts + at)
+        at = to
+    where_all = np.concatenate(where)
+    borders = np.searchsorted(where_all, np.cumsum(sizes))
+    return np.concatenate(out), np.diff(borders, prepend=0).astype(np.int64)
 
 
 def roll(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -78,45 +106,62 @@ def roll(hashes: np.ndarray, width: int) -> np.ndarray:
     rolled = np.zeros(max(len(hashes) - width + 1, 0), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width if len(rolled) else 0):
-            rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - width + 1 + k])
+            rolled = mix(rolled * np.uint64(_ODD) + hashes[k : len(hashes) - width + 1 + k])
     return rolled
 
 
+#: Parts sorted together, and the bits that leaves for the hash of a shingle.
+PARTS, HASH_BITS = 1 << 10, 54
+
+
 def shingle_sets(
     hashes: np.ndarray, counts: np.ndarray, width: int, level: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of every part: ``(shingles, sizes)``, ascending inside a part.
 
-    A part with fewer words than ``width`` has one shingle, its whole sequence of words;
-    without words it has none. The number of words goes into the hash of a short sequence.
-    ``level`` (a power of two of 6-bit numbers, picked by the top bits of a hash) replaces the
-    top 6 bits, so that shingles of a low level come first.
+    Shingles are ``HASH_BITS`` bits of a hash. A part with fewer words than ``width`` has one shingle, its
+    whole sequence of words; without words it has none. ``level`` (a power of two of 6-bit
+    numbers, picked by the top bits of the 64-bit hash) becomes the top 6 bits, so that shingles
+    of a low level come first.
     """
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-    full = counts >= width
+    if len(counts) > PARTS:
+        made, at = [], 0
+        for lo in range(0, len(counts), PARTS):
+            part = counts[lo : lo + PARTS]
+            n = int(part.sum())
+            made.append(shingle_sets(hashes[at : at + n], part, width, level))
+            at += n
+        return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+    starts = np.cumsum(counts) - counts
     rolled = roll(hashes, width)
-    with np.errstate(over="ignore"):
-        per_part = np.where(full, counts - width + 1, (counts > 0).astype(np.int64))
-        owner = np.repeat(np.arange(len(counts)), per_part)
+    full = counts >= width
+    per_part = np.where(full, counts - width + 1, (counts > 0).astype(np.int64))
+    owner = np.repeat(np.arange(len(counts), dtype=np.uint64), per_part)
+    if full.all():
+        # the windows that lie inside one part
+        values = rolled[np.arange(len(owner)) + (width - 1) * owner.astype(np.int64)]
+    else:
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(per_part) - per_part, per_part)
         values = np.zeros(len(owner), dtype=np.uint64)
-        whole = full[owner]
-        values[whole] = rolled[(starts[owner] + inside)[whole]]
-        for i in np.flatnonzero((counts > 0) & ~full):
-            value = np.zeros(1, dtype=np.uint64)
-            for h in hashes[starts[i] : starts[i] + counts[i]]:
-                value = mix(value * np.uint64(0x9E3779B97F4A7C15) + h)
-            values[np.searchsorted(owner, i)] = mix(value + np.uint64(counts[i]))[0]
-    if level is not None:
-        shift = np.uint64(65 - len(level).bit_length())
-        values = level[(values >> shift).astype(np.int64)] << np.uint64(58) | values & np.uint64((1 << 58) - 1)
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
-    if len(values):
-        first = np.ones(len(values), dtype=bool)
-        first[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-        owner, values = owner[first], values[first]
-    return values, np.bincount(owner, minlength=len(counts)).astype(np.int64)
+        whole = np.repeat(full, per_part)
+        values[whole] = rolled[(np.repeat(starts, per_part) + inside)[whole]]
+        short = np.flatnonzero((counts > 0) & ~full)
+        with np.errstate(over="ignore"):
+            for i, at in zip(short, (np.cumsum(per_part) - per_part)[short]):
+                value = np.full(1, counts[i], dtype=np.uint64)
+                for h in hashes[starts[i] : starts[i] + counts[i]]:
+                    value = mix(value * np.uint64(_ODD) + h)
+                values[at] = value[0]
+    if level is None:
+        values >>= np.uint64(64 - HASH_BITS)
+    else:
+        top = level[(values >> np.uint64(65 - len(level).bit_length())).astype(np.int64)]
+        values = top << np.uint64(HASH_BITS - 6) | values & np.uint64((1 << (HASH_BITS - 6)) - 1)
+    keys = np.sort(owner << np.uint64(HASH_BITS) | values)
+    if len(keys):
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    sizes = np.bincount((keys >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(counts))
+    return keys & np.uint64((1 << HASH_BITS) - 1), sizes.astype(np.int64)
 
 
 def set_digests(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

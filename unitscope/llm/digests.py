@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitscope.llm.common import arrow, byte_texts, mix, table, text_key
+from unitscope.llm.common import arrow, byte_texts, span_hashes, table, text_key
 from unitscope.llm.registry import query
 
 WINDOW, RUN, POINTS = 64, 64, 16
@@ -36,9 +36,6 @@ BITS, FILL, HASHES = 2048, 160, 5
 CHUNK = 1 << 20
 
 _F = np.round(np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * 65536).astype(np.int64)
-_TABLE = np.random.default_rng(64).integers(0, 2**64, 256, dtype=np.uint64)
-_ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 def levels(x: np.ndarray) -> np.ndarray:
@@ -119,15 +116,7 @@ def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
             for i in np.flatnonzero((number > 0) & (number < RUN)):
                 points[int(key[starts[i] : starts[i] + number[i]].min()) & 0xFFFFFFFF] = POINTS
             chosen = np.flatnonzero(points >= POINTS)
-            with np.errstate(over="ignore"):
-                power = np.full(len(x), _ODD, dtype=np.uint64)
-                power[0] = 1
-                power = np.multiply.accumulate(power)
-                back = np.full(len(x), pow(_ODD, -1, 1 << 64), dtype=np.uint64)
-                back[0] = 1
-                back = np.multiply.accumulate(back)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[x] * power, dtype=np.uint64)])
-                hashes = mix((sums[chosen + WINDOW] - sums[chosen]) * back[chosen])
+            hashes = span_hashes(x, chosen, chosen + WINDOW)
         ends = np.searchsorted(chosen, starts + number)
         begins = np.searchsorted(chosen, starts)
         for i, t in enumerate(part):

@@ -1,18 +1,20 @@
 """Near-duplicate documents by an inverted join over MinHash coordinates.
 
 Every document posts its id under each pair of signature coordinate and value. Two
-documents of the wanted similarity share, but for odds of about one in a million at the
-threshold itself, at least ``MATCHES`` of the ``COORDINATES`` pairs. The join finds those:
+documents of the wanted similarity share, but for odds of about one in a hundred thousand at
+the threshold itself, at least ``MATCHES`` of the ``COORDINATES`` pairs. The join finds those:
 
 * documents with equal shingle sets are one class, and only its smallest id posts;
 * pairs that nobody shares are dropped; the rest of a document's pairs are ordered by how
   many share them, and only the prefix posts that two documents with enough matches must
   meet in (``shared - MATCHES + 1`` rarest ones);
-* the lists are read in rounds. A round compares the smallest id of each list with the
-  rest, confirms links on full shingle sets, and joins what is linked into components.
-  Later rounds skip pairs that are in one component already, so a large group of copies
-  costs a few comparisons for each member and never all its pairs; the last round
-  compares every pair that is still apart;
+* the lists are read in rounds. A round compares one document of each list with the
+  rest, first the one that shares most, then the smallest id; it confirms links on full
+  shingle sets and joins what is linked into components. Later rounds skip pairs that are in one
+  component already, so a large group of copies costs a few comparisons for each member
+  and never all its pairs;
+* the last round compares every pair that is still apart and may be similar: in no hash class
+  of shingles can more be common than either document has that any document left also has;
 * comparing counts the collisions of the two whole signatures, skipping the lists.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked
@@ -30,17 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from unitscope.llm.common import (
-    WordHashes, arrow, byte_texts, cut, lists, mix, quoted, set_digests, shingle_sets, small_side, table, word_hashes,
+    arrow, byte_texts, cut, lists, mix, quoted, set_digests, shingle_sets, small_side, table, word_hashes,
 )
 from unitscope.llm.registry import query
 from unitscope.operators.graph import connected_components
 
 WIDTH = 5
 SIMILAR = (75, 100)
-COORDINATES = 32
-MATCHES = 12
-#: Rounds that compare with one document of each list before all open pairs are compared.
-ROUNDS = 2
+COORDINATES = 64
+MATCHES = 33
+#: Hash classes of shingles; what two documents can have in common is bounded in each.
+CLASSES = 64
 
 
 def minhash(values: np.ndarray, sizes: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
@@ -60,9 +62,8 @@ def shingled(docs: DataFrame, with_sets: bool, width: int = WIDTH) -> DataFrame:
     schema = "doc_id long, n long, " + ("shingles array<long>" if with_sets else "d1 long, d2 long, signature binary")
 
     def make(batch: pa.RecordBatch) -> dict:
-        cache = make.cache = getattr(make, "cache", None) or WordHashes()
         texts = [t.lower() for t in byte_texts(batch.column(1))]
-        values, sizes = shingle_sets(*word_hashes(texts, cache), width)
+        values, sizes = shingle_sets(*word_hashes(texts), width)
         out = {"doc_id": batch.column(0), "n": pa.array(sizes)}
         if with_sets:
             return out | {"shingles": lists(values.view(np.int64), sizes)}
@@ -127,30 +128,38 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def posted(signs: DataFrame, least: int = MATCHES) -> DataFrame:
-    """``(key, id, n)``: the prefix of every document's shared coordinate-value pairs, rarest first."""
+    """``(key, id, shared)``: the prefix of every document's shared coordinate-value pairs, rarest first."""
 
     def make(batch: pa.RecordBatch) -> dict:
-        s = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
+        s = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
         k = s.shape[1]
-        keys = s.astype(np.int64) << 6 | np.arange(k)
-        return {
-            "key": pa.array(keys.ravel()),
-            "id": pa.array(np.repeat(batch.column(0).to_numpy(), k)),
-            "n": pa.array(np.repeat(batch.column(1).to_numpy(), k)),
-        }
-
-    posts = arrow(signs.select("id", "n", "signature"), make, "key long, id long, n long")
+        keys = s.astype(np.int64) << 7 | np.arange(k)
+        return {"key": pa.array(keys.ravel()), "id": pa.array(np.repeat(batch.column(0).to_numpy(), k))}
+
+    posts = arrow(signs.select("id", "signature"), make, "key long, id long").repartition("key")
     often = posts.groupBy("key").agg(F.count("*").alias("_f")).where("_f > 1")
     mine = Window.partitionBy("id")
     return (
-        posts.join(often, "key")
+        posts.join(often.hint("shuffle_hash"), "key")
         .withColumn("_rank", F.row_number().over(mine.orderBy("_f", "key")))
-        .withColumn("_shared", F.count("*").over(mine))
-        .where(F.col("_rank") <= F.col("_shared") - (least - 1))
-        .select("key", "id", "n")
+        .withColumn("shared", F.count("*").over(mine))
+        .where(F.col("_rank") <= F.col("shared") - (least - 1))
+        .select("key", "id", "shared")
     )
 
 
+def common_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, n, q, counts)``: the shingles of each of ``ids``, those that another of them has too, and
+    how many of these fall into each of ``CLASSES`` hash classes. ``ids`` has been cut."""
+    sets = shingled(docs.join(small_side(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi"), True)
+    rows = cut(sets.select(F.col("doc_id").alias("id"), "n", F.explode("shingles").alias("g")))
+    twice = rows.groupBy("g").agg(F.count("*").alias("_f")).where("_f > 1").select("g")
+    split = rows.join(twice, "g").groupBy("id", "n", F.pmod("g", F.lit(CLASSES)).cast("int").alias("c")).agg(F.count("*").alias("_n"))
+    held = split.groupBy("id", "n").agg(F.sum("_n").alias("q"), F.map_from_entries(F.collect_list(F.struct("c", "_n"))).alias("_m"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)))
+    return held.select("id", "n", "q", counts.alias("counts"))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every document with an id."""
     docs = whole(docs)
@@ -162,28 +171,32 @@ def components(docs: DataFrame) -> DataFrame:
     )
     posts = cut(posted(signs))
     links, labels = None, None
-    for r in range(ROUNDS + 1):
-        current = posts
+    num, den = SIMILAR
+    for head in (F.struct("shared", -F.col("id")), -F.col("id"), None):
+        current = posts.withColumn("comp", F.col("id"))
         if labels is not None:
             current = posts.join(labels, posts["id"] == labels["node"], "left").select(
-                "key", "id", "n", F.coalesce("component", "id").alias("comp")
+                "key", "id", "shared", F.coalesce("component", "id").alias("comp")
             )
             apart = current.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
             current = cut(current.join(apart.select("key"), "key", "left_semi"))
+        if head is not None:
+            first = current.groupBy("key").agg(F.max_by(F.struct("id", "comp"), head).alias("_h"))
+            pairs = current.join(first, "key").where(F.col("comp") != F.col("_h.comp")).select(
+                F.least("id", "_h.id").alias("a"), F.greatest("id", "_h.id").alias("b")
+            )
         else:
-            current = current.withColumn("comp", F.col("id"))
-        if r < ROUNDS:
-            # a document of each list, another one in each round
-            pick = F.min("id") if r == 0 else F.max("id")
-            heads = current.groupBy("key").agg(pick.alias("head"), F.min_by("comp", F.col("id") if r == 0 else -F.col("id")).alias("_hc"))
-            near = current.join(heads, "key").where((F.col("comp") != F.col("_hc")) & (F.col("id") != F.col("head")))
-            pairs = near.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-        else:
-            other = current.select("key", F.col("id").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"))
-            num, den = SIMILAR
-            pairs = current.withColumnRenamed("id", "a").join(other, "key").where(
+            bound = cut(common_shingles(docs, cut(current.select("id").distinct())))
+            # 4 q >= 3 n, else nothing can be similar
+            one = cut(current.join(bound, "id").where(den * F.col("q") >= num * F.col("n")))
+            two = one.select("key", F.col("id").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), F.col("q").alias("_qb"), F.col("counts").alias("_kb"))
+            classwise = F.aggregate(F.zip_with("counts", "_kb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda a, x: a + x)
+            most = F.least("q", "_qb")
+            pairs = one.withColumnRenamed("id", "a").join(two, "key").where(
                 (F.col("a") < F.col("b")) & (F.col("comp") != F.col("_cb"))
                 & (F.least("n", "_nb") * den >= F.greatest("n", "_nb") * num)
+                & ((num + den) * most >= num * (F.col("n") + F.col("_nb")))
+                & ((num + den) * classwise >= num * (F.col("n") + F.col("_nb")))
             ).select("a", "b")
         found = cut(matches(pairs.distinct(), signs))
         if not found.isEmpty():

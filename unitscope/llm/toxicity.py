@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitscope.llm.common import CACHE_WORDS, append, arrow, byte_texts, cut, lists, table
+from unitscope.llm.common import append, arrow, byte_texts, cut, lists, table
 from unitscope.llm.quality import sample_labels
 from unitscope.llm.registry import query
 
@@ -31,6 +31,8 @@ BITS = 20
 #: Rows learned from, at most, by the digest of the id.
 MAX_POSITIVE, MAX_UNLABELLED = 5_000, 16_000
 CUT = 0.3
+#: Words remembered in a task before its cache starts anew.
+CACHE_WORDS = 50_000
 #: Step length and L1 penalty of the training.
 RATE, SPARSE = 0.3, 1e-5
 #: Standard deviations by which a feature must be more frequent in positives.
@@ -49,7 +51,7 @@ class Buckets(dict):
     """Hash buckets of a word: itself, its beginnings, and its inner pieces."""
 
     def __missing__(self, word: bytes) -> list[int]:
-        if len(self) >= CACHE_WORDS // 4:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         mask = (1 << BITS) - 1
         bare = word.strip(TRIM) or word
