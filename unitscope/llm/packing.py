@@ -17,6 +17,7 @@ too. An empty table gives no rows.
 
 from __future__ import annotations
 
+import contextlib
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -31,40 +32,90 @@ from unitscope.llm.registry import query
 
 LENGTH = 4096
 END = 2
+_END = np.array([END], dtype="<u4").tobytes()
 GROUP_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 
 
 class Encoder:
-    """Token ids of whole texts by a tokenizer file whose tokens never cross white space."""
+    """Token ids of whole texts by a tokenizer file whose tokens never cross white space.
+
+    Words are encoded once and remembered, as little-endian bytes of their ids, in two
+    generations of ``CACHE_WORDS``. New ones are encoded together, between marks that none of them holds.
+    """
+
+    MARK = "~"
+    #: Marks that are tokens of their own behind a letter.
+    ENDS = frozenset(".,;:!?")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        (self.mark,) = self._ids(self.MARK)
+        self.ends = {e: self._bytes(e) for e in self.ENDS}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self._ids(text), dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        known, old = self.known, self.old
+        new = []
+        for w in words:
+            if w in old:
+                known[w] = old[w]
+            else:
+                new.append(w)
+        split = {w: w[:-1] for w in new if w[-1] in self.ENDS and w[-2:-1].isascii() and w[-2:-1].isalpha()}
+        stems = [w for w in {split.get(w, w) for w in new} if w not in known]
+        odd = [w for w in stems if self.MARK in w]
+        plain = [w for w in stems if self.MARK not in w]
+        for w in odd:
+            known[w] = self._bytes(w)
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        between = f" {self.MARK} "
+        made = self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, made):
+            ids = np.array(encoding.ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(group) - 1:
+                raise ValueError("the tokenizer does not keep words apart")
+            raw = ids.tobytes()
+            for w, lo, hi in zip(group, [0, *(cuts + 1)], [*cuts, len(ids)]):
+                known[w] = raw[4 * lo : 4 * hi]
+        for w, stem in split.items():
+            known[w] = known[stem] + self.ends[w[-1]]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text and the end token."""
-        parts = [(t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]
+        parts = []
+        for t in texts:
+            t = t or ""
+            with contextlib.suppress(UnicodeEncodeError):
+                # the tokenizer lowers letters too, so fewer words are new; beyond these
+                # letters lowering may depend on what is composed first
+                t.encode("latin-1")
+                t = t.lower()
+            for space in "\t\n\r\x0b\x0c":
+                t = t.replace(space, " ")
+            parts.append(t.split(" "))
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.old = {"": b""}, self.known
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for words in parts for w in words if w not in known})
-        for word, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = made.ids
-        out = []
-        for words in parts:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            ids.append(END)
-            out.append(np.array(ids, dtype="<u4"))
-        return out
+        new = [w for w in set().union(*parts) if w not in known]
+        if new:
+            self._learn(new)
+        get = known.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)) + _END, dtype="<u4") for words in parts]
 
 
 def cost(n: int) -> float:
