@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["near_dup", "lines", "mixing", "quality", "packing", "private", "toxicity", "digests"]
+_MODULES = ["html", "near_dup", "licenses", "lines", "mixing", "digests", "private", "toxicity", "quality", "packing"]
 
 
 def load_all() -> None:
