@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -35,6 +36,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which an idle driver puts off for
+    long while the files of finished steps fill the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_key(text: Column) -> Column:
     """Which of the rows with one id this is: a digest of its text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

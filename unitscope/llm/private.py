@@ -11,8 +11,8 @@ the share of the entity's information that the term gives away (1: it occurs now
 ``SUPPORT`` contexts and a disclosure of at least ``DISCLOSURE`` get spans of the kind ``term`` next to the
 entity. ``sanitise`` generalises entities to their kind and removes revealing terms.
 
-Defined results: a null or empty text has no spans. Rows are judged each for itself; for counting,
-equal texts are one text and equal surroundings of an entity are one context. An empty table gives no rows.
+Defined results: a null or empty text has no spans. Rows are judged each for itself; equal surroundings
+of an entity count as one context, so copies of a text add none. An empty table gives no rows.
 Positions count code points, the end is exclusive.
 """
 
@@ -160,9 +160,10 @@ def revealing(docs: DataFrame, near: DataFrame) -> DataFrame:
     entities = near.select("v", "c").distinct().groupBy("v").agg(F.count("*").alias("_nv"))
     often = cut(once.groupBy("v", "term").agg(F.count("*").alias("_ntv")).where(F.col("_ntv") >= SUPPORT))
     terms = cut(often.select("term").distinct())
-    words = docs.select(F.xxhash64("text").alias("_k"), F.explode(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+")).alias("term"))
-    spread = words.join(small_side(terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("_nt"))
-    total = docs.select(F.xxhash64("text").alias("_k")).distinct().agg(F.count("*").alias("_all"))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"))).alias("term"))
+    # counted before they meet, so a word that every text has is one row of each task
+    spread = words.groupBy("term").agg(F.count("*").alias("_nt")).join(small_side(terms), "term")
+    total = docs.where(F.col("text").isNotNull()).agg(F.count("*").alias("_all"))
     gives = F.log2(F.col("_ntv") * F.col("_all") / (F.greatest("_nt", "_ntv") * F.col("_nv"))) / F.log2(F.col("_all") / F.col("_nv"))
     return (
         often.join(spread, "term").join(entities, "v").join(F.broadcast(total))  # one row
