@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from unitscope.llm.common import cut, small_side, table
 from unitscope.llm.registry import query
@@ -39,23 +40,6 @@ TERM = r"[\p{L}\p{N}]+"
 AROUND = 60
 SUPPORT = 3
 DISCLOSURE = 0.8
-#: Lengths are added up in blocks of this many, so that a text full of matches stays cheap.
-BLOCK = 256
-
-
-def _starts(gaps: Column, sizes: Column) -> Column:
-    """Start of every match, from the lengths of the gaps before the matches and of the matches."""
-    both = F.zip_with(gaps, sizes, lambda g, s: F.coalesce(g, F.lit(0)) + F.coalesce(s, F.lit(0)))
-    add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")), lambda b: add(F.slice(both, b * BLOCK + 1, BLOCK))
-    )
-    return F.transform(
-        F.sequence(F.lit(0), F.size(sizes) - 1),
-        lambda i: add(F.slice(blocks, 1, F.floor(i / BLOCK).cast("int")))
-        + add(F.slice(both, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
-        + F.get(gaps, i),
-    )
 
 
 def _digits(value: Column) -> Column:
@@ -80,7 +64,7 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return F.forall(
             F.split(value, r"\."),
-            lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.ltrim(F.lit("0"), p).try_cast("int"), F.lit(0)) <= 255),
+            lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255),
         )
     if kind == "card":
         d = _digits(value)
@@ -94,35 +78,55 @@ _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``: the base spans of ``text``, by start, then kind."""
+    """``(_row, doc_id, _k, text, _spans)`` of every row of ``(doc_id, text)``, cut: base spans by
+    start, then kind, and the text where a pattern met it.
+
+    A pattern gives the matches and the gaps before them; places are running sums of their
+    lengths, over rows, so a text full of matches takes linear time.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs
+    found = docs.select("doc_id", F.xxhash64("text").alias("_k"), "text")
     for kind, pattern in PATTERNS.items():
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         hint = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind)
-        out = out.withColumn(f"_m_{kind}", found if hint is None else F.when(hint, found).otherwise(F.array().cast("array<string>")))
+        found = found.withColumn(f"_m_{kind}", values if hint is None else F.when(hint, values).otherwise(F.array().cast("array<string>")))
     for kind, pattern in PATTERNS.items():
-        gaps = F.transform(F.split(text, pattern, -1), F.length)
-        out = out.withColumn(f"_g_{kind}", F.when(F.size(f"_m_{kind}") > 0, gaps))
-    for n, (kind, _) in enumerate(PATTERNS.items()):
-        m = F.col(f"_m_{kind}")
-        sizes = F.transform(m, F.length)
-        spans = F.zip_with(
-            F.filter(F.zip_with(m, _starts(F.col(f"_g_{kind}"), sizes), lambda v, s: F.struct(v.alias("v"), s.alias("s"))), lambda x: _valid(kind, x["v"])),
-            F.array().cast("array<int>"),
-            lambda x, _: F.struct(x["s"].alias("start"), F.lit(n).alias("kind"), (x["s"] + F.length(x["v"])).alias("end")),
+        found = found.withColumn(f"_g_{kind}", F.when(F.size(f"_m_{kind}") > 0, F.transform(F.split(text, pattern, -1), F.length)))
+    numbered = [
+        F.transform(
+            F.zip_with(f"_m_{kind}", F.slice(f"_g_{kind}", F.lit(1), F.size(f"_m_{kind}")), lambda v, g: F.struct(v.alias("v"), g.alias("g"))),
+            lambda x, i: F.struct(F.lit(n).alias("kind"), i.alias("i"), x["v"].alias("v"), x["g"].alias("g")),
         )
-        out = out.withColumn(f"_s_{kind}", F.when(F.size(m) > 0, spans).otherwise(F.array().cast(_SPAN)))
-    every = F.array_sort(F.concat(*[F.col(f"_s_{k}") for k in PATTERNS]))
-    return out.withColumn("_spans", every).drop(*[f"_{p}_{k}" for p in "mgs" for k in PATTERNS])
-
-
-def _terms(window: Column, start: Column) -> Column:
-    """Words of a window of the text and where they stand."""
-    words = F.regexp_extract_all(window, F.lit(TERM), F.lit(0))
-    gaps = F.transform(F.split(window, TERM, -1), F.length)
-    placed = F.zip_with(words, _starts(gaps, F.transform(words, F.length)), lambda w, s: F.struct(F.lower(w).alias("term"), (start + s).alias("at"), F.length(w).alias("n")))
-    return F.when(F.size(words) > 0, placed).otherwise(F.array().cast("array<struct<term:string,at:int,n:int>>"))
+        for n, kind in enumerate(PATTERNS)
+    ]
+    none = F.array().cast("array<struct<kind:int,i:int,v:string,g:int>>")
+    matches = F.concat(*[F.coalesce(m, none) for m in numbered])
+    found = found.select("doc_id", "_k", "text", matches.alias("_m"))
+    # the row numbers are cut with what they number, so a lost task cannot change them
+    found = cut(found.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "_k", "_m", F.when(F.size("_m") > 0, F.col("text")).alias("text")))
+    so_far = Window.partitionBy("_row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = found.select("_row", F.inline("_m")).withColumn("_end", F.sum(F.col("g") + F.length("v")).over(so_far).cast("int"))
+    valid = F.lit(False)
+    for n, kind in enumerate(PATTERNS):
+        valid = F.when(F.col("kind") == n, _valid(kind, F.col("v"))).otherwise(valid)
+    span = F.struct((F.col("_end") - F.length("v")).alias("start"), "kind", F.col("_end").alias("end"))
+    spans = spans.where(valid).groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("_spans"))
+    return found.drop("_m").join(spans, "_row", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(_SPAN)))
+
+
+def _terms(window: str, start: Column) -> Column:
+    """Words of a short window of the text, from its columns of words and gaps, and where they stand."""
+    words = F.zip_with(f"{window}_words", F.slice(f"{window}_gaps", F.lit(1), F.size(f"{window}_words")), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<term:string,at:int,n:int>>").alias("out"))
+    return F.aggregate(
+        words,
+        first,
+        lambda a, x: F.struct(
+            (a["at"] + x["g"] + F.length(x["w"])).alias("at"),
+            F.array_append(a["out"], F.struct(F.lower(x["w"]).alias("term"), (a["at"] + x["g"] + start).alias("at"), F.length(x["w"]).alias("n"))).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
 
 
 def contexts(found: DataFrame) -> DataFrame:
@@ -146,7 +150,10 @@ def contexts(found: DataFrame) -> DataFrame:
         .withColumn("_a", F.when(F.length("_after") == AROUND, F.regexp_replace("_after", r"[\p{L}\p{N}]++$", "")).otherwise(F.col("_after")))
         .withColumn("c", F.xxhash64("_b", "_a"))
     )
-    both = F.concat(_terms(F.col("_b"), F.col("_l") + F.length("_before") - F.length("_b")), _terms(F.col("_a"), F.col("_e")))
+    for window in ("_b", "_a"):
+        near = near.withColumn(f"{window}_words", F.regexp_extract_all(F.col(window), F.lit(TERM), F.lit(0)))
+        near = near.withColumn(f"{window}_gaps", F.transform(F.split(window, TERM, -1), F.length))
+    both = F.concat(_terms("_b", F.col("_l") + F.length("_before") - F.length("_b")), _terms("_a", F.col("_e")))
     # words inside another entity are no terms
     out = near.select("_row", "v", "c", "_spans", F.explode(both).alias("_t")).where(
         ~F.exists("_spans", lambda x: (x["start"] < F.col("_t.at") + F.col("_t.n")) & (x["end"] > F.col("_t.at")))
@@ -175,11 +182,7 @@ def revealing(docs: DataFrame, near: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` with ``spans``: base spans and those of revealing terms, by start, then kind."""
-    kept = docs.drop("spans")
-    # the row numbers are cut with what they number, so a lost task cannot change them
-    found = base_spans(kept.select("doc_id", "text")).withColumn("_row", F.monotonically_increasing_id())
-    near_text = F.when(F.size("_spans") > 0, F.col("text"))
-    found = cut(found.select("doc_id", F.xxhash64("text").alias("_k"), "_row", "_spans", near_text.alias("text")))
+    found = cut(base_spans(docs.select("doc_id", "text")))
     near = cut(contexts(found))
     risky = revealing(docs, near)
     more = near.join(risky, ["v", "term"]).groupBy("_row").agg(
