@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -42,8 +43,10 @@ def release(spark: SparkSession) -> None:
     It does so when the driver's garbage is collected, which an idle driver puts off for
     long while the files of finished steps fill the executors' disks.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold other things
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def text_key(text: Column) -> Column:
