@@ -101,7 +101,12 @@ def label_order(spark, sf):
     return rank.label_order(rank.label_histogram(_records(spark, sf)), _ORDER)
 
 
-@query("i4_category_totals", f"WITH {_REC}, {_HIST} SELECT category, count(*) AS n_labels FROM histo GROUP BY category")
+@query(
+    "i4_category_totals",
+    f"""WITH {_REC}, {_HIST}, every AS (SELECT category, 1 AS n FROM histo UNION ALL
+            SELECT unnest(['object', 'scene', 'part', 'material', 'texture', 'color']), 0)
+        SELECT category, sum(n)::BIGINT AS n_labels FROM every GROUP BY category""",
+)
 def category_totals(spark, sf):
     return rank.category_totals(rank.label_histogram(_records(spark, sf)))
 

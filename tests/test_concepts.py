@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from unitscope.operators import concepts
+from unitscope.functions import typed_double
+from unitscope.operators import concepts, rank
 from unitscope.operators.layout import global_index
 from unitscope.sources import labels
 
@@ -100,3 +101,14 @@ def test_typed_values(spark):
     raw = spark.createDataFrame([("12",), ("-3",), ("1.5",), ("2e+3",), ("-",), ("beach",), ("",)], "v string")
     got = [tuple(r) for r in labels.value_kinds(raw, "v").collect()]
     assert got == [(12, None, None), (-3, None, None), (None, 1.5, None), (None, 2000.0, None), (None, None, "-"), (None, None, "beach"), (None, None, "")]
+
+
+def test_numbers_as_spark_writes_them(spark):
+    df = spark.createDataFrame([("1.0E-5",), ("2.5E7",), ("3e2",), ("-4",), ("x",)], "c string")
+    assert [r[0] for r in df.select(typed_double(F.col("c"))).collect()] == [1e-5, 2.5e7, 300.0, -4.0, None]
+
+
+def test_categories_without_labels_count_zero(spark):
+    histogram = spark.createDataFrame([("a", "object"), ("b", "object"), ("c", "odd")], "label string, category string")
+    got = {r["category"]: r["n_labels"] for r in rank.category_totals(histogram, ["object", "part"]).collect()}
+    assert got == {"object": 2, "part": 0, "odd": 1}

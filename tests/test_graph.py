@@ -111,3 +111,20 @@ def test_modularity_counts_loops_twice(spark):
     df = spark.createDataFrame([(0, 0, 2), (0, 1, 1), (1, 1, 2)], "src long, dst long, weight long")
     apart = spark.createDataFrame([(0, 0), (1, 1)], "unit long, community long")
     assert graph.modularity(df, apart).first().modularity == pytest.approx(4 / 5 - 2 * (5 / 10) ** 2)
+
+
+def test_long_ids_stay_apart(spark):
+    """Two triangles whose ids share their first twelve digits."""
+    first = 10**13
+    rows = [(first + a + g, first + b + g, 1.0) for g in (0, 3) for a, b in ((0, 1), (0, 2), (1, 2))]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    found = graph.k_clique_communities(edges, 3).collect()
+    assert len({r["community"] for r in found}) == 2 and len(found) == 6
+
+
+def test_communities_of_separate_cliques(spark):
+    """Without a limit on passes, cliques joined by one edge each are the communities."""
+    rows = [(8 * g + a, 8 * g + b, 1.0) for g in range(12) for a in range(8) for b in range(a + 1, 8)]
+    rows += [(8 * g, 8 * g + 8, 0.1) for g in range(11)]
+    found = graph.multilevel_communities(spark.createDataFrame(rows, "src long, dst long, weight double"))
+    assert {(r["unit"], r["community"]) for r in found.collect()} == {(u, u // 8 * 8) for u in range(96)}

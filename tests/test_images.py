@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitscope.functions import location_name
+from unitscope.functions.text import two_decimals
 from unitscope.operators import activation, images, resample
 from unitscope.session import scratch
 from unitscope.sources import images as files
@@ -188,3 +189,42 @@ def test_features_are_stored_by_layer(spark):
     one = spark.read.parquet(path).where("layer = 'l1'")
     assert one.count() == 20
     assert "PartitionFilters: [isnotnull(layer" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unreadable_files_are_reported(spark, tmp_path):
+    folders = [tmp_path / "a", tmp_path / "b"]
+    for n, folder in enumerate(folders):
+        rows = [("x.png", 2, 3, [10 * n + 1] * 18)]
+        files.write_png(spark.createDataFrame(rows, "file string, height int, width int, rgb array<int>"), str(folder))
+    (tmp_path / "a" / "broken.png").write_bytes(b"no image")
+    found = files.read_images(spark, str(tmp_path / "a"))
+    assert {r["file"] for r in found.collect()} == {"x.png", "broken.png"}
+    assert [r["file"] for r in files.unreadable(found).collect()] == ["broken.png"]
+    assert files.image_pixels(found).count() == 6
+    both = files.read_images(spark, f"{tmp_path}/[ab]")
+    assert both.count() == 3
+
+
+def test_two_decimals_are_exact(spark):
+    values = [0.025, 0.005, 0.015, 0.125, 0.375, 0.995, 1.005, 0.0, 0.3, 1.0, 2.675]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(two_decimals(F.col("v"))).collect()]
+    assert got == ["%.2f" % v for v in values]
+
+
+def test_shrinking_maps_use_the_wide_filter(spark):
+    rng = np.random.default_rng(8)
+    for (h, w), (oh, ow) in (((8, 8), (3, 3)), ((8, 5), (3, 7)), ((4, 9), (6, 4)), ((7, 7), (7, 7))):
+        data = rng.normal(size=(h, w))
+        blocks = spark.createDataFrame([(0, 0, h, w, data.ravel().tolist())], "img int, unit int, h int, w int, values array<double>")
+        got = np.zeros((oh, ow))
+        for r in resample.enlarge_blocks(blocks, oh, ow).collect():
+            got[r["py"], r["px"]] = r["v"]
+        want = np.zeros((oh, ow))
+        rows, cols = (
+            {(r["o"], r["i"]): r["w"] for r in resample.bilinear_weights(spark, a, b).toDF("o", "i", "w").collect()} for a, b in ((h, oh), (w, ow))
+        )
+        for (y, i), p in rows.items():
+            for (x, j), q in cols.items():
+                want[y, x] += p * q * data[i, j]
+        assert np.allclose(got, want)

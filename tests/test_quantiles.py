@@ -65,11 +65,11 @@ def test_integrate(spark):
 
 
 def test_sketches_merge(spark):
-    """Adversarial order: the stream keeps adding values in the middle."""
-    n = 20_000
-    data = np.arange(float(n))
-    data[1::2] = data[-1::-2] + (n - 1)
-    data /= 2
+    """A hard order: sorted blocks of growing range, taken from the low and the high end in turn."""
+    rng = np.random.default_rng(12)
+    blocks = [np.sort(rng.normal(scale=1.5**b, size=500)) for b in range(40)]
+    data = np.concatenate([b if i % 2 else b[::-1] for i, b in enumerate(blocks)])
+    n = len(data)
     rows = [(i % 7, float(v)) for i, v in enumerate(data)]
     df = spark.createDataFrame(rows, "part int, v double").withColumn("g", F.lit("a"))
     parts = quantile.build_sketch(df, ["g", "part"], "v", k=400)

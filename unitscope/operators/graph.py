@@ -6,7 +6,7 @@ Edges are ``(src, dst, weight)`` with ``src < dst``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -128,7 +128,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+#: Halvings of the nodes that may move in a pass, before single moves are given up as broken.
+MOST_IDLE = 48
+
+
+def connected_components(links: DataFrame) -> DataFrame:
     """Smallest reachable node of every node, ``(node, component)``, from links ``(a, b)``.
 
     Every round takes the smallest label among the neighbours and then jumps to that
@@ -141,7 +145,7 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     labels = cut(pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m")).select(
         "node", F.least("node", "_m").alias("component")
     ))
-    for _ in range(max_rounds):
+    while True:  # every round lowers a label, so this ends
         near = (
             pairs.join(labels, pairs["b"] == labels["node"])
             .groupBy("a")
@@ -159,7 +163,6 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = moved.select("node", "component")
         if moved.where(F.col("component") != F.col("_old")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def cliques(edges: DataFrame, k: int) -> DataFrame:
@@ -176,6 +179,12 @@ def cliques(edges: DataFrame, k: int) -> DataFrame:
     return out.select(*[f"n_{i}" for i in range(1, k + 1)])
 
 
+def _padded(node):
+    """A node's number in at least 12 digits; a longer one keeps all of them."""
+    text = node.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(12)), F.lit("0"))
+
+
 def k_clique_communities(edges: DataFrame, k: int = 5) -> DataFrame:
     """Communities ``(community, unit)`` of cliques of size ``k`` linked by ``k - 1``
     shared nodes. A unit may be in several. A community is named by its smallest clique
@@ -190,7 +199,7 @@ def k_clique_communities(edges: DataFrame, k: int = 5) -> DataFrame:
             for face in combinations(range(k), k - 1)
         ]
     )
-    text = F.transform(faces, lambda f: F.concat_ws("-", F.transform(f, lambda n: F.lpad(n.cast("string"), 12, "0"))))
+    text = F.transform(faces, lambda f: F.concat_ws("-", F.transform(f, lambda n: _padded(n))))
     chained = found.select("_c", text.alias("_f"))
     links = chained.select(
         F.explode(
@@ -248,13 +257,14 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     ).select((F.col("_in") / total - F.col("_sq") / (4 * total * total)).alias("modularity"))
 
 
-def multilevel_communities(edges: DataFrame, max_levels: int = 10, max_passes: int = 12) -> DataFrame:
+def multilevel_communities(edges: DataFrame) -> DataFrame:
     """Modularity communities ``(unit, community)`` by local moving and contraction.
 
     In every pass each node of one half (drawn anew by a digest of node and pass) moves
     to the neighbouring community with the largest gain, smallest community on ties; the
     other half stays, so neighbours do not swap for ever. A pass that does not raise the
-    modularity is undone. Settled communities become the nodes of the next level.
+    modularity is undone, and the next one moves half as many nodes, down to single ones. Passes
+    end when no node gains by a move. Settled communities become the nodes of the next level.
     """
     ends = symmetric(edges).select("src").distinct().withColumnRenamed("src", "unit")
     membership = cut(ends.select("unit", F.col("unit").alias("community")))
@@ -263,8 +273,8 @@ def multilevel_communities(edges: DataFrame, max_levels: int = 10, max_passes: i
     if not total:
         return membership
     best = _score(level, membership.toDF("node", "comm"), total)
-    for _ in range(max_levels):
-        placed = _local_moves(level, total, max_passes)
+    while True:
+        placed = _local_moves(level, total)
         if placed is None:
             break
         placed, score = placed
@@ -300,14 +310,14 @@ def _score(level: DataFrame, placed: DataFrame, total: float) -> float:
     return float(out)
 
 
-def _local_moves(level: DataFrame, total: float, max_passes: int):
+def _local_moves(level: DataFrame, total: float):
     """Placement ``(node, comm)`` and its modularity, or None if no move helps."""
     degree = cut(_degree(level))
     placed = cut(degree.select("node", F.col("node").alias("comm")))
     score = _score(level, placed, total)
     start, idle = score, 0
     links = cut(symmetric(level.where(F.col("src") != F.col("dst"))).toDF("node", "other", "weight"))
-    for step in range(max_passes):
+    for step in count():
         sizes = degree.join(placed, "node").groupBy("comm").agg(F.sum("deg").alias("tot"))
         near = (
             links.join(placed.toDF("other", "comm"), "other")
@@ -330,8 +340,11 @@ def _local_moves(level: DataFrame, total: float, max_passes: int):
             F.max(F.when(F.col("comm") == F.col("_own"), F.col("gain"))).alias("_stay"),
             F.max("gain").alias("_gain"),
         )
-        turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0
-        better = turn & (F.col("_gain") > F.col("_stay") + 1e-9)
+        gains = F.col("_gain") > F.col("_stay") + 1e-9
+        pick = cut(pick)
+        if pick.where(gains).isEmpty():
+            break
+        better = (F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2 << idle)) == 0) & gains
         moved = cut(
             pick.select(
                 "node",
@@ -343,6 +356,6 @@ def _local_moves(level: DataFrame, total: float, max_passes: int):
             placed, score, idle = moved, new, 0
         else:
             idle += 1
-            if idle >= 2:
-                break
+            if idle > MOST_IDLE:
+                raise RuntimeError("moves that gain one by one do not raise the modularity")
     return (placed, score) if score > start + 1e-9 else None

@@ -58,8 +58,11 @@ def label_order(histogram: DataFrame, order: list[str] | None = None) -> DataFra
     return global_index(keyed, by, "label_pos")
 
 
-def category_totals(histogram: DataFrame) -> DataFrame:
-    return histogram.groupBy("category").agg(F.count("*").alias("n_labels"))
+def category_totals(histogram: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Labels of every category; known ones without a label count 0."""
+    known = histogram.sparkSession.createDataFrame([(c,) for c in order or CATEGORY_ORDER], "category string")
+    rows = histogram.select("category", F.lit(1).alias("_n")).unionByName(known.withColumn("_n", F.lit(0)))
+    return rows.groupBy("category").agg(F.sum("_n").alias("n_labels"))
 
 
 def rendered_order(

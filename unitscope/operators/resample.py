@@ -236,9 +236,24 @@ def _taps(o: Column, n_in: Column, n_out: Column) -> tuple[Column, Column, Colum
     return first, second, at - low
 
 
+def _filter(o: Column, n_in: Column, n_out: Column) -> Column:
+    """``(i, weight)`` of the source indices of an output index of a shrinking axis: the
+    triangle filter as wide as the step, normalised at the borders."""
+    scale = n_in / n_out
+    center = (o + F.lit(0.5)) * scale
+    low = F.greatest(F.floor(center - scale - 0.5), F.lit(0))
+    high = F.least(F.ceil(center + scale + 0.5), n_in) - 1
+    weights = F.transform(
+        F.sequence(low.cast("int"), high.cast("int")),
+        lambda i: F.struct(i.alias("i"), F.greatest(F.lit(0.0), 1 - F.abs(i + F.lit(0.5) - center) / scale).alias("weight")),
+    )
+    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x["weight"])
+    return F.transform(weights, lambda x: F.struct(x["i"].alias("i"), (x["weight"] / total).alias("weight")))
+
+
 def expand_pixels(blocks: DataFrame, oh: Column, ow: Column, skip: Column | None = None) -> DataFrame:
     """Rows with a map ``(…, h, w, values)`` times the pixels ``(py, px, v)`` of the map
-    enlarged to ``oh × ow`` by bilinear interpolation.
+    resized to ``oh × ow`` by bilinear interpolation; an axis that shrinks takes the wider filter.
 
     Each output row is blended from two map rows once, then every pixel from two of its
     entries, all inside one narrow stage. Rows for which ``skip`` holds are kept as a
@@ -255,12 +270,21 @@ def expand_pixels(blocks: DataFrame, oh: Column, ow: Column, skip: Column | None
         F.slice(values, y0 * w + 1, w), F.slice(values, y1 * w + 1, w), lambda a, b: a + (b - a) * fy
     )
     left, right = F.get("_row", x0), F.get("_row", x1)
+    line = F.greatest(F.col("py"), F.lit(0))
+    zeros = F.array_repeat(F.lit(0.0), w)
+    mixed = F.aggregate(
+        _filter(line, h, oh), zeros, lambda a, t: F.zip_with(a, F.slice(values, t["i"] * w + 1, w), lambda s, v: s + t["weight"] * v)
+    )
+    blended = F.when(h > oh, mixed).otherwise(blended)
+    pixel = F.when(
+        w > ow, F.aggregate(_filter(F.col("px"), w, ow), F.lit(0.0), lambda a, t: a + t["weight"] * F.get("_row", t["i"]))
+    ).otherwise(left + (right - left) * fx)
     return (
         blocks.withColumn("py", F.explode(rows))
         .withColumn("_row", blended)
         .drop("values", "h")
         .withColumn("px", F.explode(F.sequence(F.lit(0), cols)))
-        .withColumn("v", left + (right - left) * fx)
+        .withColumn("v", pixel)
         .drop("_row", "w")
     )
 

@@ -15,10 +15,15 @@ _PIXELS = "file string, y int, x int, r int, g int, b int"
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Images below a directory with their size and raw bytes; unreadable files are dropped."""
-    image = spark.read.format("image").option("dropInvalid", True).load(path)
+    """Images below a directory with their size and raw bytes, keyed by the path below it.
+
+    A file that cannot be read has a height of -1; ``unreadable`` lists those.
+    """
+    image = spark.read.format("image").option("dropInvalid", False).load(path)
+    below = F.length(F.lit(whole_path(spark, path).split("://")[-1].split(":")[-1].rstrip("/")))
+    place = F.regexp_replace("image.origin", "^[A-Za-z][A-Za-z0-9+.-]*:(//)?(?=/|[^/])", "")
     return image.select(
-        F.element_at(F.split("image.origin", "/"), -1).alias("file"),
+        F.substring(place, below + 2, F.length(place)).alias("file"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("n_channels"),
@@ -26,8 +31,20 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def whole_path(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Hadoop on the driver resolves it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(place).toString()
+
+
+def unreadable(images: DataFrame) -> DataFrame:
+    """``(file)`` of the images that could not be read."""
+    return images.where(F.col("height") < 0).select("file")
+
+
 def image_pixels(images: DataFrame) -> DataFrame:
-    """Pixels ``(file, y, x, r, g, b)`` of raw images; grey fills all three channels."""
+    """Pixels ``(file, y, x, r, g, b)`` of the readable images; grey fills all three channels."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -40,7 +57,7 @@ def image_pixels(images: DataFrame) -> DataFrame:
                     {"file": row.file, "y": y.ravel(), "x": x.ravel(), "r": red, "g": green, "b": blue}
                 )
 
-    return images.mapInPandas(decode, _PIXELS)
+    return images.where(F.col("height") >= 0).mapInPandas(decode, _PIXELS)
 
 
 def label_pixels(images: DataFrame) -> DataFrame:
@@ -56,6 +73,10 @@ def write_png(images: DataFrame, path: str) -> int:
     a repeated task overwrites them with the same bytes. Returns the number of files.
     """
 
+    uri = whole_path(images.sparkSession, path)
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
+
     def png(rgb: np.ndarray) -> bytes:
         """A minimal 8-bit RGB PNG."""
         height, width, _ = rgb.shape
@@ -76,10 +97,7 @@ def write_png(images: DataFrame, path: str) -> int:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        target, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (
-            fs.LocalFileSystem(),
-            path,
-        )
+        target, base = fs.FileSystem.from_uri(uri)
         target.create_dir(base, recursive=True)
         done = 0
         for batch in batches:
