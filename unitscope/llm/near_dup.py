@@ -221,6 +221,33 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return docs.join(small_side(gone), "doc_id", "left_anti").select([quoted(c) for c in docs.columns])
 
 
-@query("op2_near_dup")
+SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS ws
+    FROM documents),
+s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(ws) = 0 THEN []
+        WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS g
+    FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same
+    FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (
+    SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+    WHERE 100 * same >= 75 * (x.n + y.n - same)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, b AS other FROM edge UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON r.other = e.a),
+low AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low.other, w.doc_id)) AS component_id,
+       least(w.doc_id, coalesce(low.other, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
+
+
+@query("op2_near_dup", SQL)
 def op2_near_dup(spark, sf_dir):
     return components(table(spark, sf_dir, "documents"))

@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         out = []
         for text in byte_texts(batch.column(batch.schema.get_field_index("text"))):
             z = bias + float(weights[buckets(text, cache)].sum(dtype=np.float64))
-            out.append(1 / (1 + np.exp(-max(min(z, 40.0), -700.0))))
+            out.append(1 / (1 + np.exp(-max(min(z, 40.0), -700.0))) if z > -np.inf else 0.0)
         s = np.array(out)
         return {"score": pa.array(s), "predicted": pa.array((s >= CUT).astype(np.int32))}
 
