@@ -69,8 +69,8 @@ def _brand(column: str = "p_brand"):
 
 
 def _brand_labels(spark, sf):
-    """Brands of large parts as a label table with holes."""
-    part = fx.table(spark, sf, "part").where(F.col("p_size") >= 40)
+    """Brands as a label table with holes: every third number is one."""
+    part = fx.table(spark, sf, "part")
     return part.groupBy((_brand() * 3).alias("number"), F.col("p_brand").alias("name")).agg(
         F.count("*").alias("frequency"), F.round(F.sum("p_retailprice"), 2).alias("coverage")
     )
@@ -79,7 +79,7 @@ def _brand_labels(spark, sf):
 @query(
     "g3_dense_labels",
     """WITH l AS (SELECT replace(p_brand, 'Brand#', '')::BIGINT * 3 AS number, p_brand AS name, count(*) AS frequency,
-                         round(sum(p_retailprice), 2) AS coverage FROM part WHERE p_size >= 40 GROUP BY p_brand)
+                         round(sum(p_retailprice), 2) AS coverage FROM part GROUP BY p_brand)
        SELECT n AS number, coalesce(name, '') AS name, coalesce(frequency, 0) AS frequency,
               coalesce(coverage, 0) AS coverage
        FROM (SELECT max(number) + 1 AS m FROM l), range(m) t(n) LEFT JOIN l ON l.number = n""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
@@ -30,6 +31,24 @@ def dense_to_cells(spark, sf):
     return resample.blocks_to_cells(fx.blocks(spark, sf))
 
 
+@query(
+    "a2_array_to_cells",
+    """WITH seg AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS s FROM customer GROUP BY 1),
+            held AS (SELECT c_nationkey, c_mktsegment, count(*) AS c FROM customer GROUP BY 1, 2)
+       SELECT -1::BIGINT AS id_1, -1::BIGINT AS id_2, n_nationkey::BIGINT AS id_3, s::BIGINT AS id_4,
+              coalesce(c, 0)::DOUBLE AS value
+       FROM nation CROSS JOIN seg LEFT JOIN held ON c_nationkey = n_nationkey AND held.c_mktsegment = seg.c_mktsegment""",
+)
+def array_to_cells(spark, sf):
+    """Customers by nation and segment, counted by Spark, as a local array of rank 2."""
+    names = sorted(r[0] for r in fx.table(spark, sf, "customer").select("c_mktsegment").distinct().collect())
+    held = fx.table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").count().collect()
+    array = np.zeros((fx.table(spark, sf, "nation").count(), len(names)))
+    for nation, segment, count in held:
+        array[nation, names.index(segment)] = count
+    return tensors.array_to_cells(spark, array)
+
+
 @query("a3_nested_round_trip", _CELLS.replace("SELECT img AS id_1", "SELECT 'layer4' AS layer_name, img AS id_1"))
 def nested_round_trip(spark, sf):
     named = fx.matrix(spark, sf).withColumn("layer_name", F.lit("layer4"))

@@ -309,13 +309,13 @@ def threshold_join(spark, sf):
     """SELECT 'vec_' || vec_id || '.jpg' AS image, vec_id AS img, 'data/images/vec_' || vec_id || '.jpg' AS path,
               CASE WHEN vec_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, 4 AS sh, 4 AS sw,
               CASE WHEN label NOT IN (0, 3, 6, 9) THEN label + 6 END AS scene
-       FROM embeddings JOIN orders ON o_orderkey = vec_id WHERE o_orderstatus = 'F'""",
+       FROM embeddings JOIN orders ON o_orderkey = vec_id""",
 )
 def image_lookup(spark, sf):
     """File names from another table, their metadata, path and scene label."""
     from unitscope.sources.labels import find_images
 
-    files = fx.table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(
+    files = fx.table(spark, sf, "orders").select(
         F.concat(F.lit("vec_"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("image")
     )
     found = find_images(fx.images(spark, sf), files, "data")

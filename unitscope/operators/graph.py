@@ -128,8 +128,8 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-#: Halvings of the nodes that may move in a pass, before single moves are given up as broken.
-MOST_IDLE = 48
+#: Halvings of the nodes that may move in a pass, before a pass moves the best one alone.
+MOST_IDLE = 6
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -263,8 +263,8 @@ def multilevel_communities(edges: DataFrame) -> DataFrame:
     In every pass each node of one half (drawn anew by a digest of node and pass) moves
     to the neighbouring community with the largest gain, smallest community on ties; the
     other half stays, so neighbours do not swap for ever. A pass that does not raise the
-    modularity is undone, and the next one moves half as many nodes, down to single ones. Passes
-    end when no node gains by a move. Settled communities become the nodes of the next level.
+    modularity is undone, and the next one moves half as many nodes, down to the best one alone. Passes
+    end when no node gains by a move, or the best move changes the modularity by less than 1e-9. Settled communities become the nodes of the next level.
     """
     ends = symmetric(edges).select("src").distinct().withColumnRenamed("src", "unit")
     membership = cut(ends.select("unit", F.col("unit").alias("community")))
@@ -344,7 +344,11 @@ def _local_moves(level: DataFrame, total: float):
         pick = cut(pick)
         if pick.where(gains).isEmpty():
             break
-        better = (F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2 << idle)) == 0) & gains
+        if idle < MOST_IDLE:
+            turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2 << idle)) == 0
+        else:  # only the node that gains most
+            turn = F.col("node") == pick.select(F.max_by("node", F.struct(F.col("_gain") - F.col("_stay"), -F.col("node")))).first()[0]
+        better = turn & gains
         moved = cut(
             pick.select(
                 "node",
@@ -355,7 +359,7 @@ def _local_moves(level: DataFrame, total: float):
         if new > score + 1e-9:
             placed, score, idle = moved, new, 0
         else:
+            if idle == MOST_IDLE:  # the best single move changes it by less than can be told
+                break
             idle += 1
-            if idle > MOST_IDLE:
-                raise RuntimeError("moves that gain one by one do not raise the modularity")
     return (placed, score) if score > start + 1e-9 else None
