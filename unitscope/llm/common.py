@@ -17,10 +17,10 @@ from unitscope.session import checkpoint_dir, cut  # noqa: F401
 #: Words of a text: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch handed to Python; texts can be long.
-BATCH_ROWS = 500
+BATCH_ROWS = 250
 _ODD = 0x9E3779B97F4A7C15
 #: Bytes hashed together.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Rows of ids that may be broadcast (a few MB); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
