@@ -34,6 +34,8 @@ PLAIN = 100
 BITS, FILL, HASHES = 2048, 160, 5
 #: Bytes looked at together.
 CHUNK = 1 << 20
+#: Ranges of ids, at most; a range is sorted on disk and read as a stream, so it may be large.
+MOST_PARTS = 4096
 
 _F = np.round(np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * 65536).astype(np.int64)
 
@@ -184,7 +186,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = F.coalesce(F.expr("~cast(doc_id as long)"), F.lit(2**63 - 1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("_o", order).withColumn("_k", text_key(F.col("text")))
-    parts = 4 * max(1, docs.rdd.getNumPartitions())
+    parts = min(4 * max(1, docs.rdd.getNumPartitions()), MOST_PARTS)
     bounds = rows.agg(F.percentile_approx("_o", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10 * parts)).alias("b")).first()["b"]
     bounds = sorted(set(bounds or []))
     rows = rows.withColumn("part", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b <= F.col("_o"))))
@@ -197,7 +199,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     copies = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("last")), F.struct(F.col("_before").alias("part"), F.lit(True).alias("last")))
     copies = F.when(F.col("_before").isNull(), F.slice(copies, 1, 1)).otherwise(copies)
     laid = extra.withColumn("_c", F.explode(copies)).select("doc_id", "text", "_o", "_k", "_c.part", "_c.last")
-    return laid.repartition(parts // 4, "part").sortWithinPartitions("part", "last", "_o", "_k").select("doc_id", "text", "part", "last")
+    return laid.repartition(max(1, parts // 4), "part").sortWithinPartitions("part", "last", "_o", "_k").select("doc_id", "text", "part", "last")
 
 
 SCHEMA = (
