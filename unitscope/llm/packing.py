@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import contextlib
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ END = 2
 _END = np.array([END], dtype="<u4").tobytes()
 GROUP_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -53,6 +54,8 @@ class Encoder:
     ENDS = frozenset(".,;:!?")
 
     def __init__(self, path: str) -> None:
+        # Spark keeps the cores busy; threads in each task cost time and memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
