@@ -226,6 +226,28 @@ def test_revealing_terms(spark):
     assert clean[1] == rows[1][1]
 
 
+def test_terms_far_from_entities(spark):
+    rng = np.random.default_rng(19)
+    words = [f"w{i}" for i in range(200)]
+    some = lambda n: " ".join(rng.choice(words, n))
+    rows = []
+    for i in range(600):
+        body = some(60)
+        if i % 300 == 0:  # two texts, the name far from the address and once more at the end
+            body = f"Lovelace and Bo {body} ada@analytic.org {some(60)} LOVELACE"
+        rows.append((i, body))
+    alone = f"Babbage {some(40)} cb@engine.org"
+    rows += [(900 + i, alone) for i in range(5)]  # copies are one text, and one is no evidence
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    for r in private.find(docs).collect():
+        text = texts[r["doc_id"]]
+        terms = [text[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4]
+        assert terms == (["Lovelace", "and", "Bo", "LOVELACE"] if r["doc_id"] in (0, 300) else []), r["doc_id"]
+    clean = {r["doc_id"]: r["clean"] for r in private.sanitise(docs).collect()}
+    assert "lovelace" not in clean[0].lower() and "lovelace" not in clean[300].lower() and clean[900] == alone.replace("cb@engine.org", "[EMAIL]")
+
+
 def test_odd_private(odd):
     got = private.find(odd).collect()
     assert len(got) == odd.count() and all(r["spans"] == [] for r in got)

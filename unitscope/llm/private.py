@@ -1,23 +1,25 @@
 """Personal data: pattern spans, and terms that reveal what the patterns protect.
 
 Built-in functions only. Patterns give the base spans (email, ip, card, phone). The values they
-find are the protected entities. A term that stands near an entity in several different
-contexts is weighed by co-occurrence: with ``N`` texts, ``n(t)`` texts with the term, ``n(v)``
-contexts of the entity and ``n(t, v)`` contexts of both,
+find are the protected entities. Every word that shares a text with an entity is weighed by co-occurrence: with
+``N`` different texts, ``n(t)`` texts with the term, ``n(v)`` with the entity and ``n(t, v)`` with both,
 
     disclosure = log2(n(t, v) N / (n(t) n(v))) / log2(N / n(v)),
 
-the share of the entity's information that the term gives away (1: it occurs nowhere else). Terms with
-``SUPPORT`` contexts and a disclosure of at least ``DISCLOSURE`` get spans of the kind ``term`` next to the
-entity. ``sanitise`` generalises entities to their kind and removes revealing terms.
+the share of the entity's information that the term gives away (1: it occurs nowhere else). A term reveals an entity
+if its disclosure is at least ``DISCLOSURE`` and so many common texts are no chance: by the Chernoff bound
+``exp(-n(v) KL(n(t, v) / n(v), n(t) / N))``, times the number of terms, at most ``CHANCE``. Every mention of a revealing
+term, in each text that holds the entity, gets a span of the kind ``term``. ``sanitise`` generalises entities to their
+kind and removes revealing terms.
 
-Defined results: a null or empty text has no spans. Rows are judged each for itself; equal surroundings
-of an entity count as one context, so copies of a text add none. An empty table gives no rows.
+Defined results: a null or empty text has no spans. Rows are judged each for itself; copies of a text count as one. An empty table gives no rows.
 Positions count code points, the end is exclusive.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,9 +38,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]+"
-#: Characters on each side of an entity whose whole words are its context.
-AROUND = 60
-SUPPORT = 3
+#: Odds that any term of the corpus meets an entity so often by chance.
+CHANCE = 0.01
 DISCLOSURE = 0.8
 
 
@@ -114,83 +115,86 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return found.drop("_m").join(spans, "_row", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(_SPAN)))
 
 
-def _terms(window: str, start: Column) -> Column:
-    """Words of a short window of the text, from its columns of words and gaps, and where they stand."""
-    words = F.zip_with(f"{window}_words", F.slice(f"{window}_gaps", F.lit(1), F.size(f"{window}_words")), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<term:string,at:int,n:int>>").alias("out"))
-    return F.aggregate(
-        words,
-        first,
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + F.length(x["w"])).alias("at"),
-            F.array_append(a["out"], F.struct(F.lower(x["w"]).alias("term"), (a["at"] + x["g"] + start).alias("at"), F.length(x["w"]).alias("n"))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+def _words(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """``(_row, v, c, term, at, n)``: the words near every entity; ``c`` is a digest of its surroundings."""
-    text = F.col("text")
-    s, e = F.col("_x.start"), F.col("_x.end")
-    left = F.greatest(F.lit(0), s - AROUND)
-    near = found.where(F.size("_spans") > 0).withColumn("_x", F.explode("_spans")).select(
-        "_row",
-        F.xxhash64("_x.kind", F.substring(text, s + 1, e - s)).alias("v"),
-        left.alias("_l"),
-        e.alias("_e"),
-        F.substring(text, left + 1, s - left).alias("_before"),
-        F.substring(text, e + 1, F.lit(AROUND)).alias("_after"),
-        "_spans",
-    )
-    # a word that the window cuts is left out
-    whole_before = F.when(F.col("_l") > 0, F.regexp_replace("_before", r"^[\p{L}\p{N}]+", "")).otherwise(F.col("_before"))
-    near = (
-        near.withColumn("_b", whole_before)
-        .withColumn("_a", F.when(F.length("_after") == AROUND, F.regexp_replace("_after", r"[\p{L}\p{N}]++$", "")).otherwise(F.col("_after")))
-        .withColumn("c", F.xxhash64("_b", "_a"))
-    )
-    for window in ("_b", "_a"):
-        near = near.withColumn(f"{window}_words", F.regexp_extract_all(F.col(window), F.lit(TERM), F.lit(0)))
-        near = near.withColumn(f"{window}_gaps", F.transform(F.split(window, TERM, -1), F.length))
-    both = F.concat(_terms("_b", F.col("_l") + F.length("_before") - F.length("_b")), _terms("_a", F.col("_e")))
-    # words inside another entity are no terms
-    out = near.select("_row", "v", "c", "_spans", F.explode(both).alias("_t")).where(
-        ~F.exists("_spans", lambda x: (x["start"] < F.col("_t.at") + F.col("_t.n")) & (x["end"] > F.col("_t.at")))
-    )
-    return out.where(F.length("_t.term") >= 3).select("_row", "v", "c", "_t.term", "_t.at", "_t.n")
+def entities(found: DataFrame) -> DataFrame:
+    """``(_row, _k, v)``: which entity values a row holds, each once."""
+    value = lambda x: F.xxhash64(x["kind"], F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]))
+    return found.where(F.size("_spans") > 0).select("_row", "_k", F.explode(F.array_distinct(F.transform("_spans", value))).alias("v"))
 
 
-def revealing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """``(v, term, disclosure)`` of the terms that give entities away. ``near`` has been cut."""
-    once = near.select("v", "c", "term").distinct()
-    entities = near.select("v", "c").distinct().groupBy("v").agg(F.count("*").alias("_nv"))
-    often = cut(once.groupBy("v", "term").agg(F.count("*").alias("_ntv")).where(F.col("_ntv") >= SUPPORT))
-    terms = cut(often.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"))).alias("term"))
+def term_counts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``(term, _nt)``: in how many different texts a term stands. Copies are taken off again, so that no text is shuffled for them."""
+    words = docs.where(F.col("text").isNotNull()).select(F.explode(_words(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("n"))
+    copied = cut(found.groupBy("_k").agg((F.count("*") - 1).alias("_more")).where("_more > 0"))
+    again = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("_k"), "text").join(small_side(copied), "_k")
+    again = again.groupBy("_k").agg(F.first("text").alias("text"), F.first("_more").alias("_more"))
+    less = again.select(F.explode(_words(F.col("text"))).alias("term"), (-F.col("_more")).alias("n"))
     # counted before they meet, so a word that every text has is one row of each task
-    spread = words.groupBy("term").agg(F.count("*").alias("_nt")).join(small_side(terms), "term")
-    total = docs.where(F.col("text").isNotNull()).agg(F.count("*").alias("_all"))
-    gives = F.log2(F.col("_ntv") * F.col("_all") / (F.greatest("_nt", "_ntv") * F.col("_nv"))) / F.log2(F.col("_all") / F.col("_nv"))
-    return (
-        often.join(spread, "term").join(entities, "v").join(F.broadcast(total))  # one row
-        .where(F.col("_all") > F.col("_nv"))
-        .select("v", "term", gives.alias("disclosure"))
+    return words.groupBy("term").agg(F.sum("n").alias("n")).unionByName(less).groupBy("term").agg(F.sum("n").alias("_nt"))
+
+
+def revealing(docs: DataFrame, found: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(v, c)``, the class of every entity that can be given away, and ``(c, term, disclosure)`` of the terms
+    that do so. Entities in the same texts are one class. ``found`` and ``held`` have been cut."""
+    spread = cut(term_counts(docs, found))
+    total = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text")).distinct().count()
+    limit = math.log(max(spread.count(), 1) / CHANCE)
+    # one common text has a chance of 1 / total at least
+    least = 1 if math.log(max(total, 1)) >= limit else 2
+    sets = held.select("v", "_k").distinct().groupBy("v").agg(
+        F.count("*").alias("_nv"), F.bit_xor(F.xxhash64("_k", F.lit(1))).alias("_x"), F.bit_xor(F.xxhash64("_k", F.lit(2))).alias("_y")
+    )
+    classes = cut(sets.where((F.col("_nv") >= least) & (F.col("_nv") < total)).select("v", "_nv", F.xxhash64("_nv", "_x", "_y").alias("c")))
+    # copies of a text have one row that speaks for all
+    texts = held.join(small_side(classes.select("v", "c")), "v").groupBy("_k").agg(F.min("_row").alias("_row"), F.collect_set("c").alias("_cs"))
+    pairs = found.select("_row", "text").join(small_side(cut(texts.select("_row", "_cs"))), "_row")
+    pairs = pairs.select("_cs", F.explode(_words(F.col("text"))).alias("term")).select("term", F.explode("_cs").alias("c"))
+    pairs = cut(pairs.groupBy("c", "term").agg(F.count("*").alias("_ntv")).where(F.col("_ntv") >= least))
+    some = spread.join(small_side(cut(pairs.select("term").distinct())), "term", "left_semi")
+    a, q = F.col("_ntv") / F.col("_nv"), F.col("_nt") / F.lit(total)
+    apart = a * F.log(a / q) + F.when(a < 1, (1 - a) * F.log((1 - a) / (1 - q))).otherwise(0.0)
+    gives = F.log2(a / q) / F.log2(F.lit(total) / F.col("_nv"))
+    risky = (
+        pairs.join(some, "term").join(classes.select("c", "_nv").distinct(), "c")
+        .where((a > q) & (F.col("_nv") * apart >= limit))
+        .select("c", "term", gives.alias("disclosure"))
         .where(F.col("disclosure") >= DISCLOSURE)
     )
+    return classes.select("v", "c"), cut(risky)
+
+
+def mentions(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """``(_row, at, n)`` of every mention of the terms ``(_row, term)`` in their rows. ``marks`` has been cut."""
+    text = F.col("text")
+    rows = found.select("_row", "text").join(small_side(cut(marks.select("_row").distinct())), "_row", "left_semi")
+    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split(text, TERM, -1), F.length)
+    pieces = F.zip_with(words, F.slice(gaps, F.lit(1), F.size(words)), lambda w, g: F.struct(F.lower(w).alias("term"), F.length(w).alias("n"), g.alias("g")))
+    pieces = rows.select("_row", F.posexplode(pieces).alias("i", "_p")).select("_row", "i", "_p.term", "_p.n", "_p.g")
+    so_far = Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = pieces.withColumn("at", (F.sum(F.col("g") + F.col("n")).over(so_far) - F.col("n")).cast("int"))
+    return placed.join(marks, ["_row", "term"], "left_semi").select("_row", "at", "n")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` with ``spans``: base spans and those of revealing terms, by start, then kind."""
-    found = cut(base_spans(docs.select("doc_id", "text")))
-    near = cut(contexts(found))
-    risky = revealing(docs, near)
-    more = near.join(risky, ["v", "term"]).groupBy("_row").agg(
-        F.collect_set(F.struct(F.col("at").alias("start"), F.lit(4).alias("kind"), (F.col("at") + F.col("n")).alias("end"))).alias("_more")
+    docs = docs.select("doc_id", "text")
+    found = cut(base_spans(docs))
+    held = cut(entities(found))
+    classes, risky = revealing(docs, found, held)
+    marks = held.join(small_side(classes), "v").select("_row", "c").distinct().join(small_side(risky), "c").select("_row", "term")
+    more = mentions(found, cut(marks.distinct())).groupBy("_row").agg(
+        F.collect_list(F.struct(F.col("at").alias("start"), F.lit(4).alias("kind"), (F.col("at") + F.col("n")).alias("end"))).alias("_more")
     )
+    # words inside an entity are no terms
+    outside = F.filter("_more", lambda t: ~F.exists("_spans", lambda x: (x["start"] < t["end"]) & (x["end"] > t["start"])))
     return (
         found.join(more, "_row", "left")
-        .withColumn("spans", F.array_sort(F.concat("_spans", F.coalesce("_more", F.array().cast(_SPAN)))))
+        .withColumn("spans", F.array_sort(F.concat("_spans", F.coalesce(outside, F.array().cast(_SPAN)))))
         .select("doc_id", "_k", "_spans", "spans")
     )
 
