@@ -66,6 +66,29 @@ def test_lines_of_a_large_group(spark):
     assert {(r["doc_id"], r["pos"]) for r in lines.later_lines(frame).collect()} == brute.later_lines(docs)
 
 
+def later_short_lines(docs):
+    """{(id, position)} of the lines of 1 to 4 words that repeat an earlier one."""
+    seen, gone = set(), set()
+    for i, text in sorted(docs):
+        for p, line in enumerate((text or "").split("\n")):
+            key = tuple(brute.words(brute.lower(line)))
+            if 0 < len(key) < 5:
+                if key in seen:
+                    gone.add((i, p))
+                seen.add(key)
+    return gone
+
+
+def test_short_lines(documents, spark):
+    rows = [(1, "All rights reserved.\na\n\none two three four five"), (2, "a b\nALL  rights reserved.\n \nA\none two three four"), (3, "a b\nab\n\nall rights")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["left_text"] for r in lines.dedup_lines(frame).collect()} == {
+        1: rows[0][1], 2: "a b\n \none two three four", 3: "ab\n\nall rights"
+    }
+    want = brute.later_lines(pairs(documents)) | later_short_lines(pairs(documents))
+    assert {(r["doc_id"], r["pos"]) for r in lines.later_lines(documents, 1).collect()} == want
+
+
 def test_lines_of_odd_rows(odd):
     out = lines.dedup_lines(odd).collect()
     assert len(out) == odd.count()
