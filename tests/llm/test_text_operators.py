@@ -139,6 +139,17 @@ def test_features_do_not_depend_on_the_batch():
     assert digests.level_counts(texts).sum() == sum(max(len(t) - 63, 0) for t in texts)
 
 
+def test_every_text_has_features():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 110, n, dtype=np.uint8)) for n in range(1, 400)] + [b"a" * n for n in range(1, 400)]
+    rank = digests.ranks(digests.level_counts(texts))
+    together = digests.features(texts, rank)
+    for t, f in zip(texts, together):
+        assert len(f) and digests.features([t], rank)[0].tolist() == f.tolist(), len(t)
+    for n in (130, 140):
+        assert digests.likeness(digests.chain(together[n - 1]), digests.chain(together[n])) < 0.5
+
+
 def test_fingerprints(documents):
     got = {r["doc_id"]: r for r in digests.fingerprints(documents).collect()}
     rows = sorted(((r["doc_id"], r["text"] or "") for r in documents.collect()), reverse=True)

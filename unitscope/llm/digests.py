@@ -3,7 +3,7 @@
 Every window of ``WINDOW`` bytes has an entropy, in ``LEVELS`` steps. A count of the levels of all
 windows of the corpus ranks them: the fewer windows a level has, the rarer it is;
 windows of next to no information never count as rare. In each run of ``RUN`` windows the rarest (the first of equals)
-gets a point, and windows with ``POINTS`` points are features. Features go, in text order, into
+gets a point, and windows with ``POINTS`` points are features; where a text has none, all with a point are. Features go, in text order, into
 a chain of Bloom filters of 2,048 bits and at most ``FILL`` features, five bits each. Two chains
 are alike as far as the bits of their filters overlap beyond chance: the mean, over the
 filters of the shorter chain, of the best overlap with a filter of the other.
@@ -118,6 +118,12 @@ def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
             for i in np.flatnonzero((number > 0) & (number < RUN)):
                 points[int(key[starts[i] : starts[i] + number[i]].min()) & 0xFFFFFFFF] = POINTS
             chosen = np.flatnonzero(points >= POINTS)
+            bare = (number > 0) & (np.searchsorted(chosen, starts) == np.searchsorted(chosen, starts + number))
+            for i in np.flatnonzero(bare):
+                own = points[starts[i] : starts[i] + number[i]]
+                own[own > 0] = POINTS
+            if bare.any():
+                chosen = np.flatnonzero(points >= POINTS)
             hashes = span_hashes(x, chosen, chosen + WINDOW)
         ends = np.searchsorted(chosen, starts + number)
         begins = np.searchsorted(chosen, starts)
