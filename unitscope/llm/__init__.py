@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["html", "near_dup", "licenses", "lines", "mixing", "digests", "private", "toxicity", "quality", "packing", "hard_negatives", "lexical"]
+_MODULES = ["html", "near_dup", "licenses", "lines", "mixing", "digests", "private", "toxicity", "quality", "packing", "hard_negatives", "lexical", "languages"]
 
 
 def load_all() -> None:

@@ -6,7 +6,7 @@ its documents for each bit position. The bitmap of a query term at a level is th
 overestimate, so the next level less one bounds the term's occurrences. Bitmaps weighted by the terms' weights are summed
 for each item and level, and the sums, times what a level adds in a document of that length, are an upper bound of its score.
 
-A search first scores the documents with the highest bounds exactly, takes the k-th best score of an item as its threshold, and then
+A search counts the documents of each of its terms, then scores the documents with the highest bounds exactly, takes the k-th best score of an item as its threshold, and then
 scores all documents whose bound reaches it: whatever is left out is proven not to be among the first k. Nothing is approximate.
 
 Defined results: null texts have no terms and are in no result, nor are items without one. Items are looked at by id, and rows of
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from unitscope.llm.common import arrow, byte_texts, cut, mix, span_hashes, table, text_key
+from unitscope.llm.common import HASH_BITS, PARTS, arrow, byte_texts, cut, mix, table, text_key, word_hashes
 from unitscope.llm.registry import query
 from unitscope.session import scratch
 
@@ -43,8 +43,8 @@ BLOCK_BYTES, BLOCK_DOCS, GATHERED = 1 << 18, 1024, 1 << 20
 ITEM_BYTES = 4 << 20
 #: Numbers in the ids and items of candidates that may be broadcast (4 MB).
 BROADCAST_NUMBERS = 500_000
-#: Terms counted in a task before their counts are sent on.
-COUNTED = 200_000
+#: Numbers in a matrix of weights of items by terms.
+WEIGHTS = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -61,28 +61,42 @@ LETTERS = _letters()
 _TABLE = LETTERS.tobytes()
 
 
+def plain(text: bytes) -> bytes:
+    """A text with A-Z lower-cased and a blank for whatever separates terms."""
+    return text.translate(_TABLE)
+
+
 def terms(text: bytes) -> list[bytes]:
     """The terms of a text, in order: runs of ASCII letters, digits and all beyond ASCII."""
-    return text.translate(_TABLE).split()
+    return plain(text).split()
 
 
-def term_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of every term of a text, in order."""
-    x = LETTERS[np.frombuffer(text, dtype=np.uint8)]
-    edge = np.diff(np.concatenate([[True], x == 32, [True]]).astype(np.int8))
-    return span_hashes(x, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1))
+def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms one after another, and the number of each text; ``HASH_BITS`` are used."""
+    hashes, counts = word_hashes([plain(t) for t in texts])
+    return hashes & np.uint64((1 << HASH_BITS) - 1), counts
 
 
-def posted(hashes: np.ndarray) -> np.ndarray:
-    """What a document posts: a hash for each of its terms and each level that it reaches."""
-    own, counts = np.unique(hashes, return_counts=True)
-    out = []
+def posted(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """What each text posts: a hash for each of its terms and each level that it reaches."""
+    owner = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    keys = np.sort(owner << np.uint64(HASH_BITS) | hashes)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.append(starts, len(keys)))
+    own, text = keys[starts] & np.uint64((1 << HASH_BITS) - 1), (keys[starts] >> np.uint64(HASH_BITS)).astype(np.int64)
+    made, whose = [], []
     for level, least in enumerate(LEVELS):
-        own, counts = own[counts >= least], counts[counts >= least]
+        reach = times >= least
+        own, text, times = own[reach], text[reach], times[reach]
         if not len(own):
             break
-        out.append(at_level(own, level))
-    return np.concatenate(out) if out else own
+        made.append(at_level(own, level))
+        whose.append(text)
+    if not made:
+        return [np.zeros(0, np.uint64)] * len(counts)
+    order = np.argsort(np.concatenate(whose), kind="stable")
+    sizes = np.bincount(np.concatenate(whose), minlength=len(counts))
+    return np.split(np.concatenate(made)[order], np.cumsum(sizes)[:-1])
 
 
 def at_level(hashes: np.ndarray, level: int) -> np.ndarray:
@@ -100,10 +114,10 @@ def positions(keys: np.ndarray, bits: int) -> np.ndarray:
 def _block(docs: list[tuple]) -> dict:
     """The index row of some documents ``(doc_id, text key, n, keys)``."""
     bits = max(64, BITS * max(len(d[3]) for d in docs))
-    width = -(-len(docs) // 8)
-    slices = np.zeros((bits, width), dtype=np.uint8)
+    marks = np.zeros(bits * len(docs), dtype=bool)
     for i, d in enumerate(docs):
-        np.bitwise_or.at(slices[:, i >> 3], positions(d[3], bits).ravel(), np.uint8(1 << (i & 7)))
+        marks[positions(d[3], bits).ravel() * len(docs) + i] = True
+    slices = np.packbits(marks.reshape(bits, len(docs)), axis=1, bitorder="little")
     return {"ids": [d[0] for d in docs], "keys": [d[1] for d in docs], "n": [d[2] for d in docs], "bits": bits, "slices": slices.tobytes()}
 
 
@@ -136,52 +150,46 @@ def build_index(docs: DataFrame) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, text in enumerate(byte_texts(batch.column(2))):
-                hashes = term_hashes(text)
-                if not len(hashes):
-                    continue
-                held.append((ids[i], keys[i], len(hashes), posted(hashes)))
-                size += len(held[-1][3])
-                if size >= GATHERED:
-                    for row in _blocks(held):
-                        yield pa.RecordBatch.from_pylist([row], schema=kind)
-                    held, size = [], 0
+            for lo in range(0, batch.num_rows, PARTS):
+                hashes, counts = term_hashes(byte_texts(batch.column(2).slice(lo, PARTS)))
+                for i, (n, made) in enumerate(zip(counts.tolist(), posted(hashes, counts)), lo):
+                    if n:
+                        held.append((ids[i], keys[i], n, made))
+                        size += len(made)
+            if size >= GATHERED:
+                for row in _blocks(held):
+                    yield pa.RecordBatch.from_pylist([row], schema=kind)
+                held, size = [], 0
         for row in _blocks(held):
             yield pa.RecordBatch.from_pylist([row], schema=kind)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").mapInArrow(run, _INDEX)
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """``term, df`` of all terms: the documents that hold them."""
+def frequencies(docs: DataFrame, wanted: list[bytes]) -> dict[bytes, int]:
+    """How many documents hold each of the wanted terms."""
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["term", "df"])
-
         for batch in batches:
             for text in byte_texts(batch.column(0)):
-                counts.update(set(terms(text)))
-                if len(counts) >= COUNTED:
-                    yield told()
-                    counts.clear()
+                counts.update(shared.value.intersection(terms(text)))
         if counts:
-            yield told()
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["term", "df"])
 
-    return docs.select("text").mapInArrow(run, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    told = docs.select("text").mapInArrow(run, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return {bytes(r["term"]): r["df"] for r in told.collect()}  # a row for each wanted term at most
 
 
 class Index:
-    """A written index: blocks, vocabulary, and the number of documents and terms."""
+    """A written index: blocks, and the number of documents and terms."""
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
-        paths = [scratch(spark, name) for name in ("signatures", "vocabulary")]
-        build_index(docs).write.parquet(paths[0])
-        vocabulary(docs).write.parquet(paths[1])
-        self.blocks, self.vocabulary = (spark.read.parquet(p) for p in paths)
+        path = scratch(spark, "signatures")
+        build_index(docs).write.parquet(path)
+        self.blocks = spark.read.parquet(path)
         sums = self.blocks.agg(F.sum(F.size("n")), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, b: a + b))).first()
         self.documents, self.occurrences = sums[0] or 0, sums[1] or 0
 
@@ -198,8 +206,24 @@ class Items:
     def weigh(self, df: dict[bytes, int], documents: int, occurrences: int) -> Items:
         self.documents, self.occurrences = documents, occurrences
         self.weight = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * df[t] + 1))) if t in df else 0 for t in self.all], dtype=np.int64)
-        hashes = np.concatenate([np.zeros(0, np.uint64), *(term_hashes(t) for t in self.all)])
+        hashes = term_hashes([b" ".join(self.all)])[0]
         self.keys = [at_level(hashes, level) for level in range(len(LEVELS))]
+        self.groups = []
+        lo = 0
+        while lo < len(self.own):  # as many items as a small dense matrix of weights has room for
+            hi, known = lo + 1, set(self.own[lo])
+            while hi < len(self.own) and (hi + 1 - lo) * len(known | set(self.own[hi])) <= WEIGHTS:
+                known.update(self.own[hi])
+                hi += 1
+            names = np.unique(np.concatenate(self.index[lo:hi]))
+            names = names[self.weight[names] > 0]
+            matrix = np.zeros((hi - lo, len(names)))
+            for i in range(lo, hi):
+                own = self.index[i][self.weight[self.index[i]] > 0]
+                matrix[i - lo, np.searchsorted(names, own)] = self.weight[own]
+            exact = matrix.sum(axis=1).max(initial=0) < 1 << 24
+            self.groups.append((lo, hi, names, matrix.astype(np.float32 if exact else np.float64)))
+            lo = hi
         return self
 
     def damping(self, n: np.ndarray | int) -> np.ndarray | int:
@@ -209,32 +233,29 @@ class Items:
     def bounds(self, bits: int, slices: bytes, n: np.ndarray) -> np.ndarray:
         """Upper bounds ``[item, document]`` of the scores in a block."""
         rows = np.frombuffer(slices, dtype=np.uint8).reshape(bits, -1)
-        m, before = self.damping(n), np.zeros(len(n), dtype=np.int64)
-        out = np.zeros((len(self.own), len(n)))
-        here, held = np.flatnonzero(self.weight > 0), None
-        place = np.full(len(self.all), -1)
-        for level in range(len(LEVELS)):
-            at = positions(self.keys[level][here], bits)
-            found = rows[at[:, 0]]
-            for probe in range(1, PROBES):
-                found &= rows[at[:, probe]]
-            if held is not None:
-                found &= held
-            some = found.any(axis=1)
-            here, held = here[some], found[some]
-            if not len(here):
-                break
+        m, steps, before = self.damping(n), [], np.zeros(len(n), dtype=np.int64)
+        for level, least in enumerate(LEVELS):
             most = LEVELS[level + 1] - 1 if level + 1 < len(LEVELS) else np.iinfo(np.int32).max
             most = np.minimum(most, n)  # a term occurs no more often than the text has terms
-            reached = 1_000_000_000 * most // (1000 * most + 8 * m)
-            gain, before = np.maximum(reached - before, 0), np.maximum(reached, before)
-            place[:] = -1
-            place[here] = np.arange(len(here))
-            seen = np.unpackbits(held, axis=1, count=len(n), bitorder="little")
-            for i, own in enumerate(self.index):
-                known = own[place[own] >= 0]
-                if len(known):
-                    out[i] += (self.weight[known].astype(np.float64) @ seen[place[known]].astype(np.float64)) * gain
+            reached = np.maximum(before, 1_000_000_000 * most // (1000 * most + 8 * m))
+            steps.append(reached - before)
+            before = reached
+        out = np.zeros((len(self.own), len(n)))
+        for lo, hi, names, weights in self.groups:
+            held = None
+            for level, gain in enumerate(steps):
+                at = positions(self.keys[level][names], bits)
+                found = rows[at[:, 0]]
+                for probe in range(1, PROBES):
+                    found &= rows[at[:, probe]]
+                if held is not None:
+                    found &= held
+                some = found.any(axis=1)
+                if not some.any():
+                    break
+                names, weights, held = names[some], weights[:, some], found[some]
+                seen = np.unpackbits(held, axis=1, count=len(n), bitorder="little")
+                out[lo:hi] += (weights @ seen.astype(weights.dtype)).astype(np.float64) * gain
         return out * (1 + 1e-9) + 1  # more than rounding can take away
 
     def score(self, item: int, counts: Counter, m: int) -> int:
@@ -335,9 +356,7 @@ def _search(index: Index, docs: DataFrame, rows: list, k: int) -> DataFrame:
     """The best documents of some items ``(item_id, text)``: ``item, rank, doc_id, score``."""
     spark = docs.sparkSession
     asked = Items([(r["text"] or "").encode("utf-8", "surrogatepass") for r in rows])
-    wanted = spark.createDataFrame([(t,) for t in asked.all], "term binary")
-    # as many rows as the items have terms
-    df = {bytes(r["term"]): r["df"] for r in index.vocabulary.join(F.broadcast(wanted), "term").collect()}
+    df = frequencies(docs, asked.all)
     items = spark.sparkContext.broadcast(asked.weigh(df, index.documents, max(index.occurrences, 1)))
     best = Window.partitionBy("item").orderBy(F.desc("bound"), "key", "doc_id")
     first = _highest(index, items, k).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
