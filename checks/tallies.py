@@ -8,6 +8,7 @@ from checks import fixtures as fx
 from checks import query
 from checks.sources import RECORDS_SQL
 from unitscope.operators import tally
+from unitscope.plans.dissection import block_thresholds
 from unitscope.session import cut
 
 
@@ -87,6 +88,50 @@ def iou(spark, sf):
     return fx.rounded(fx.dissection(spark, sf).scores, "iou")
 
 
+_WIDE_SQL = """
+WITH cell AS (
+  SELECT vec_id AS img, u::INT AS unit, (p // 7)::INT AS y, (p % 7)::INT AS x, embedding[(p + 5 * u) % 64 + 1]::DOUBLE AS v
+  FROM embeddings, range(4) a(u), range(49) b(p)
+), tap AS (
+  SELECT o::INT AS o, greatest(floor(c), 0)::INT AS a, least(floor(c) + 1, 6)::INT AS b, c - floor(c) AS f
+  FROM (SELECT o, (o + 0.5e0) * 7 / 28 - 0.5e0 AS c FROM range(28) t(o))
+), rows_ AS (
+  SELECT c.img, c.unit, t.o AS py, c.x, c.v + (d.v - c.v) * t.f AS v
+  FROM tap t JOIN cell c ON c.y = t.a JOIN cell d ON d.y = t.b AND d.img = c.img AND d.unit = c.unit AND d.x = c.x
+), up AS (
+  SELECT c.img, c.unit, c.py, t.o AS px, c.v + (d.v - c.v) * t.f AS v
+  FROM tap t JOIN rows_ c ON c.x = t.a JOIN rows_ d ON d.x = t.b AND d.img = c.img AND d.unit = c.unit AND d.py = c.py
+), thr AS (SELECT unit, quantile_cont(v, 0.9) AS t FROM cell GROUP BY unit
+), mask AS (SELECT img, unit, py, px FROM up JOIN thr USING (unit) WHERE v > t
+), seg AS (
+  SELECT vec_id AS img, py::INT AS py, px::INT AS px, ((label * 3 + py // 5 + px // 5) % 6)::INT AS lab FROM embeddings, range(28) a(py), range(28) b(px)
+), both_ AS (SELECT unit, lab, count(*) AS n FROM mask JOIN seg USING (img, py, px) WHERE lab > 0 GROUP BY unit, lab
+), area AS (SELECT img, unit, count(*) AS area FROM mask GROUP BY img, unit
+), shown AS (SELECT DISTINCT img, unit, lab % 2 AS cat FROM mask JOIN seg USING (img, py, px) WHERE lab > 0
+), act AS (SELECT unit, cat, sum(area)::BIGINT AS act FROM shown JOIN area USING (img, unit) GROUP BY unit, cat
+), truth AS (SELECT lab, count(*) AS truth FROM seg WHERE lab > 0 GROUP BY lab)
+SELECT unit, lab AS label, (lab % 2)::INT AS cat_idx, n AS both, act AS activation, truth, round(n / ((act + truth - n) + 1e-10), 9) AS iou
+FROM both_ JOIN act ON act.unit = both_.unit AND act.cat = lab % 2 JOIN truth USING (lab)
+"""
+
+
+@query("h9_iou_wide_maps", _WIDE_SQL.replace("SELECT unit, lab AS label", "SELECT both_.unit, lab AS label"))
+def iou_of_wide_maps(spark, sf):
+    """Maps of 7 × 7 against label maps of 28 × 28."""
+    vectors = fx.table(spark, sf, "embeddings")
+    img, cls = F.col("vec_id").alias("img"), F.col("label")
+    value = F.slice(F.concat("embedding", "embedding"), F.col("unit") * 5 + 1, 49).cast("array<double>")
+    maps = vectors.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(img, "unit", F.lit(7).alias("h"), F.lit(7).alias("w"), value.alias("values"))
+    pixel = F.sequence(F.lit(0), F.lit(28 * 28 - 1))
+    label = F.transform(pixel, lambda p: ((cls * 3 + F.floor(F.floor(p / 28) / 5) + F.floor(p % 28 / 5)) % 6).cast("int"))
+    channels = vectors.select(img, F.lit(0).alias("channel"), label.alias("labels"))
+    images = vectors.select(img, F.lit(28).alias("sh"), F.lit(28).alias("sw"))
+    labelcat = spark.createDataFrame([(n, n % 2) for n in range(1, 6)], "label int, cat_idx int")
+    thresholds = cut(block_thresholds(maps, fx.DENSE_Q))
+    sums = cut(tally.tally_sums(maps, thresholds, images, channels, fx.scalars(spark, sf).where(F.lit(False)), labelcat))
+    return fx.rounded(tally.iou(sums, labelcat), "iou")
+
+
 @query(
     "h10_best_labels",
     fx.sql(

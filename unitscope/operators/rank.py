@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from unitscope.functions import display_name
-from unitscope.operators.layout import bounded, global_index, spread, top_per_group
+from unitscope.operators.layout import bounded, global_index, top_per_group
+from unitscope.operators.maps import count_over
 from unitscope.operators.reduce import mode_earliest
-from unitscope.operators.resample import expand_pixels
 from unitscope.session import cut
 
 #: Lowest score shown, images shown per unit, order of the categories.
@@ -128,16 +132,21 @@ def map_areas(
     Maps that cannot reach the threshold are not enlarged; they yield a single row that
     counts 0.
     """
-    limits = bounded(thresholds.select("unit", "thresh"))
-    peak = F.array_max("values")
-    silent = ~(peak > F.col("thresh")) | F.isnan(peak)
-    hit = (F.col("py") >= 0) & (F.col("v") > F.col("thresh"))
-    maps = spread(blocks.join(limits, "unit"), "img", "unit")
-    return (
-        expand_pixels(maps, F.lit(height), F.lit(width), skip=silent)
-        .groupBy("img", "unit", *keep)
-        .agg(F.count_if(hit).alias("area"))
+    # a map with NaN has no mask
+    limit = F.when(F.isnan(F.array_max("values")), F.lit(float("inf"))).otherwise(F.col("thresh").cast("double"))
+    joined = blocks.join(bounded(thresholds.select("unit", "thresh")), "unit").select(
+        "img", "unit", *keep, F.col("h").cast("int"), F.col("w").cast("int"), F.col("values").cast("array<double>"), limit.alias("thresh")
     )
+    kind = T.StructType([*joined.select("img", "unit", *keep).schema.fields, T.StructField("area", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            limit = batch.column("thresh").to_numpy(zero_copy_only=False)
+            area = pa.array(count_over(limit, batch, height, width))
+            names = ["img", "unit", *keep]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), area], names=[*names, "area"])
+
+    return joined.mapInArrow(run, kind)
 
 
 def flag_low(records: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:

@@ -8,12 +8,15 @@ that works on whole maps without any join.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from unitscope.operators import maps
 from unitscope.operators.layout import BROADCAST_ROWS, spread
 
 _WEIGHTS = T.StructType(
@@ -224,79 +227,35 @@ def _with_unreached(reached: DataFrame, image_shape) -> DataFrame:
     return grid.join(reached, keys, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
-def _taps(o: Column, n_in: Column, n_out: Column) -> tuple[Column, Column, Column]:
-    """First and second source index of an output index, and the share of the second.
+def pixel_rows(
+    blocks: DataFrame, height: int | str, width: int | str, keep: list[str], over: str | None = None
+) -> DataFrame:
+    """Columns ``keep`` and the pixels ``(py, px, v)`` of every map ``(h, w, values)`` resized bilinearly.
 
-    Clamping the indices is the same as normalising the filter at the border.
+    Sizes are numbers, or names of columns holding the size wanted for the row. With ``over``,
+    only pixels over the number in that column are returned. Nothing is shuffled.
     """
-    at = (o + F.lit(0.5)) * n_in / n_out - F.lit(0.5)
-    low = F.floor(at)
-    first = F.greatest(low, F.lit(0)).cast("int")
-    second = F.least(low + 1, n_in - 1).cast("int")
-    return first, second, at - low
-
-
-def _filter(o: Column, n_in: Column, n_out: Column) -> Column:
-    """``(i, weight)`` of the source indices of an output index of a shrinking axis: the
-    triangle filter as wide as the step, normalised at the borders."""
-    scale = n_in / n_out
-    center = (o + F.lit(0.5)) * scale
-    low = F.greatest(F.floor(center - scale - 0.5), F.lit(0))
-    high = F.least(F.ceil(center + scale + 0.5), n_in) - 1
-    weights = F.transform(
-        F.sequence(low.cast("int"), high.cast("int")),
-        lambda i: F.struct(i.alias("i"), F.greatest(F.lit(0.0), 1 - F.abs(i + F.lit(0.5) - center) / scale).alias("weight")),
+    sizes = [F.lit(s) if isinstance(s, int) else F.col(s) for s in (height, width)]
+    limit = [F.col(over).cast("double").alias("_limit")] if over else []
+    asked = blocks.select(
+        *keep, F.col("h").cast("int"), F.col("w").cast("int"), F.col("values").cast("array<double>"),
+        *[s.cast("int").alias(n) for s, n in zip(sizes, ("_height", "_width"))], *limit,
     )
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x["weight"])
-    return F.transform(weights, lambda x: F.struct(x["i"].alias("i"), (x["weight"] / total).alias("weight")))
-
+    kind = T.StructType([*asked.select(*keep).schema.fields, T.StructField("py", T.IntegerType()), T.StructField("px", T.IntegerType()), T.StructField("v", T.DoubleType())])
 
-def expand_pixels(blocks: DataFrame, oh: Column, ow: Column, skip: Column | None = None) -> DataFrame:
-    """Rows with a map ``(…, h, w, values)`` times the pixels ``(py, px, v)`` of the map
-    resized to ``oh × ow`` by bilinear interpolation; an axis that shrinks takes the wider filter.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = [batch.column(c).to_numpy().astype(np.int64) for c in ("_height", "_width")]
+                most = batch.column("_limit").to_numpy(zero_copy_only=False) if over else None
+                yield from maps.pixel_rows(batch, *at, most, keep)
 
-    Each output row is blended from two map rows once, then every pixel from two of its
-    entries, all inside one narrow stage. Rows for which ``skip`` holds are kept as a
-    single row with ``py`` = -1.
-    """
-    rows, cols = F.sequence(F.lit(0), (oh - 1).cast("int")), (ow - 1).cast("int")
-    if skip is not None:
-        rows = F.when(skip, F.array(F.lit(-1))).otherwise(rows)
-        cols = F.when(F.col("py") < 0, F.lit(0)).otherwise(cols)
-    h, w, values = F.col("h"), F.col("w"), F.col("values")
-    y0, y1, fy = _taps(F.greatest(F.col("py"), F.lit(0)), h, oh)
-    x0, x1, fx = _taps(F.col("px"), w, ow)
-    blended = F.zip_with(
-        F.slice(values, y0 * w + 1, w), F.slice(values, y1 * w + 1, w), lambda a, b: a + (b - a) * fy
-    )
-    left, right = F.get("_row", x0), F.get("_row", x1)
-    line = F.greatest(F.col("py"), F.lit(0))
-    zeros = F.array_repeat(F.lit(0.0), w)
-    mixed = F.aggregate(
-        _filter(line, h, oh), zeros, lambda a, t: F.zip_with(a, F.slice(values, t["i"] * w + 1, w), lambda s, v: s + t["weight"] * v)
-    )
-    blended = F.when(h > oh, mixed).otherwise(blended)
-    pixel = F.when(
-        w > ow, F.aggregate(_filter(F.col("px"), w, ow), F.lit(0.0), lambda a, t: a + t["weight"] * F.get("_row", t["i"]))
-    ).otherwise(left + (right - left) * fx)
-    return (
-        blocks.withColumn("py", F.explode(rows))
-        .withColumn("_row", blended)
-        .drop("values", "h")
-        .withColumn("px", F.explode(F.sequence(F.lit(0), cols)))
-        .withColumn("v", pixel)
-        .drop("_row", "w")
-    )
+    return asked.mapInArrow(run, kind)
 
 
 def enlarge_blocks(blocks: DataFrame, height: int | str, width: int | str) -> DataFrame:
-    """Bilinear enlargement of whole maps to pixel rows ``(…, py, px, v)``.
-
-    Sizes are numbers, or names of columns holding the size wanted for the row.
-    """
-    oh = F.lit(height) if isinstance(height, int) else F.col(height)
-    ow = F.lit(width) if isinstance(width, int) else F.col(width)
-    return expand_pixels(blocks, oh, ow)
+    """Bilinear enlargement of whole maps to pixel rows ``(…, py, px, v)``."""
+    return pixel_rows(blocks, height, width, [c for c in blocks.columns if c not in ("h", "w", "values")])
 
 
 def cells_to_blocks(cells: DataFrame) -> DataFrame:

@@ -22,11 +22,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from unitscope.operators.layout import bounded, global_index, spread
-from unitscope.operators.resample import enlarge_blocks, expand_pixels
+from unitscope.operators.maps import labels_under
+from unitscope.operators.resample import pixel_rows
 
 #: Stands for "any pixel under the mask" next to the real labels.
 _ANY = -1
@@ -67,8 +71,11 @@ def gate(blocks: DataFrame, thresholds: DataFrame) -> DataFrame:
 def activation_mask(blocks: DataFrame, thresholds: DataFrame, images: DataFrame) -> DataFrame:
     """Pixels ``(img, unit, py, px, v)`` of the enlarged maps over the threshold."""
     sized = spread(gate(blocks, thresholds), "img").join(images.select("img", "sh", "sw"), "img")
-    pixels = enlarge_blocks(sized, "sh", "sw").where(F.col("v") > F.col("thresh"))
-    return pixels.select("img", "unit", "py", "px", "v")
+    return pixel_rows(sized, "sh", "sw", ["img", "unit"], over="thresh")
+
+
+#: Images whose maps and label maps a task holds at a time.
+IMAGES = 32
 
 
 def mask_labels(
@@ -80,42 +87,47 @@ def mask_labels(
 ) -> DataFrame:
     """Per activated map ``(img, unit, area, hits array<struct<label, amount>>)``.
 
-    Maps, label maps and image labels meet once per image; pixels are expanded, tested and
-    counted where they are and only counts leave the task.
+    Maps on one side and sizes, label maps and image labels on the other are shuffled once,
+    to groups of ``IMAGES`` images; a task enlarges the maps of a group, holds them against
+    the thresholds and counts the labels under the masks. Only counts leave it. Image-level
+    labels without a number do not count; a map of an image without a size is left out.
     """
-    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel", "labels"))), lambda c: c["labels"]))
-    maps = channels.groupBy("img").agg(flat.alias("_labels"), F.count("*").cast("int").alias("_channels"))
-    sized = (
-        spread(gate(blocks, thresholds), "img")
-        .join(images.select("img", "sh", "sw"), "img")
-        .join(maps, "img", "left")
-        .withColumn("_channels", F.coalesce("_channels", F.lit(0)))
-    )
-    masked = expand_pixels(sized, F.col("sh"), F.col("sw")).where(F.col("v") > F.col("thresh"))
-    # layer 0 counts the pixel itself, layer c >= 1 its label in channel c - 1
-    layered = masked.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_channels"))))
-    pixel = F.col("py") * F.col("sw") + F.col("px")
-    at = (F.col("_c") - 1) * (F.col("sh") * F.col("sw")) + pixel
-    label = F.when(F.col("_c") == 0, F.lit(_ANY)).otherwise(F.get("_labels", at))
-    counts = (
-        layered.select("img", "unit", label.alias("label"))
-        .where((F.col("label") > 0) | (F.col("label") == _ANY))
-        .groupBy("img", "unit", "label")
-        .agg(F.count("*").alias("amount"))
+    groups = max(1, -(-images.count() // IMAGES))
+    group = F.pmod(F.xxhash64(F.col("img")), F.lit(groups)).alias("_group")
+    none = F.lit(None)
+    opened = gate(blocks, thresholds).select(
+        group, "img", "unit", F.col("h").cast("int"), F.col("w").cast("int"), "values", F.col("thresh").cast("double")
     )
-    whole = scalars.groupBy("img").agg(F.collect_list(F.col("label").cast("int")).alias("_scalars"))
-    per_map = counts.groupBy("img", "unit").agg(
-        F.max(F.when(F.col("label") == _ANY, F.col("amount"))).alias("area"),
-        F.collect_list(F.when(F.col("label") != _ANY, F.struct("label", "amount"))).alias("_pixel"),
-    )
-    none = F.array().cast("array<int>")
-    image_level = F.transform(
-        F.coalesce("_scalars", none),
-        lambda s: F.struct(s.alias("label"), F.col("area").alias("amount")),
-    )
-    return per_map.join(whole, "img", "left").select(
-        "img", "unit", "area", F.concat("_pixel", image_level).alias("hits")
+
+    def facts(df: DataFrame, channel, labels, height=none, width=none) -> DataFrame:
+        return df.select(
+            group,
+            "img",
+            channel.cast("int").alias("channel"),
+            height.cast("int").alias("sh"),
+            width.cast("int").alias("sw"),
+            labels.cast("array<int>").alias("labels"),
+        )
+
+    sizes = facts(images, F.lit(-1), none, F.col("sh"), F.col("sw"))
+    maps = facts(channels, F.col("channel"), F.col("labels"))
+    whole = facts(scalars, F.lit(-2), F.array("label"))
+    told = sizes.unionByName(maps).unionByName(whole)
+    kind = T.StructType(
+        [
+            images.schema["img"],
+            blocks.schema["unit"],
+            T.StructField("area", T.LongType()),
+            T.StructField("hits", T.ArrayType(T.StructType([T.StructField("label", T.IntegerType()), T.StructField("amount", T.LongType())]))),
+        ]
     )
+    arrow = to_arrow_schema(kind)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        return labels_under(left, right, arrow) if left.num_rows and right.num_rows else arrow.empty_table()
+
+    sides = [spread(df, "_group").groupBy("_group") for df in (opened, told)]
+    return sides[0].cogroup(sides[1]).applyInArrow(work, kind)
 
 
 def unit_area(hits: DataFrame) -> DataFrame:
