@@ -10,6 +10,7 @@ from checks import query
 from unitscope.operators import resample
 from unitscope.operators.layout import bounded
 from unitscope.session import scratch
+from unitscope.sources import dataset
 from unitscope.sources import images as image_files
 from unitscope.sources import labels, store, tensors
 
@@ -419,3 +420,47 @@ def feature_map_export(spark, sf):
     maps.write.parquet(path)
     total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
     return fx.rounded(spark.read.parquet(path).select("img", "source_img", "unit", total.alias("total")), "total")
+
+
+def _dataset(spark, sf) -> str:
+    """The labels of the vectors as a data set on disk: index, tables and one PNG per label map."""
+    path = scratch(spark, "dataset")
+    img = F.col("img").cast("string")
+    maps = fx.channels(spark, sf).withColumn("file", F.concat(F.lit("m"), F.col("img") % 7, F.lit("/"), img, F.lit("_"), F.col("channel"), F.lit(".png")))
+    rgb = F.flatten(F.transform("labels", lambda x: F.array(x % 256, F.floor(x / 256).cast("int"), F.lit(0))))
+    side = F.lit(fx.GRID)
+    image_files.write_png(maps.select("file", side.alias("height"), side.alias("width"), rgb.alias("rgb")), f"{path}/images")
+    # two label maps an image
+    listed = maps.groupBy("img").agg(F.array_join(F.array_sort(F.collect_list("file")), ";").alias("object"))
+    index = fx.images(spark, sf).join(listed, "img").join(fx.scalars(spark, sf).select("img", F.col("label").alias("scene")), "img", "left")
+    columns = [F.col(c).cast("string") for c in ("image", "split", "sh", "sw", "object")]
+    index.select(*columns, F.lit("").alias("part"), F.concat(F.col("scene").cast("string"), F.lit(";")).alias("scene")).write.option("header", True).csv(f"{path}/index.csv")
+    names = fx.labelcat(spark, sf).select(F.col("label").alias("number"), F.concat(F.lit("concept_"), F.col("label"), F.lit("-c")).alias("name"), "cat_idx")
+    entry = F.concat(F.element_at(F.array(*map(F.lit, fx.CATEGORIES)), F.col("cat_idx") + 1), F.lit("(5)"))
+    rest = [F.lit("5").alias("frequency"), F.lit("0.5").alias("coverage")]
+    names.select("number", "name", entry.alias("category"), *rest, F.lit("").alias("syns")).write.option("header", True).csv(f"{path}/label.csv")
+    for i, name in enumerate(fx.CATEGORIES):
+        own = names.where(F.col("cat_idx") == i).select(F.col("number").alias("code"), "number", "name", *rest)
+        own.write.option("header", True).csv(f"{path}/c_{name}.csv")
+    rows = spark.createDataFrame([(c,) for c in ["color", *fx.CATEGORIES]], "name string").coalesce(1)
+    rows.write.option("header", True).csv(f"{path}/category.csv")
+    return path
+
+
+@query(
+    "a23_dataset_iou",
+    fx.sql(
+        """SELECT unit, lab AS label, cat AS cat_idx, both_n AS both, act AS activation, truth,
+                  round(iou, 9) AS iou FROM iou""",
+        "iou",
+    ),
+)
+def dataset_iou(spark, sf):
+    """Scores from a data set on disk: index, label maps and code tables to the tally."""
+    from unitscope.plans import dissect
+
+    data = dataset.open_dataset(spark, _dataset(spark, sf), fx.CATEGORIES)
+    number = data.images.select("img", F.regexp_extract("image", r"vec_(\d+)", 1).cast("long").alias("vec"))
+    maps = fx.blocks(spark, sf).withColumnRenamed("img", "vec").join(number, "vec").drop("vec")
+    done = dissect(maps, data.images, data.channels, data.scalars, data.labelcat, data.category_names(), data.names, fx.DENSE_Q)
+    return fx.rounded(done.scores, "iou")

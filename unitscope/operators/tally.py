@@ -126,7 +126,8 @@ def mask_labels(
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         return labels_under(left, right, arrow) if left.num_rows and right.num_rows else arrow.empty_table()
 
-    sides = [spread(df, "_group").groupBy("_group") for df in (opened, told)]
+    # fresh columns: both sides may come from one table
+    sides = [spread(df.toDF(*df.columns), "_group").groupBy("_group") for df in (opened, told)]
     return sides[0].cogroup(sides[1]).applyInArrow(work, kind)
 
 

@@ -8,18 +8,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PIXELS = "file string, y int, x int, r int, g int, b int"
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
     """Images below a directory with their size and raw bytes, keyed by the path below it.
 
-    A file that cannot be read has a height of -1; ``unreadable`` lists those.
+    A file that cannot be read has a height of -1; ``unreadable`` lists those. ``names`` is a
+    pattern of the file names wanted, in all folders below.
     """
-    image = spark.read.format("image").option("dropInvalid", False).load(path)
+    reader = spark.read.format("image").option("dropInvalid", False)
+    if names:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", names)
+    image = reader.load(path)
     below = F.length(F.lit(whole_path(spark, path).split("://")[-1].split(":")[-1].rstrip("/")))
     place = F.regexp_replace("image.origin", "^[A-Za-z][A-Za-z0-9+.-]*:(//)?(?=/|[^/])", "")
     return image.select(
@@ -66,6 +71,64 @@ def label_pixels(images: DataFrame) -> DataFrame:
     return image_pixels(images).select("file", "y", "x", label.alias("label"))
 
 
+def label_maps(images: DataFrame) -> DataFrame:
+    """Whole label maps ``(file, height, width, labels array<int>)``, row-major, packed where they are decoded."""
+
+    def decode(batch: pa.RecordBatch) -> list[np.ndarray]:
+        out = []
+        for raw, h, w, n in zip(*(batch.column(c).to_pylist() for c in ("data", "height", "width", "n_channels"))):
+            bgr = np.frombuffer(raw, dtype=np.uint8).reshape(h * w, n).astype(np.int32)
+            out.append(bgr[:, min(2, n - 1)] + 256 * bgr[:, min(1, n - 1)])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # an image at a time: decoded label maps take four times the bytes of an image channel
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                flat = decode(one)[0]
+                labels = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([one.column("file"), one.column("height"), one.column("width"), labels], names=["file", "height", "width", "labels"])
+
+    return images.where(F.col("height") >= 0).mapInArrow(run, "file string, height int, width int, labels array<int>")
+
+
+def input_arrays(images: DataFrame, height: int, width: int, bgr_mean: list[float] | None = None) -> DataFrame:
+    """Images as network input ``(file, values array<double>)``: 3 × height × width, row-major.
+
+    Decoded, resized bilinearly (to bytes, as image files hold them), and normalised in one
+    pass, an image at a time; grey images fill all three channels. Unreadable images have no row.
+    """
+    from unitscope.operators.images import BGR_MEAN, INPUT_SCALE
+    from unitscope.operators.maps import resize
+
+    mean = np.array(list(reversed(bgr_mean or BGR_MEAN)))[:, None, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw, h, w, n = (batch.column(c)[i].as_py() for c in ("data", "height", "width", "n_channels"))
+                bgr = np.frombuffer(raw, dtype=np.uint8).reshape(h, w, n)
+                rgb = np.stack([bgr[..., min(c, n - 1)] for c in (2, 1, 0)]).astype(np.float64)
+                if (h, w) != (height, width):
+                    rgb = np.clip(np.floor(np.round(resize(rgb, height, width), 9) + 0.5), 0, 255)
+                flat = ((rgb - mean) / INPUT_SCALE).ravel()
+                values = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("file").slice(i, 1), values], names=["file", "values"])
+
+    return images.where(F.col("height") >= 0).mapInArrow(run, "file string, values array<double>")
+
+
+def save_pixels(pixels: DataFrame, path: str) -> int:
+    """Write pixel rows ``(file, ch, y, x, v)``, ch 0..2 = R, G, B, as one PNG per file; returns their number."""
+    ordered = F.array_sort(F.collect_list(F.struct("y", "x", "ch", F.col("v").cast("int").alias("v"))))
+    # a group holds the pixels of one image
+    whole = pixels.groupBy("file").agg(
+        (F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"), F.transform(ordered, lambda p: p["v"]).alias("rgb")
+    )
+    return write_png(whole, path)
+
+
 def write_png(images: DataFrame, path: str) -> int:
     """Write images ``(file, height, width, rgb array<int>)`` below a shared folder.
 
@@ -103,6 +166,8 @@ def write_png(images: DataFrame, path: str) -> int:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 rgb = np.asarray(row.rgb, dtype=np.uint8).reshape(row.height, row.width, 3)
+                if "/" in row.file:
+                    target.create_dir(f"{base}/{row.file}".rpartition("/")[0], recursive=True)
                 with target.open_output_stream(f"{base}/{row.file}") as out:
                     out.write(png(rgb))
                 done += 1
