@@ -9,6 +9,8 @@ from checks import fixtures as fx
 from checks import query
 from unitscope.operators import images, resample
 from unitscope.operators.layout import bounded
+from unitscope.session import scratch
+from unitscope.sources import images as files
 
 _MEANS = "[124.6901::DOUBLE, 118.6897::DOUBLE, 109.5388::DOUBLE]"
 
@@ -117,6 +119,55 @@ def feature_maxima(spark, sf):
     return fx.rounded(features.select("img", "layer", "unit", "max_v"), "max_v", digits=6)
 
 
+_FILES = f"""WITH pix AS (
+  SELECT vec_id AS img, ch::INT AS ch, (p // 8) AS y, (p % 8) AS x,
+         ((floor((embedding[p + 1]::DOUBLE + 1) * 100) + ch * 20) % 256)::DOUBLE AS v
+  FROM embeddings, range(64) t(p), range(3) u(ch)
+), input AS (SELECT img, y, x, (v - {_MEANS}[1]) / 57.12e0 AS v FROM pix WHERE ch = 0
+), {_KERNEL_SQL}, conv AS (
+  SELECT img, u, oy, ox, sum(v * k) AS v FROM range(3) a(oy), range(3) b(ox), kern
+  JOIN input ON y = oy * 2 + i AND x = ox * 2 + j GROUP BY img, u, oy, ox)"""
+
+
+@query(
+    "l3_features_of_files",
+    f"{_FILES} SELECT img, 'conv' AS layer, u AS unit, round(max(v), 6) + 0 AS max_v FROM conv GROUP BY img, u",
+)
+def features_of_files(spark, sf):
+    """Image files to feature maxima, in two runs: the second finds the first third of the ranges done."""
+    from unitscope.plans.job import file_features
+
+    folder, path = scratch(spark, "photos"), scratch(spark, "features")
+    name = F.concat(F.lit("p"), F.col("img").cast("string"), F.lit(".png"))
+    files.save_pixels(fx.pixels(spark, sf).withColumn("file", name), folder)
+    listed = fx.images(spark, sf).select("img", name.alias("image"))
+    size = max(1, listed.count() // 9)
+    first = listed.where(F.col("img") < 3 * size)
+    file_features(spark, first, folder, path, _convolution(), (8, 8), "*.png", size, jobs=2)
+    features, _ = file_features(spark, listed, folder, path, _convolution(), (8, 8), "*.png", size, jobs=2)
+    conv = features.where("layer = 'conv'")
+    return fx.rounded(conv.select("img", "layer", "unit", "max_v"), "max_v", digits=6)
+
+
+@query(
+    "l2_saved_images",
+    _after(
+        fx.sql("", "pix"),
+        _shrink(8, 6, "w"),
+        """SELECT 'p' || img || '.png' AS file, ch, a.o::INT AS y, b.o::INT AS x,
+                  least(greatest(floor(round(sum(v * a.w * b.w), 9) + 0.5e0), 0), 255)::INT AS v
+           FROM pix JOIN w a ON a.i = y JOIN w b ON b.i = x GROUP BY img, ch, a.o, b.o""",
+    ),
+)
+def saved_images(spark, sf):
+    """Resized images written as files and read again."""
+    folder = scratch(spark, "resized")
+    name = F.concat(F.lit("p"), F.col("img").cast("string"), F.lit(".png"))
+    files.save_pixels(images.resize(fx.pixels(spark, sf), (8, 8), (6, 6)).withColumn("file", name), folder)
+    back = files.image_pixels(files.read_images(spark, folder))
+    return back.select("file", F.posexplode(F.array("r", "g", "b")).alias("ch", "v"), "y", "x")
+
+
 @query(
     "l4_nan_guard",
     "SELECT vec_id AS img, CASE WHEN embedding[1]::DOUBLE > 0.2e0 THEN 'failed' ELSE 'valid' END AS state FROM embeddings",

@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PIXELS = "file string, y int, x int, r int, g int, b int"
 
@@ -93,8 +94,8 @@ def label_maps(images: DataFrame) -> DataFrame:
     return images.where(F.col("height") >= 0).mapInArrow(run, "file string, height int, width int, labels array<int>")
 
 
-def input_arrays(images: DataFrame, height: int, width: int, bgr_mean: list[float] | None = None) -> DataFrame:
-    """Images as network input ``(file, values array<double>)``: 3 × height × width, row-major.
+def input_arrays(images: DataFrame, height: int, width: int, key: str = "file", bgr_mean: list[float] | None = None) -> DataFrame:
+    """Images as network input ``(key, values array<double>)``: 3 × height × width, row-major.
 
     Decoded, resized bilinearly (to bytes, as image files hold them), and normalised in one
     pass, an image at a time; grey images fill all three channels. Unreadable images have no row.
@@ -114,9 +115,10 @@ def input_arrays(images: DataFrame, height: int, width: int, bgr_mean: list[floa
                     rgb = np.clip(np.floor(np.round(resize(rgb, height, width), 9) + 0.5), 0, 255)
                 flat = ((rgb - mean) / INPUT_SCALE).ravel()
                 values = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column("file").slice(i, 1), values], names=["file", "values"])
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(i, 1), values], names=[key, "values"])
 
-    return images.where(F.col("height") >= 0).mapInArrow(run, "file string, values array<double>")
+    kind = T.StructType([images.schema[key], T.StructField("values", T.ArrayType(T.DoubleType()))])
+    return images.where(F.col("height") >= 0).select(key, "height", "width", "n_channels", "data").mapInArrow(run, kind)
 
 
 def save_pixels(pixels: DataFrame, path: str) -> int:

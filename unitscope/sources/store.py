@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
@@ -27,6 +28,48 @@ def load_or_compute(
     return spark.read.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def compute_in_ranges(
+    images: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, size: int = 4096, jobs: int = 8
+) -> DataFrame:
+    """``compute`` over ``images`` (with a long ``img``), stored by ranges of ``size`` image numbers.
+
+    A manifest lists the finished ranges with the number of images each was made from. A run
+    leaves those alone and computes only what is missing, or has other images by number now,
+    in at most ``jobs`` jobs; what an interrupted job has left behind is overwritten and never
+    read. ``compute`` maps images to rows with the same ``img``.
+    """
+    spark = images.sparkSession
+    made, manifest = f"{path}/ranges", f"{path}/manifest"
+    listed = "_range long, _images long, _run long"
+    part = F.floor(F.col("img") / size).cast("long")
+
+    def finished() -> DataFrame:
+        return spark.read.schema(listed).parquet(manifest) if exists(spark, manifest) else spark.createDataFrame([], listed)
+
+    wanted = images.groupBy(part.alias("_range")).agg(F.count("*").alias("_images"))
+    # the last entry of a range holds: it was written over when its images changed
+    latest = finished().groupBy("_range").agg(F.max_by("_images", "_run").alias("_images"))
+    run = (finished().agg(F.max("_run")).first()[0] or 0) + 1
+    missing = wanted.join(latest, ["_range", "_images"], "left_anti").orderBy("_range").collect()
+    step = max(1, -(-len(missing) // jobs))
+    for at in range(0, len(missing), step):
+        now = missing[at : at + step]
+        rows = compute(images.where(part.isin([r["_range"] for r in now]))).withColumn("_range", part)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_range").parquet(made)
+        spark.createDataFrame([(*r, run) for r in now], listed).coalesce(1).write.mode("append").parquet(manifest)
+    kind = compute(images.limit(0)).schema
+    if not exists(spark, made):
+        return spark.createDataFrame([], kind)
+    read = spark.read.schema(T.StructType([*kind.fields, T.StructField("_range", T.LongType())])).parquet(made)
+    # one row for each finished range
+    return read.join(F.broadcast(finished().select("_range").distinct()), "_range", "left_semi").drop("_range")
+
+
 def save_features(features: DataFrame, path: str) -> None:
     """Feature maps by model and layer, sorted by image inside the files."""
     (
