@@ -10,7 +10,7 @@ from checks import query
 from unitscope.operators import resample
 from unitscope.operators.layout import bounded
 from unitscope.session import scratch
-from unitscope.sources import dataset
+from unitscope.sources import arrays, dataset
 from unitscope.sources import images as image_files
 from unitscope.sources import labels, store, tensors
 
@@ -50,6 +50,15 @@ def array_to_cells(spark, sf):
     return tensors.array_to_cells(spark, array)
 
 
+@query("a2_array_files", _CELLS)
+def array_files(spark, sf):
+    """The maps as a folder of dense parts, read back as cells in many byte ranges."""
+    path = scratch(spark, "array")
+    shape = (fx.images(spark, sf).count(), fx.UNITS, fx.SIDE, fx.SIDE)
+    arrays.save_array(fx.matrix(spark, sf), path, shape, part_bytes=1 << 16)
+    return arrays.read_array(spark, path, partitionBytes=1 << 15)
+
+
 @query("a3_nested_round_trip", _CELLS.replace("SELECT img AS id_1", "SELECT 'layer4' AS layer_name, img AS id_1"))
 def nested_round_trip(spark, sf):
     named = fx.matrix(spark, sf).withColumn("layer_name", F.lit("layer4"))
