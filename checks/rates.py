@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks import query
-from unitscope.operators import activation, resample
+from unitscope.operators import activation, resample, tree
 from unitscope.session import cut
 
 _CLASSES = [1, 4, 7]
@@ -125,6 +125,46 @@ def rate_tree(spark, sf):
     )
 
 
+def _level(k: int, deep: bool) -> str:
+    """One level of the tree: every split of every node scored from its rows, and the rows of the children."""
+    out = f"""side{k} AS (
+      SELECT a.node, a.unit, a.v, r.cls, count(*) FILTER (r.v <= a.v) AS lc, count(*) AS tc
+      FROM (SELECT DISTINCT node, unit, v FROM rows{k}) a JOIN rows{k} r USING (node, unit) GROUP BY ALL
+    ), gain{k} AS (
+      SELECT node, unit, v AS t, sum(lc * lc)::DOUBLE / sum(lc) + sum((tc - lc) * (tc - lc))::DOUBLE / sum(tc - lc)
+             - sum(tc * tc)::DOUBLE / sum(tc) AS gain
+      FROM side{k} GROUP BY ALL HAVING sum(lc) >= 10 AND sum(tc - lc) >= 10
+    ), split{k} AS (
+      SELECT * FROM gain{k} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, unit, t) = 1
+    ), limit{k} AS (
+      SELECT node, s.unit, t, (t + min(v)) / 2 AS threshold FROM split{k} s JOIN rows{k} r USING (node) WHERE r.unit = s.unit AND r.v > t GROUP BY node, s.unit, t
+    ), node{k} AS (
+      SELECT node, {k} AS depth, n, cls, c::DOUBLE / n AS share FROM (
+        SELECT node, cls, count(*) AS c, sum(count(*)) OVER (PARTITION BY node)::BIGINT AS n FROM (SELECT DISTINCT node, img, cls FROM rows{k}) GROUP BY node, cls)
+      QUALIFY row_number() OVER (PARTITION BY node ORDER BY c DESC, cls) = 1
+    )"""
+    if deep:
+        out += f""", move{k} AS (
+      SELECT r.img, 2 * node + CASE WHEN r.v <= t THEN 0 ELSE 1 END AS node FROM rows{k} r JOIN limit{k} l USING (node) WHERE r.unit = l.unit
+    ), rows{k + 1} AS (SELECT m.node, r.img, r.unit, r.v, r.cls FROM rows{k} r JOIN move{k} m USING (img))"""
+    return out
+
+
+_TREE_SQL = fx.sql("", "rate").rstrip() + f""", rows0 AS (
+      SELECT 1 AS node, img, unit, rate::DOUBLE AS v, label AS cls FROM rate JOIN embeddings ON vec_id = img
+    ), {_level(0, True)}, {_level(1, True)}, {_level(2, False)}
+    SELECT node::BIGINT AS node, depth, l.unit::INT AS unit, round(threshold, 9) AS threshold, n, cls, round(share, 9) AS share FROM node0 LEFT JOIN limit0 l USING (node)
+    UNION ALL SELECT node, depth, l.unit::INT, round(threshold, 9), n, cls, round(share, 9) FROM node1 LEFT JOIN limit1 l USING (node)
+    UNION ALL SELECT node, depth, NULL::INT, NULL::DOUBLE, n, cls, round(share, 9) FROM node2"""
+
+
+@query("j8_exact_tree", _TREE_SQL)
+def exact_tree(spark, sf):
+    """Nodes of a tree of depth two with exact splits."""
+    grown = tree.exact_tree(fx.rates(spark, sf).withColumnRenamed("rate", "v"), fx.images(spark, sf).select("img", "cls"), max_depth=2)
+    return fx.rounded(grown.nodes, "threshold", "share")
+
+
 @query(
     "j9_class_samples",
     fx.sql(

@@ -58,6 +58,24 @@ def global_index(df: DataFrame, order: list[str | Column], name: str = "idx") ->
     )
 
 
+def running_sums(df: DataFrame, by: list[str], order: str, amounts: list[str]) -> DataFrame:
+    """``df`` with ``<amount>_upto``: sums over the rows of a group up to and with the row's ``order``.
+
+    Rows are range-partitioned by group and order, summed inside their partition, and shifted by
+    the group's sums in earlier partitions, so a group may fill any number of tasks. Rows of equal
+    order lie together and have equal sums.
+    """
+    tagged = cut(df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()))
+    # a row for each group and each partition that it reaches into
+    parts = tagged.groupBy(*by, "_part").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(*by, "_part", *[F.coalesce(F.sum(f"_{a}").over(earlier), F.lit(0)).alias(f"_{a}") for a in amounts])
+    inside = Window.partitionBy(*by, "_part").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    own = tagged.select("*", *[F.sum(a).over(inside).alias(f"{a}_upto") for a in amounts])
+    met = own.join(before, [*by, "_part"])
+    return met.select(*df.columns, *[(F.col(f"{a}_upto") + F.col(f"_{a}")).alias(f"{a}_upto") for a in amounts])
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int, name: str) -> DataFrame:
     """The first ``n`` rows of every group, with their 1-based rank.
 
