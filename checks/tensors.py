@@ -235,13 +235,29 @@ def multiply_2d(spark, sf):
        FROM a JOIN a b USING (k) GROUP BY a.i, b.i""",
 )
 def multiply_2d_self(spark, sf):
-    """A matrix times its own transpose, the inner index split over two tasks."""
+    """A matrix times its own transpose, heavy inner indices split."""
     items = fx.table(spark, sf, "lineitem")
     mat = items.groupBy(F.col("l_suppkey").alias("id_3"), (F.col("l_partkey") % 20).alias("id_4")).agg(
         F.sum("l_quantity").alias("value")
     )
     flipped = mat.select(F.col("id_4").alias("id_3"), F.col("id_3").alias("id_4"), "value")
-    return fx.rounded(algebra.multiply_2d(mat, flipped, salts=2), "value", digits=4)
+    return fx.rounded(algebra.multiply_2d(mat, flipped), "value", digits=4)
+
+
+@query(
+    "d8_multiply_skewed",
+    """WITH r AS (SELECT l_orderkey, l_suppkey, l_quantity, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_partkey END AS k FROM lineitem),
+            a AS (SELECT l_orderkey AS i, k, sum(l_quantity) AS v FROM r GROUP BY 1, 2),
+            b AS (SELECT k, l_suppkey AS j, count(*) AS v FROM r GROUP BY 1, 2)
+       SELECT j AS id_4, count(DISTINCT i) AS orders, round(sum(a.v * b.v), 4) AS value FROM a JOIN b USING (k) GROUP BY j""",
+)
+def multiply_skewed(spark, sf):
+    """Orders × parts times parts × suppliers, where every order holds one and the same part."""
+    items = fx.table(spark, sf, "lineitem").withColumn("k", F.when(F.col("l_linenumber") == 1, 0).otherwise(F.col("l_partkey")).cast("long"))
+    left = items.groupBy(F.col("l_orderkey").alias("id_3"), F.col("k").alias("id_4")).agg(F.sum("l_quantity").alias("value"))
+    right = items.groupBy(F.col("k").alias("id_3"), F.col("l_suppkey").alias("id_4")).agg(F.count("*").cast("double").alias("value"))
+    product = algebra.multiply_2d(left, right)
+    return fx.rounded(product.groupBy("id_4").agg(F.count("*").alias("orders"), F.sum("value").alias("value")), "value", digits=4)
 
 
 @query(

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from unitscope.operators import graph
 
@@ -128,3 +129,19 @@ def test_communities_of_separate_cliques(spark):
     rows += [(8 * g, 8 * g + 8, 0.1) for g in range(11)]
     found = graph.multilevel_communities(spark.createDataFrame(rows, "src long, dst long, weight double"))
     assert {(r["unit"], r["community"]) for r in found.collect()} == {(u, u // 8 * 8) for u in range(96)}
+
+
+def test_hubs_are_not_expanded(spark):
+    """A star has no two edges that leave one node upward, and cliques equal a plain search."""
+    star = spark.createDataFrame([(0, i, 1) for i in range(1, 400)], "src long, dst long, weight long")
+    up = graph.upward(star)
+    assert up.groupBy("low").count().agg(F.max("count")).first()[0] == 1 and up.count() == 399
+    rng = np.random.default_rng(4)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 30, (160, 2)) if a != b} | {(0, i) for i in range(1, 30)}
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, weight long")
+    linked = {frozenset(p) for p in pairs}
+    for k in (3, 4):
+        want = {c for c in combinations(range(30), k) if all(frozenset(p) in linked for p in combinations(c, 2))}
+        got = [tuple(r) for r in graph.cliques(edges, k).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert graph.cliques(star.limit(0), 3).count() == 0

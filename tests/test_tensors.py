@@ -157,6 +157,29 @@ def test_product_with_identity_and_itself(spark, m3, dense):
     assert (dense(algebra.multiply_2d(square, square))[0, 0] == ARR3[:, :4] @ ARR3[:, :4]).all()
 
 
+def test_heavy_inner_index_is_split(spark, monkeypatch):
+    """One index holds most pairs: its left cells are dealt to many partitions, the product stays the same."""
+    rng = np.random.default_rng(6)
+    a = [(-1, -1, i, 0, float(rng.integers(1, 9))) for i in range(300)] + [(-1, -1, i, 1 + i % 5, 2.0) for i in range(40)]
+    b = [(-1, -1, 0, j, float(rng.integers(1, 9))) for j in range(20)] + [(-1, -1, 1 + j % 5, j, 3.0) for j in range(20)]
+    left, right = (spark.createDataFrame(x, schema.MATRIX) for x in (a, b))
+    want = {}
+    for *_, i, k, x in a:
+        for *_, m, j, y in b:
+            if k == m:
+                want[i, j] = want.get((i, j), 0.0) + x * y
+    monkeypatch.setattr(algebra, "PAIRS", 400)
+    product = algebra.multiply_2d(left, right)
+    assert {(r["id_3"], r["id_4"]): r["value"] for r in product.collect()} == want
+    dealt, _, on = algebra._dealt(left.select("id_3", F.col("id_4").alias("_k"), F.col("value").alias("_a")), right.select(F.col("id_3").alias("_k"), "id_4", F.col("value").alias("_b")))
+    assert on == ["_k", "_s"]
+    hot = dealt.where("_k = 0").groupBy("_s").count().collect()
+    assert len(hot) >= 10 and max(r["count"] for r in hot) < 60
+    monkeypatch.setattr(algebra, "PAIRS", 10**6)
+    assert {(r["id_3"], r["id_4"]): r["value"] for r in algebra.multiply_2d(left, right).collect()} == want
+    assert algebra.multiply_2d(left.limit(0), right).count() == 0
+
+
 @pytest.mark.parametrize("block", [2, 3, 256])
 def test_tiled_product(m3, m4, dense, block):
     assert np.allclose(dense(algebra.multiply_tiled(m3, m4, block))[0, 0], ARR3 @ ARR4, rtol=1e-12)

@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitscope.operators.layout import spread
+from unitscope.operators.layout import bounded, spread
 from unitscope.operators.reshape import shape
 from unitscope.schema import ABSENT, IDS
+from unitscope.session import cut
 
 
 def require_same_shape(left: DataFrame, right: DataFrame) -> None:
@@ -74,21 +75,46 @@ def dot_divide(left, right, *, check=True, fill=None, ordered=False) -> DataFram
     return _cellwise(left, right, F.try_divide, IDS, check, fill, ordered)
 
 
-def multiply_2d(left: DataFrame, right: DataFrame, *, salts: int = 1, ordered=False) -> DataFrame:
+#: Pairs of cells that a task of a matrix product is meant to multiply, and tasks at most.
+PAIRS, MOST_TASKS = 1_000_000, 20_000
+
+
+def _dealt(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both operands partitioned by inner index ``_k`` (and salt ``_s``) and the columns to join on.
+
+    An index with more than ``PAIRS`` of them is split: its left cells are dealt to as many
+    salts as it takes, its right cells go to each. The number of partitions follows from the
+    pairs, not from the bytes before the join.
+    """
+    sizes = a.groupBy("_k").agg(F.count("*").alias("_m")).join(b.groupBy("_k").agg(F.count("*").alias("_n")), "_k")
+    sizes = cut(sizes.select("_k", (F.col("_m") * F.col("_n")).alias("_p")))
+    total = sizes.agg(F.sum("_p")).first()[0] or 0
+    tasks = min(MOST_TASKS, max(1, -(-total // PAIRS)))
+    hot = cut(sizes.where(F.col("_p") > PAIRS).select("_k", F.ceil(F.col("_p") / PAIRS).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return a.repartition(tasks, "_k"), b.repartition(tasks, "_k"), ["_k"]
+    hot = bounded(hot)
+    salts = F.coalesce("_salts", F.lit(1))
+    left = a.join(hot, "_k", "left").withColumn("_s", F.pmod(F.xxhash64("id_3"), salts).cast("int")).drop("_salts")
+    right = b.join(hot, "_k", "left").withColumn("_s", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.repartition(tasks, "_k", "_s"), right.repartition(tasks, "_k", "_s"), ["_k", "_s"]
+
+
+def multiply_2d(left: DataFrame, right: DataFrame, *, salts: int | None = None, ordered=False) -> DataFrame:
     """Matrix product of 2-D operands.
 
-    The products are summed map-side before the shuffle on the result cell. ``salts``
-    splits every inner index of the left operand over that many tasks, for inner indices
-    too heavy for the skew handling of adaptive execution; the right operand is
-    replicated as often.
+    Inner indices with many cells are found by counting and split over tasks; ``salts`` splits
+    every one of them alike instead, without counting. The products are summed map-side before the
+    shuffle on the result cell.
     """
     a = left.select(F.col("id_3"), F.col("id_4").alias("_k"), F.col("value").alias("_a"))
     b = right.select(F.col("id_3").alias("_k"), F.col("id_4"), F.col("value").alias("_b"))
-    on = ["_k"]
-    if salts > 1:
+    on = ["_k", "_s"]
+    if salts is None:
+        a, b, on = _dealt(a, b)
+    else:
         a = a.withColumn("_s", F.pmod(F.xxhash64("id_3"), F.lit(salts)).cast("int"))
         b = b.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on = ["_k", "_s"]
     absent = F.lit(ABSENT).cast("long")
     out = (
         a.join(b, on)

@@ -165,9 +165,31 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def upward(edges: DataFrame) -> DataFrame:
+    """Every edge once as ``(low, high)``, from the node of fewer edges to that of more (then by number).
+
+    No node has more than the square root of twice the number of edges above it, however many
+    it has in all: the centre of a star has none.
+    """
+    pairs = edges.where(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pairs = cut(pairs)
+    sizes = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    sizes = bounded(cut(sizes))
+    placed = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("_na")), "a").join(
+        sizes.select(F.col("node").alias("b"), F.col("n").alias("_nb")), "b"
+    )
+    # a is the smaller number, so it is the lower one where both have as many edges
+    up = F.col("_na") <= F.col("_nb")
+    return placed.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("high"))
+
+
 def cliques(edges: DataFrame, k: int) -> DataFrame:
-    """All cliques of ``k`` nodes, as columns ``n_1 < … < n_k``."""
-    pair = edges.select(F.col("src").alias("n_1"), F.col("dst").alias("n_2"))
+    """All cliques of ``k`` nodes, as columns ``n_1 < … < n_k``.
+
+    A clique is found from its lowest node in the order of ``upward``, so hubs are joined to, never
+    expanded.
+    """
+    pair = cut(upward(edges).select(F.col("low").alias("n_1"), F.col("high").alias("n_2")))
     out = pair
     for size in range(3, k + 1):
         new = f"n_{size}"
@@ -176,7 +198,8 @@ def cliques(edges: DataFrame, k: int) -> DataFrame:
         for j in range(2, size):
             link = pair.select(F.col("n_1").alias(f"n_{j}"), F.col("n_2").alias(new))
             out = out.join(link, [f"n_{j}", new], "left_semi")
-    return out.select(*[f"n_{i}" for i in range(1, k + 1)])
+    ordered = out.select(F.array_sort(F.array(*[f"n_{i}" for i in range(1, k + 1)])).alias("_n"))
+    return ordered.select(*[F.get("_n", F.lit(i - 1)).alias(f"n_{i}") for i in range(1, k + 1)])
 
 
 def _padded(node):
