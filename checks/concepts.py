@@ -176,8 +176,7 @@ def label_sizes(spark, sf):
     f"WITH {_COV} SELECT cat_idx, category, sum(frequency)::DOUBLE AS frequency FROM cov JOIN cats USING (category) GROUP BY 1, 2",
 )
 def category_frequency(spark, sf):
-    per = _coverage(spark, sf).groupBy("cat_idx", "category")
-    return per.agg(F.sum("frequency").cast("double").alias("frequency"))
+    return concepts.category_frequency(_coverage(spark, sf))
 
 
 @query("g7_split_sizes", "SELECT lang AS split, count(*) AS n FROM documents GROUP BY lang")

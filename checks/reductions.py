@@ -50,8 +50,7 @@ def block_max(spark, sf):
 def product_sum(spark, sf):
     """The sum inside the matrix product, on its own."""
     items = fx.table(spark, sf, "lineitem")
-    total = F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("value")
-    return fx.rounded(items.groupBy("l_suppkey", "l_returnflag").agg(total), "value", digits=2)
+    return fx.rounded(reduce.product_sum(items, ["l_suppkey", "l_returnflag"], "l_extendedprice", "l_discount"), "value", digits=2)
 
 
 @query(

@@ -431,6 +431,25 @@ def feature_map_export(spark, sf):
     return fx.rounded(spark.read.parquet(path).select("img", "source_img", "unit", total.alias("total")), "total")
 
 
+@query(
+    "a12_unreadable_fields",
+    """SELECT o_orderkey::VARCHAR AS id, 'size' AS field, CASE WHEN o_orderkey % 3 = 0 THEN '12.0' ELSE o_orderpriority END AS value
+       FROM orders WHERE o_orderkey % 5 <> 1
+       UNION ALL SELECT o_orderkey::VARCHAR, 'count', o_orderstatus FROM orders WHERE o_orderkey % 7 = 2""",
+)
+def unreadable_fields(spark, sf):
+    """Fields of a text table that hold no whole number, listed beside the table that has nulls for them."""
+    key = F.col("o_orderkey")
+    path = scratch(spark, "fields")
+    text = fx.table(spark, sf, "orders").select(
+        key.cast("string").alias("id"),
+        F.when(key % 5 == 1, (key % 90).cast("string")).when(key % 3 == 0, "12.0").otherwise(F.col("o_orderpriority")).alias("size"),
+        F.when(key % 7 == 2, F.col("o_orderstatus")).when(key % 7 == 3, "").otherwise("-5").alias("count"),
+    )
+    text.write.option("header", True).csv(path)
+    return labels.bad_numbers(labels.read_text_csv(spark, path, text.columns), "id", ["size", "count"], "long")
+
+
 def _dataset(spark, sf) -> str:
     """The labels of the vectors as a data set on disk: index, tables and one PNG per label map."""
     path = scratch(spark, "dataset")

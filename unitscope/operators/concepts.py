@@ -133,6 +133,11 @@ def label_sizes(codes: DataFrame) -> DataFrame:
     return codes.groupBy("category").agg((F.max("code") + 1).alias("label_size"))
 
 
+def category_frequency(codes: DataFrame) -> DataFrame:
+    """Frequency of every category, summed over its labels ``(category, cat_idx, frequency)``."""
+    return codes.groupBy("cat_idx", "category").agg(F.sum("frequency").cast("double").alias("frequency"))
+
+
 def split_sizes(images: DataFrame) -> DataFrame:
     return images.groupBy("split").agg(F.count("*").alias("n"))
 

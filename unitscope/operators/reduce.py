@@ -101,3 +101,8 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
         for c in columns
     ]
     return df.agg(F.array(*stats).alias("_s")).select(F.inline("_s"))
+
+
+def product_sum(df: DataFrame, by: list[str], left: str, right: str, name: str = "value") -> DataFrame:
+    """Sum of the products of two columns per group, as inside a matrix product."""
+    return df.groupBy(*by).agg(F.sum(F.col(left) * F.col(right)).alias(name))
