@@ -1,14 +1,14 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree of its block elements with the runs of text as leaves. Every node has a hidden
-state, article text (1) or not (0). Unary potentials come from tags, class names, lengths,
-link shares and punctuation; a potential on each edge couples parent and child. Sum-product message passing, upward
+state, article text (1) or not (0). Unary potentials come from tags, class names,
+link shares and punctuation, and on pages whose tags and names tell nothing from lengths and shares of the text; a potential on each edge couples parent and child. Sum-product message passing, upward
 and then downward, gives the marginals; runs with a marginal of at least one half are the
 text. Weights are trained on labelled pages by maximum likelihood, whose gradient is the observed less the
 expected features, and the expectations come from the same messages.
 
-Defined results: null and empty pages have an empty text. Markup that is not closed ends with its parent; a page cut
-inside a tag loses that tag; character references are decoded once. White space inside a run is one space, a line
+Defined results: null and empty pages have an empty text. Markup that is not closed ends with its parent; a script or style
+without its end goes on to the end of the page, as in a browser; a page cut inside a tag loses that tag; character references are decoded once. White space inside a run is one space, a line
 break (br) too; runs are joined by a line feed. Rows are read each for itself. An empty table gives no rows.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -35,17 +36,60 @@ BLOCKS = frozenset(
     "h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td "
     "tfoot th thead tr ul caption".split()
 )
-RAW = frozenset("script style noscript template iframe svg textarea title object math head-only".split())
+#: Elements whose text is no text of the page: all up to their end tag. Without one, the first two go
+#: on to the end of the page, as a browser reads them, the others to the next block element.
+RAW = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
+#: Elements whose tag says what they hold.
+TELLING = frozenset("article main nav header footer aside".split())
 #: Elements an implied end never reaches beyond.
 SCOPE = frozenset("html body table td th ul ol dl div article section main aside nav footer header form".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _CLASS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _MARK = re.compile(r"""data-l="([01])\"""")
 _PART = re.compile(r"[a-z]+")
+_STOP = re.compile(r"[.!?](?=\s|$)")
+_BARE = re.compile(r"[^\s>]*")
+_SPACES = re.compile(r"\s*")
+_HEADING = re.compile("h[1-6]")
+_END_TAG = {tag: re.compile(f"</{tag}(?![a-z0-9-])", re.I) for tag in RAW}
+_ANY_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+
+
+def tag_end(page: str, at: int) -> int:
+    """Place of the ``>`` that ends a tag, from behind its name, or -1.
+
+    A quote opens a value only right after ``=``; one without its like is an ordinary sign.
+    """
+    while True:
+        end = page.find(">", at)
+        if end < 0:
+            return -1
+        equal = page.find("=", at, end)
+        if equal < 0:
+            return end
+        value = _SPACES.match(page, equal + 1).end()
+        mark = page[value : value + 1]
+        if mark in ('"', "'"):
+            over = page.find(mark, value + 1)
+            at = value + 1 if over < 0 else over + 1
+        else:
+            at = _BARE.match(page, value).end()
+
+
+def _raw_end(page: str, tag: str, at: int, unclosed: set[str]) -> int:
+    """Place behind a raw element whose start tag ends at ``at``; ``unclosed`` collects those without another end tag."""
+    found = None if tag in unclosed else _END_TAG[tag].search(page, at)
+    if found:
+        close = page.find(">", found.end())
+        return len(page) if close < 0 else close + 1
+    unclosed.add(tag)
+    if tag in ("script", "style"):
+        return len(page)
+    return next((m.start() for m in _ANY_TAG.finditer(page, at) if m[1].lower() in BLOCKS), len(page))
 
 
 @dataclass
@@ -86,7 +130,13 @@ def parse(page: str, marks: bool = False) -> Tree:
         if state["link"]:
             state["linked"] += len(text)
 
-    at, n, quotes = 0, len(page), {'"': True, "'": True}
+    opened: Counter = Counter()
+
+    def cut_stack(k: int) -> None:
+        opened.subtract(tree.tag[i] for i in stack[k:])
+        del stack[k:]
+
+    at, n, unclosed = 0, len(page), set()
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -109,46 +159,27 @@ def parse(page: str, marks: bool = False) -> Tree:
             say("<")
             at = lt + 1
             continue
-        end = page.find(">", lt)
+        end = page.find(">", name.end()) if closing else tag_end(page, name.end())
         if end < 0:  # cut inside a tag
             break
         tag = name.group().lower()
-        # a ">" inside a quoted value does not end the tag
-        stop = name.end()
-        while not closing and stop < end:
-            q = min((i for i in (page.find('"', stop, end), page.find("'", stop, end)) if i >= 0), default=-1)
-            if q < 0:
-                break
-            mark = page[q]
-            over = page.find(mark, q + 1) if quotes[mark] else -1
-            if over < 0:
-                quotes[mark] = False
-                break
-            stop = over + 1
-            if over > end:
-                end = page.find(">", over)
-                if end < 0:
-                    end = n
         attributes = page[name.end() : end]
         at = end + 1
         if closing:
             if tag == "a":
                 state["link"] = False
             elif tag in BLOCKS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tree.tag[stack[k]] == tag or tag[0] == "h" and tag[1:].isdigit() and re.fullmatch("h[1-6]", tree.tag[stack[k]]):
-                        end_run()
-                        del stack[k:]
-                        break
-                else:
-                    end_run()
+                end_run()
+                heading = _HEADING.fullmatch(tag)
+                if sum(opened[f"h{i}"] for i in range(1, 7)) if heading else opened[tag]:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if tree.tag[stack[k]] == tag or heading and _HEADING.fullmatch(tree.tag[stack[k]]):
+                            cut_stack(k)
+                            break
             continue
         if tag in RAW:
-            found = re.compile(f"</{tag}", re.I).search(page, at)
-            if not found:
-                break
-            close = page.find(">", found.end())
-            at = n if close < 0 else close + 1
+            if not attributes.rstrip().endswith("/"):
+                at = _raw_end(page, tag, at, unclosed)
             say(" ")
             continue
         if tag == "a":
@@ -161,11 +192,11 @@ def parse(page: str, marks: bool = False) -> Tree:
                 continue
             if tag in CLOSES or tag != "button":
                 wanted = CLOSES.get(tag, set()) | ({"p"} if tag not in ("button", "label", "option") else set())
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened[w] for w in wanted) else ():
                     open_tag = tree.tag[stack[k]]
                     if open_tag in wanted:
-                        del stack[k:]
-                        if open_tag == "p" and tag not in CLOSES:
+                        cut_stack(k)
+                        if open_tag == "p" and tag not in CLOSES or not any(opened[w] for w in wanted):
                             break
                     elif open_tag in SCOPE:
                         break
@@ -176,6 +207,7 @@ def parse(page: str, marks: bool = False) -> Tree:
             node = tree.add(stack[-1], tag, found, mark=label)
             if tag not in VOID:
                 stack.append(node)
+                opened[tag] += 1
     end_run()
     return tree
 
@@ -184,8 +216,9 @@ def _bucket(n: int) -> int:
     return min(int(n).bit_length(), 9)
 
 
-def observe(tree: Tree) -> list[list[str]]:
-    """Names of the features of every node."""
+def observe(tree: Tree, shape: bool = False) -> list[list[str]]:
+    """Names of the features of every node: tags, names, links and ends of runs; with ``shape``, sizes
+    and shares of the page's text instead of names."""
     n = len(tree.parent)
     chars, linked = [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
@@ -199,10 +232,12 @@ def observe(tree: Tree) -> list[list[str]]:
         share = 4 * linked[i] // chars[i] if chars[i] else 0
         text = tree.text[i]
         if text is not None:
-            out.append([f"#in {tree.tag[tree.parent[i]]}", f"#links {share}", f"#stop {text[-1] in '.!?'}"])
+            told = [f"#ends {min(len(_STOP.findall(text)), 4)}", f"#size {min(len(text).bit_length(), 9)}"] if shape else []
+            out.append([f"#in {tree.tag[tree.parent[i]]}", f"#links {share}", f"#stop {text[-1] in '.!?'}", *told])
+        elif shape:
+            out.append([f"tag {tree.tag[i]}", f"links {share}", f"share {tree.tag[i]} {4 * chars[i] // max(chars[0], 1)}"])
         else:
-            names = set(_PART.findall(tree.names[i]))
-            out.append([f"tag {tree.tag[i]}", f"links {share}", *(f"name {w}" for w in names)])
+            out.append([f"tag {tree.tag[i]}", f"links {share}", *(f"name {w}" for w in set(_PART.findall(tree.names[i])))])
     return out
 
 
@@ -210,6 +245,11 @@ def observe(tree: Tree) -> list[list[str]]:
 class Model:
     unary: dict[str, float]
     edge: list[list[float]]  # log potential of (parent, child) states
+    shape: Model | None = None  # for pages whose names and tags tell nothing
+
+    def tells(self, tree: Tree) -> bool:
+        """Whether any tag or name of a page says what an element is for."""
+        return any(t in TELLING for t in tree.tag) or any(f"name {w}" in self.unary for names in set(tree.names) for w in _PART.findall(names))
 
 
 def marginals(parent: list[int], unary: list[float], edge: list[list[float]]) -> tuple[list[float], list[tuple[float, float, float, float]]]:
@@ -266,13 +306,13 @@ def truth(tree: Tree) -> list[int]:
     return state
 
 
-def train(pages: Iterable[str], rounds: int = 60, rate: float = 0.5, decay: float = 2e-4) -> Model:
+def train(pages: Iterable[str], rounds: int = 60, rate: float = 0.5, decay: float = 2e-4, shape: bool = False) -> Model:
     """Maximum likelihood with a quadratic penalty, by AdaGrad over whole rounds."""
     trees = [parse(p, marks=True) for p in pages]
     names: dict[str, int] = {}
     data = []
     for t in trees:
-        seen = [[names.setdefault(f, len(names)) for f in row] for row in observe(t)]
+        seen = [[names.setdefault(f, len(names)) for f in row] for row in observe(t, shape)]
         flat = np.array([f for row in seen for f in row], dtype=np.int64)
         rows = np.repeat(np.arange(len(seen)), [len(r) for r in seen])
         data.append((t.parent, flat, rows, np.array(truth(t), dtype=float)))
@@ -296,14 +336,19 @@ def train(pages: Iterable[str], rounds: int = 60, rate: float = 0.5, decay: floa
 
 @lru_cache(maxsize=1)
 def standard_model() -> Model:
-    """Trained on the labelled pages of this package."""
-    return train(labelled_pages(220))
+    """Trained on the labelled pages of this package, with and without telling names."""
+    model = train(labelled_pages(220))
+    model.shape = train(labelled_pages(220, seed=2, untold=True), shape=True)
+    return model
 
 
 def main_text(page: str, model: Model) -> str:
     tree = parse(page)
+    shape = model.shape is not None and not model.tells(tree)
+    if shape:
+        model = model.shape
     weight = model.unary.get
-    unary = [sum([weight(f, 0.0) for f in row]) for row in observe(tree)]
+    unary = [sum([weight(f, 0.0) for f in row]) for row in observe(tree, shape)]
     own, _ = marginals(tree.parent, unary, model.edge)
     return "\n".join(t for t, p in zip(tree.text, own) if t is not None and p >= 0.5)
 

@@ -35,6 +35,12 @@ def _sentences(rng: random.Random) -> str:
     return " ".join(_words(rng, rng.choice((1, 3, 8, 15, 20))).capitalize() + "." for _ in range(rng.choice((1, 1, 1, 2, 3, 6))))
 
 
+def _untold(kind: tuple[str, str], rng: random.Random) -> tuple[str, str]:
+    """The element as one whose tag and class name tell nothing."""
+    tag = kind[0] if kind[0] in ("ul", "ol", "td", "form", "fieldset", "p", "section") else "div"
+    return tag, "".join(rng.choice("abcdefghij") for _ in range(5))
+
+
 def _open(kind: tuple[str, str], label: int | None, rng: random.Random) -> str:
     tag, name = kind
     mark = f' data-l="{label}"' if label is not None else ""
@@ -63,8 +69,10 @@ def _block(rng: random.Random) -> str:
     return f"<div>{_sentences(rng)}</div>"
 
 
-def _around(rng: random.Random, kind: str) -> str:
+def _around(rng: random.Random, kind: str, untold: bool = False) -> str:
     shell = rng.choice(AROUND[kind])
+    if untold:
+        shell = _untold(shell, rng)
     links = lambda n: "".join(f"<li><a href='/x'>{_words(rng, rng.randint(1, 3))}</a></li>" for _ in range(n))
     text = _sentences(rng)
     inner = {
@@ -75,25 +83,27 @@ def _around(rng: random.Random, kind: str) -> str:
         "advert": lambda: rng.choice((text, f"<p>{text}</p>", f"<a href='/z'>{_words(rng, 4)}</a>")),
         "notice": lambda: rng.choice((text, f"<p>{text}</p><button>{_words(rng, 1)}</button>")),
         "form": lambda: f"<label>{_words(rng, 2)}</label><input name='q'><button>{_words(rng, 1)}</button>" + rng.choice(("", f"<p>{text}</p>")),
-        "reply": lambda: "".join(rng.choice((f"<p>{_sentences(rng)}</p>", f"<div class='comment'><b>{_words(rng, 1)}</b><p>{_sentences(rng)}</p></div>", f"<li>{_sentences(rng)}</li>")) for _ in range(rng.randint(1, 4))),
+        "reply": lambda: "".join(rng.choice((f"<p>{_sentences(rng)}</p>", f"<div{'' if untold else " class='comment'"}><b>{_words(rng, 1)}</b><p>{_sentences(rng)}</p></div>", f"<li>{_sentences(rng)}</li>")) for _ in range(rng.randint(1, 4))),
         "share": lambda: "<ul>" + links(4) + "</ul>",
     }[kind]()
     return _open(shell, 0, rng) + inner + f"</{shell[0]}>"
 
 
-def pages(n: int, seed: int = 1) -> list[str]:
-    """``n`` labelled pages."""
+def pages(n: int, seed: int = 1, untold: bool = False) -> list[str]:
+    """``n`` labelled pages; ``untold`` ones have no tag or name that says what an element holds."""
     rng = random.Random(seed)
     out = []
     for _ in range(n):
         shell = rng.choice(CONTENT)
+        if untold:
+            shell = _untold(shell, rng)
         body = [_block(rng) for _ in range(rng.randint(1, 9))]
         for kind in rng.sample(("advert", "share", "reply", "side", "form", "notice"), rng.choice((0, 0, 1, 2))):
-            body.insert(len(body) if kind == "reply" else rng.randint(0, len(body)), _around(rng, kind))
+            body.insert(len(body) if kind == "reply" else rng.randint(0, len(body)), _around(rng, kind, untold))
         content = _open(shell, 1, rng) + "".join(body) + f"</{shell[0]}>"
         if rng.random() < 0.4:
-            content = rng.choice(("<div>", "<div class='container'>", "<div id='wrapper'>", "<main>", "<div class='row'>")) + content + "</div>"
-        before = [_around(rng, k) for k in rng.sample(("head", "menu", "advert", "notice", "form"), rng.randint(0, 4))]
-        after = [_around(rng, k) for k in rng.sample(("side", "reply", "foot", "share", "advert", "notice", "menu"), rng.randint(0, 4))]
+            content = "<div>" + content + "</div>" if untold else rng.choice(("<div>", "<div class='container'>", "<div id='wrapper'>", "<main>", "<div class='row'>")) + content + "</div>"
+        before = [_around(rng, k, untold) for k in rng.sample(("head", "menu", "advert", "notice", "form"), rng.randint(0, 4))]
+        after = [_around(rng, k, untold) for k in rng.sample(("side", "reply", "foot", "share", "advert", "notice", "menu"), rng.randint(0, 4))]
         out.append("<html><body>" + "".join(before) + content + "".join(after) + "</body></html>")
     return out
