@@ -27,6 +27,7 @@ TEXTS = {
     ],
     "gpl-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU General Public License, version 2.",
         """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
         License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
         version.""",
@@ -37,6 +38,41 @@ TEXTS = {
         following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
         conditions and the following disclaimer.""",
     ],
+    "lgpl-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version.""",
+    ],
+    "lgpl-2.1": [
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+        any later version.""",
+    ],
+    "agpl-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version.""",
+    ],
+    "bsd-2-clause": ["Licensed under the BSD 2-Clause License.", "Released under the BSD 2-Clause License."],
+    "zlib": [
+        "Licensed under the zlib License.",
+        "Released under the zlib License.",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software.""",
+    ],
+    "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License, Version 1.0."],
+    "epl-2.0": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+        which is available at https://www.eclipse.org/legal/epl-2.0/.""",
+    ],
+    "cc0-1.0": ["Licensed under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0 Universal."],
+    "unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain."],
     "mpl-2.0": [
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",

@@ -3,8 +3,10 @@
 Words are runs of letters and digits, A-Z lower-cased; a number keeps its dots. A template is tried where a stretch of
 the text holds enough of its words. There, words that occur once in the stretch and once in the
 template are anchors; the longest increasing subsequence of their places is kept, and the
-gaps between kept anchors are aligned the same way, where other words are unique. The share
-of the template's words that are aligned is its coverage. Where found stretches overlap, the higher coverage
+gaps between kept anchors are aligned the same way, where other words are unique. The coverage is the
+number of aligned words over the template's words and the other words inside the aligned span, so a word put in
+the place of a licence's name counts twice against it; of the words that tell a template from one much like it, some
+must be aligned. Where found stretches overlap, the higher coverage
 stays, then the longer template.
 
 Defined results: null and empty texts hold no licence. Rows are read each for itself; ties go to the earlier
@@ -16,7 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +46,12 @@ class Template:
     name: str
     words: tuple[str, ...]
     counts: Counter
+    #: Of every licence with much the same words, those words of this one that it lacks: one of them must be aligned.
+    telling: tuple[frozenset[str], ...] = ()
+
+
+#: Share of a template's words that makes another licence's template alike.
+ALIKE = 0.6
 
 
 def templates(texts: dict[str, list[str]] = TEXTS) -> list[Template]:
@@ -52,7 +60,12 @@ def templates(texts: dict[str, list[str]] = TEXTS) -> list[Template]:
         for text in variants:
             words = tuple(_WORD.findall(lower(text)))
             out.append(Template(name, words, Counter(words)))
-    return out
+    full = []
+    for t in out:
+        near = [u for u in out if u.name != t.name and (t.counts & u.counts).total() >= ALIKE * len(t.words)]
+        telling = {frozenset(set(t.counts) - set(u.counts)) for u in near} - {frozenset()}
+        full.append(replace(t, telling=tuple(telling)))
+    return full
 
 
 def _increasing(places: list[int]) -> list[int]:
@@ -124,8 +137,13 @@ def find(words: list[str], known: list[Template], least: float = COVERAGE) -> li
             if common >= need:
                 start = places[lo]
                 pairs = align(words[start : places[hi - 1] + 1], t.words)
-                if pairs and pairs[0][1] == 0 and len(pairs) >= need:
-                    hits.append((-len(pairs) / len(t.words), -len(t.words), t.name, start, start + pairs[-1][1]))
+                # the span ends where it covers best: words aligned far behind are the text's own
+                covers = [(k + 1) / (len(t.words) + j - k) for k, (_, j) in enumerate(pairs)]
+                pairs = pairs[: 1 + max(range(len(pairs)), key=covers.__getitem__)] if pairs else pairs
+                cover = max(covers, default=0.0)
+                met = {t.words[i] for i, _ in pairs}
+                if pairs and pairs[0][1] == 0 and cover >= least and all(met & some for some in t.telling):
+                    hits.append((-cover, -len(t.words), t.name, start, start + pairs[-1][1]))
                     ahead = bisect_left(places, start + pairs[-1][1] + 1)
             for k in range(lo, ahead):
                 w = words[places[k]]
