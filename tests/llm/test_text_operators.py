@@ -39,6 +39,69 @@ def test_other_layouts():
     assert wrong <= 0.05 * runs
 
 
+def test_layouts_whose_names_tell_nothing():
+    """Stated error: 5 % of the runs of unseen layouts without a telling tag or name (here up to 7 %)."""
+    model = html.standard_model().shape
+    wrong = runs = 0
+    for page in pages(80, seed=8, untold=True):
+        tree = html.parse(page, marks=True)
+        assert not html.standard_model().tells(tree)
+        unary = [sum(model.unary.get(f, 0.0) for f in row) for row in html.observe(tree, shape=True)]
+        own, _ = html.marginals(tree.parent, unary, model.edge)
+        for text, p, state in zip(tree.text, own, html.truth(tree)):
+            if text is not None:
+                runs += 1
+                wrong += (p >= 0.5) != bool(state)
+    assert wrong <= 0.07 * runs
+    plain = "<div class=lmn><a href=a>One</a> <a href=b>Two</a></div><div class=opq><p>" + "An ordinary page with one paragraph of some words. " * 3 + "</p></div><div class=rst>By us</div>"
+    assert html.main_text(plain, html.standard_model()) == ("An ordinary page with one paragraph of some words. " * 3).strip()
+
+
+TAGS = (
+    "a abbr address area article aside audio b base bdi bdo blockquote body br button canvas caption center cite code col colgroup data datalist dd del "
+    "details dfn dialog div dl dt em embed fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html i iframe img input "
+    "ins kbd label legend li link main map mark math menu meta meter nav noscript object ol optgroup option output p param picture pre progress q rp rt ruby "
+    "s samp section select slot small source span strong sub summary sup svg table tbody td template textarea tfoot th thead time title tr track u ul var video wbr"
+).split()
+
+
+def runs(page):
+    return [t for t in html.parse(page).text if t is not None]
+
+
+@pytest.mark.parametrize("tag", TAGS)
+def test_no_tag_swallows_the_page(tag):
+    """Unclosed, self-closed, closed twice and with quotes, any element leaves the blocks behind it alone."""
+    behind = "<p>Second one here.</p><div>It's the third.</div>"
+    for opening in (f"<{tag}>", f"<{tag} class=i/>", f"<{tag} title=it's>", f"<{tag}\n x = \"a>b\" y='c>d'>", f"</{tag}>", f"</{tag}></{tag}>"):
+        got = runs(f"<article><p>First.</p>{opening}{behind}</article>")
+        assert got[0] == "First." and got[-2:] == ["Second one here.", "It's the third."], opening
+    inner = "" if tag in html.RAW else "word"
+    together = " ".join(runs(f"<article><p>One <{tag}>word</{tag}> two.</p><p>End.</p></article>"))
+    assert together.split() == [w for w in ("One", inner if tag not in html.VOID else "word", "two.", "End.") if w]
+
+
+def test_scripts_and_quotes():
+    assert runs("<p>a<script>if (x < y) { '<p>no</p>' }</script>b<style>p>q{}</style>c") == ["a b c"]
+    assert runs("<p>a<script/>b</p><p>c<script>never closed <p>no") == ["a b", "c"]
+    assert runs("<p title=\"a > b\">x</p><a href=q?a=b'c>y</a> z<p title='open>w</p>") == ["x", "y z", "w"]
+    assert runs("<title>one</title>two<textarea>three</textarea><p>four<iframe>five<p>six") == ["two", "four", "six"]
+    assert runs("<h1>a</h3>b<p>c</p></div></p>d") == ["a", "b", "c", "d"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "</p>" * 50_000, "<blockquote>" * 30_000 + "<td>" * 20_000, "<iframe>" * 50_000 + "<p>", "<p title='" * 50_000, "<li><option><p>" * 20_000])
+def test_deep_and_repeated_markup_takes_linear_time(page):
+    import time
+
+    def took(n):
+        start = time.process_time()
+        html.main_text(page[: len(page) // n] + "words here.", html.standard_model())
+        return time.process_time() - start
+
+    took(8)
+    assert took(1) <= 20 * took(4) + 2
+
+
 def test_messages_equal_enumeration():
     rng = np.random.default_rng(3)
     parent = [-1, 0, 0, 1, 1, 2, 5]
@@ -74,6 +137,33 @@ def test_odd_pages(spark):
 # ---- licences
 
 
+@pytest.mark.parametrize("line,name", [
+    ("Licensed under the GNU Lesser General Public License, version 3.", "lgpl-3.0"), ("Licensed under the GNU Affero General Public License, version 3", "agpl-3.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"), ("Licensed under the GNU General Public License, version 2", "gpl-2.0"), ("Licensed under the GNU General Public License, version 4", ""),
+    ("Licensed under the BSD 2-Clause License.", "bsd-2-clause"), ("Licensed under the BSD 3-Clause License.", "bsd"), ("Licensed under the BSD License.", ""),
+    ("Licensed under the Apache License", ""), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("Released under the zlib License.", "zlib"),
+    ("Released under the Beer License.", ""), ("Released under the MIT License.", "mit"), ("Distributed under the Boost Software License, Version 1.0", "bsl-1.0"),
+    ("Licensed under the Eclipse Public License, version 2.0.", "epl-2.0"), ("Released under the Unlicense.", "unlicense"), ("Licensed under CC0 1.0.", "cc0-1.0"),
+])
+def test_licences_are_told_apart(line, name):
+    words = [w for w in re.findall(r"[^\W_]+(?:\.[0-9]+)*", f"some words before it {line} and some after it".lower())]
+    assert ",".join(f[0] for f in licenses.find(words, licenses.templates())) == name
+
+
+def test_whole_texts_with_losses_and_insertions():
+    known = licenses.templates()
+    rng = np.random.default_rng(9)
+    for t in known:
+        if len(t.words) < 25:
+            continue
+        # what tells it from its like stays
+        worn = [w for w in t.words if rng.random() > 0.05 or any(w in some for some in t.telling)]
+        for at in sorted(rng.integers(1, len(worn), len(worn) // 25), reverse=True):
+            worn.insert(int(at), "inserted")
+        found = licenses.find(["before"] * 5 + worn + ["after"] * 5, known)
+        assert [f[0] for f in found] == [t.name], t.name
+
+
 def test_licence_lines(documents):
     lines = {
         "apache-2.0": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.",

@@ -44,7 +44,8 @@ TRIM = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    """Rows never learned from; a null id is not among them (and is not learned from either)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 class Buckets(dict):
