@@ -59,7 +59,7 @@ def later_lines(docs):
     posted = {}
     for i, text in sorted(docs):
         for p, line in enumerate((text or "").split("\n")):
-            if len(words(line)) < 5:
+            if not words(line):
                 continue
             s = shingles(line)
             near = {k for g in s for k in posted.get(g, ())}

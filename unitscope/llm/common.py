@@ -134,9 +134,9 @@ def shingle_sets(
     """Distinct shingles of every part: ``(shingles, sizes)``, ascending inside a part.
 
     Shingles are ``HASH_BITS`` bits of a hash. A part with fewer words than ``width`` has one shingle, its
-    whole sequence of words; without words it has none. ``level`` (a power of two of 6-bit
-    numbers, picked by the top bits of the 64-bit hash) becomes the top 6 bits, so that shingles
-    of a low level come first.
+    whole sequence of words; without words it has none. With ``level`` (a power of two of 6-bit
+    numbers) a shingle is the low ``HASH_BITS - 6`` bits of its hash; the level that the highest of these
+    pick becomes its top 6 bits, so that shingles of a low level come first.
     """
     if len(counts) > PARTS:
         made, at = [], 0
@@ -169,8 +169,9 @@ def shingle_sets(
     if level is None:
         values >>= np.uint64(64 - HASH_BITS)
     else:
-        top = level[(values >> np.uint64(65 - len(level).bit_length())).astype(np.int64)]
-        values = top << np.uint64(HASH_BITS - 6) | values & np.uint64((1 << (HASH_BITS - 6)) - 1)
+        values &= np.uint64((1 << (HASH_BITS - 6)) - 1)
+        top = level[(values >> np.uint64(HASH_BITS - 5 - len(level).bit_length())).astype(np.int64)]
+        values = top << np.uint64(HASH_BITS - 6) | values
     keys = np.sort(owner << np.uint64(HASH_BITS) | values)
     if len(keys):
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
@@ -250,3 +251,10 @@ def append(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, Any]], adde
 def quoted(name: str) -> Column:
     """A column by its literal name, dots and back-ticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def aside(df: DataFrame, used: set[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with every column but the ``used`` ones under a name that means nothing, and the
+    columns that give back the names and the order of ``df``."""
+    names = [c.lower() if c.lower() in used else f"_u{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, df.columns)]
