@@ -14,18 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from unitscope.llm.common import quoted, small_batches, table  # noqa: E402
+from unitscope.llm.common import small_batches, table  # noqa: E402
 from unitscope.llm.lines import drop_repeated_lines  # noqa: E402
 from unitscope.llm.mixing import mix_corpus  # noqa: E402
 from unitscope.llm.near_dup import drop_near_duplicates  # noqa: E402
 from unitscope.llm.packing import pack  # noqa: E402
-from unitscope.llm.quality import fit, judge  # noqa: E402
+from unitscope.llm.quality import fit, keep_good  # noqa: E402
 from unitscope.session import scratch  # noqa: E402
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).where("kept").select([quoted(c) for c in docs.columns])
+    return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,6 @@ def odd(spark):
         (None, None, None, None),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
-    for name in ("kept", "size", "n_words", "target", "token", "id", "n", "key", "component_id", "a.b"):
+    for name in ("kept", "size", "n_words", "target", "token", "id", "n", "key", "component_id", "a.b", "spans", "rejected_by", "n_lines", "epochs", "_k", "_s", "_key", "_gone", "_d"):
         docs = docs.withColumn(name, docs["source"])
     return docs

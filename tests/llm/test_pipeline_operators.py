@@ -1,13 +1,15 @@
 """Near-duplicates, lines, mixing, quality rules and packing against plain versions."""
 
+import uuid
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
-from unitscope.llm import lines, mixing, near_dup, packing, quality
+from unitscope.llm import lines, mixing, near_dup, packing, private, quality
 
 
 def pairs(documents):
@@ -66,27 +68,13 @@ def test_lines_of_a_large_group(spark):
     assert {(r["doc_id"], r["pos"]) for r in lines.later_lines(frame).collect()} == brute.later_lines(docs)
 
 
-def later_short_lines(docs):
-    """{(id, position)} of the lines of 1 to 4 words that repeat an earlier one."""
-    seen, gone = set(), set()
-    for i, text in sorted(docs):
-        for p, line in enumerate((text or "").split("\n")):
-            key = tuple(brute.words(brute.lower(line)))
-            if 0 < len(key) < 5:
-                if key in seen:
-                    gone.add((i, p))
-                seen.add(key)
-    return gone
-
-
-def test_short_lines(documents, spark):
+def test_short_lines(spark):
     rows = [(1, "All rights reserved.\na\n\none two three four five"), (2, "a b\nALL  rights reserved.\n \nA\none two three four"), (3, "a b\nab\n\nall rights")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["left_text"] for r in lines.dedup_lines(frame).collect()} == {
         1: rows[0][1], 2: "a b\n \none two three four", 3: "ab\n\nall rights"
     }
-    want = brute.later_lines(pairs(documents)) | later_short_lines(pairs(documents))
-    assert {(r["doc_id"], r["pos"]) for r in lines.later_lines(documents, 1).collect()} == want
+    assert {(r["doc_id"], r["pos"]) for r in lines.later_lines(frame).collect()} == brute.later_lines(rows)
 
 
 def test_lines_of_odd_rows(odd):
@@ -150,6 +138,46 @@ def test_mixed_texts(documents):
     assert dict(told) == want
 
 
+def test_columns_of_any_name_stay(odd, spark):
+    named = odd.select(*odd.columns[:4], *[F.concat(F.lit(c + " "), F.col("doc_id").cast("string")).alias(c) for c in odd.columns[4:] if c != "a.b"])
+    own = named.columns[4:]
+    texts = {"text", "n_chars"}
+    before = {r["doc_id"]: [r[c] for c in own] for r in named.collect()}
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), i.cast("string"))))
+    stages = [
+        quality.keep_good(named.withColumn("text", words), quality.fit(named, none)),
+        lines.drop_repeated_lines(named),
+        near_dup.drop_near_duplicates(named),
+        mixing.mix_corpus(named),
+    ]
+    for out in stages:
+        rows = out.collect()
+        assert out.columns == named.columns and rows
+        assert all([r[c] for c in own] == before[r["doc_id"]] for r in rows)
+    for out in (lines.dedup_lines(named), mixing.mixed(named)):
+        same = [c for c in own if c not in {"size", "target", "epochs", "n_lines"}]
+        assert all(r[c] == before[r["doc_id"]][own.index(c)] for r in out.collect() for c in same)
+    clean = private.sanitise(named)
+    assert clean.columns == [*named.columns, "clean"] and clean.count() == named.count()
+    assert all([r[c] for c in own] == before[r["doc_id"]] for r in clean.collect()) and texts <= set(clean.columns)
+
+
+def test_chained_stages_on_odd_and_empty_tables(odd, spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = F.when(F.col("doc_id") == 9, F.col("text")).otherwise(F.concat_ws("\n", F.col("text"), F.expr("array_join(transform(sequence(1, 60), i -> concat('w', i * (1 + doc_id))), ' ')")))
+    for docs in (odd.withColumn("text", long), odd.limit(0)):
+        columns = docs.columns
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = f"{tmp_path}/{name}-{uuid.uuid4().hex}"
+            stage(spark, docs, str(tmp_path)).write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert docs.columns == columns or i == 4
+        docs.count()
+
+
 def test_packing(documents, odd):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -8,7 +8,8 @@ the document at the cut gives only the words before it.
 
 Defined results: a null or empty text has size 0 and takes nothing. Null is a source of its own,
 last in order. Rows that are equal in id and text are separate documents, cut in any
-order. Sources without a word have target 0. An empty table gives no rows.
+order. Sources without a word have target 0. An empty table gives no rows. In the mix other columns stay as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from unitscope.llm.common import WORD, cut, quoted, table
+from unitscope.llm.common import WORD, aside, cut, quoted, table
 from unitscope.llm.registry import query
 
 WEIGHTS = (5, 2, 1)
 #: All targets together and each source's largest target, in sizes.
 SHARE, MOST = 1.5, 2.0
 RANGES = 4096
+USED = {"doc_id", "source", "text"}
 
 
 def sizes(text: Column) -> Column:
@@ -62,10 +64,10 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``epochs`` (whole ones) and ``rest``:
     the words of one more reading, and ``taken = epochs * size + rest``."""
-    new = {"size", "source_size", "target", "epochs", "rest", "taken"}
-    kept = docs.select([quoted(c) for c in docs.columns if c.lower() not in new])
-    rows = kept.withColumn("size", sizes(F.col("text")))
-    return place(rows, [c for c in kept.columns])
+    new = ["size", "source_size", "target", "epochs", "rest", "taken"]
+    rows, back = aside(docs, USED)
+    kept = [column for column, name in zip(back, docs.columns) if name.lower() not in new]
+    return place(rows.withColumn("size", sizes(F.col("text"))), rows.columns).select(*kept, *new)
 
 
 def place(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -98,7 +100,8 @@ def text_or_id(rows: DataFrame) -> Column:
 
 def mix_corpus(docs: DataFrame) -> DataFrame:
     """The documents of the mix: a row for each reading, the last one cut to its words."""
-    out = mixed(docs)
+    rows, back = aside(docs, USED | {"n_chars"})
+    out = place(rows.withColumn("size", sizes(F.col("text"))), rows.columns)
     whole = F.col("rest") == F.col("size")
     # the text up to the end of word number ``rest``; possessive, so long texts need no stack
     head = F.concat(F.lit(r"^((?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("rest").cast("string"), F.lit("}+)"))
@@ -106,7 +109,7 @@ def mix_corpus(docs: DataFrame) -> DataFrame:
     reading = F.transform(F.sequence(F.lit(1), F.col("epochs") + F.when(F.col("rest") > 0, 1).otherwise(0)), lambda i: F.when(i <= F.col("epochs"), F.col("text")).otherwise(part))
     some = out.where(F.col("taken") > 0).withColumn("_head", head).withColumn("_read", F.explode(reading))
     made = {"text": F.col("_read"), "n_chars": F.length("_read").cast("long")}
-    return some.select([made[c].alias(c) if c in made else quoted(c) for c in docs.columns])
+    return some.select([made[c.lower()].alias(c) if c.lower() in made else column for column, c in zip(back, docs.columns)])
 
 
 @query("op5_mixing", None)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from unitscope.llm.common import cut, small_side, table
+from unitscope.llm.common import aside, cut, small_side, table
 from unitscope.llm.registry import query
 
 # What a span of each kind looks like. A match starts where a run of its first
@@ -200,8 +200,9 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``clean``: entities generalised to their kind, revealing terms removed."""
-    told = find(docs).groupBy("doc_id", "_k").agg(F.first("spans").alias("spans")).withColumnRenamed("doc_id", "_d").withColumnRenamed("_k", "_h")
+    """``docs`` with ``clean``: entities generalised to their kind, revealing terms removed. Other columns stay as they are."""
+    docs, back = aside(docs, {"doc_id", "text"})
+    told = find(docs.select("doc_id", "text")).groupBy("doc_id", "_k").agg(F.first("spans").alias("spans")).withColumnRenamed("doc_id", "_d").withColumnRenamed("_k", "_h")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]], F.lit(""))
     rows = docs.join(told, docs["doc_id"].eqNullSafe(told["_d"]) & (F.xxhash64(docs["text"]) == told["_h"]))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
@@ -213,7 +214,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("_x", done)
     clean = F.when(F.col("text").isNotNull(), F.concat("_x.out", F.expr("substring(text, _x.at + 1)")))
-    return rows.withColumn("clean", clean).drop("_d", "_h", "_x", "spans")
+    return rows.withColumn("clean", clean).select(*back, "clean")
 
 
 def joined(spans: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitscope.llm.common import append, byte_texts, table
+from unitscope.llm.common import append, aside, byte_texts, table
 from unitscope.llm.registry import query
 
 #: Labelled rows that ``fit`` looks at: those with the smallest digest of their id.
@@ -234,6 +234,12 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
+def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``docs`` without the rejected ones; all columns stay as they are, whatever their names."""
+    rows, back = aside(docs, {"doc_id", "text"})
+    return judge(rows, rules).where("kept").select(back)
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
