@@ -224,3 +224,58 @@ def test_argmax_and_mode_ties(spark):
     assert {(r.img, r.predicted) for r in reduce.argmax_class(scores).collect()} == {(0, 1), (1, 3)}
     seen = spark.createDataFrame([("g", "b", 0), ("g", "a", 1), ("g", "a", 2), ("g", "b", 3)], "g string, c string, p int")
     assert reduce.mode_earliest(seen, ["g"], "c", "p").first()["mode"] == "b"
+
+
+def _product_of(a, b):
+    """The product as SQL sees it: null inner ids meet nothing, null values add nothing, null outer ids are an id."""
+    out = {}
+    for i, k, x in a:
+        for m, j, y in b:
+            if k is not None and k == m:
+                out.setdefault((i, j), []).append(None if x is None or y is None else x * y)
+    return {at: sum(known) if (known := [v for v in found if v is not None]) else None for at, found in out.items()}
+
+
+@pytest.mark.parametrize("cells,rows,keys", [(10**6, 10**6, 10**6), (12, 3, 80), (7, 1, 30)])
+def test_striped_product(spark, monkeypatch, cells, rows, keys):
+    """Stripes of the result, some with dealt inner indices, give what the join gives."""
+    rng = np.random.default_rng(4)
+
+    def maybe(x, odds=12):
+        return None if rng.integers(odds) == 0 else x
+
+    a = [(maybe(int(i) * 10), maybe(int(k)), maybe(float(v))) for i, k, v in rng.integers(-3, 9, (150, 3))]
+    b = [(maybe(int(k)), maybe(int(j) * 7), maybe(float(v))) for k, j, v in rng.integers(-3, 9, (90, 3))]
+    a += [(500 + i, 3, 1.0) for i in range(keys if keys < 100 else 50)] + [(900, None, 1.0), (901, 77, 1.0), (902, 4, None)]
+    left = spark.createDataFrame([(-1, -1, i, k, v) for i, k, v in a], schema.MATRIX)
+    right = spark.createDataFrame([(-1, -1, k, j, v) for k, j, v in b], schema.MATRIX)
+    for name, value in {"JOINED_PAIRS": 0, "STRIPE_CELLS": keys, "STRIPE_PAIRS": 2000, "OPEN_CELLS": cells}.items():
+        monkeypatch.setattr(algebra, name, value)
+    want = _product_of(a, b)
+    for product in (algebra._striped(algebra._cells(left.withColumnRenamed("id_4", "_k").where("_k is not null"), "id_3", "value"),
+                                     algebra._cells(right.withColumnRenamed("id_3", "_k").where("_k is not null"), "id_4", "value"), 3000.0, rows),
+                    algebra.multiply_tiled(left, right, rows)):
+        found = [(r["id_3"], r["id_4"], r["value"]) for r in product.select("id_3", "id_4", "value").collect()]
+        assert len(found) == len(want) and {(i, j): v for i, j, v in found} == want
+
+
+def test_product_of_many_pairs_shuffles_no_sums(spark, monkeypatch):
+    """Pairs beyond the limit are added up where the operands meet: no shuffle follows the products."""
+    cells = [(-1, -1, i, k, float(i + k)) for i in range(40) for k in range(3)]
+    left = spark.createDataFrame(cells, schema.MATRIX)
+    right = left.select("id_1", "id_2", F.col("id_4").alias("id_3"), F.col("id_3").alias("id_4"), "value")
+    monkeypatch.setattr(algebra, "JOINED_PAIRS", 100)
+    want = _product_of([c[2:] for c in cells], [(k, i, v) for _, _, i, k, v in cells])
+    for product in (algebra.multiply_2d(left, right), algebra.multiply_tiled(left, right, 8)):
+        assert {(r["id_3"], r["id_4"]): r["value"] for r in product.collect()} == want
+        plan = product._jdf.queryExecution().toString()
+        after = plan[: plan.index("MapInArrow")]
+        assert "Exchange" not in after.split("== Physical Plan ==")[-1]
+
+
+def test_products_keep_infinities_apart(spark, monkeypatch):
+    monkeypatch.setattr(algebra, "JOINED_PAIRS", 0)
+    left = spark.createDataFrame([(-1, -1, 0, 0, float("inf")), (-1, -1, 1, 0, 1.0), (-1, -1, 1, 1, 2.0)], schema.MATRIX)
+    right = spark.createDataFrame([(-1, -1, 0, 0, 1.0), (-1, -1, 1, 1, 3.0)], schema.MATRIX)
+    found = {(r["id_3"], r["id_4"]): r["value"] for r in algebra.multiply_tiled(left, right).collect()}
+    assert found == {(0, 0): float("inf"), (1, 0): 1.0, (1, 1): 6.0}
