@@ -145,3 +145,41 @@ def test_hubs_are_not_expanded(spark):
         got = [tuple(r) for r in graph.cliques(edges, k).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert graph.cliques(star.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("held,listed", [(10**6, 10**6), (9, 12)])
+def test_triangles_in_stripes_shuffle_no_pairs(spark, monkeypatch, held, listed):
+    """Stripes of edges and groups of lists find every triangle once; no join forms pairs."""
+    rng = np.random.default_rng(8)
+    pairs = sorted({(a, b) for a, b in combinations(range(0, 180, 10), 2) if rng.random() < 0.4} | {(0, b) for b in range(10, 180, 10)})
+    monkeypatch.setattr(graph, "HELD_EDGES", held)
+    monkeypatch.setattr(graph, "LISTED_NODES", listed)
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, weight long")
+    found = graph.cliques(edges, 3)
+    nodes = sorted({n for e in pairs for n in e})
+    assert sorted(map(tuple, found.collect())) == [t for t in combinations(nodes, 3) if all(p in set(pairs) for p in combinations(t, 2))]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wide_edges_group_a_bounded_number_of_rows(spark, monkeypatch):
+    """Partitions follow from units and pairs; null items and units have no edges."""
+    monkeypatch.setattr(graph, "TASK_ROWS", 20)
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(i), int(u) * 1000) for i, u in zip(rng.integers(0, 30, 200), rng.integers(0, 25, 200))})
+    df = spark.createDataFrame([*rows, (None, 5), (None, 6), (3, None), (4, None)], "_i long, _u long")
+    edges = graph._wide_edges(df)
+    want = _coactive(rows)
+    assert _edge_dict(edges) == want
+    assert edges.rdd.getNumPartitions() >= sum(want.values()) // 20
+
+
+def test_nations_are_whole_communities(spark, tmp_path):
+    """Twelve linked suppliers are one community, not runs of eight."""
+    from checks import QUERIES, SQL, load_all
+
+    load_all()
+    rows = [(i, 1 if i < 12 else 2) for i in range(15)] + [(99, 3)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = {(r.unit, r.community) for r in QUERIES["k6_communities_of_nations"](spark, str(tmp_path)).collect()}
+    assert found == {(i, 0) for i in range(12)} | {(i, 12) for i in range(12, 15)}
+    assert "// 8" not in SQL["k6_communities_of_nations"]
