@@ -76,6 +76,23 @@ def test_cubic_spline_reproduces_cubics(spark):
         resample.cubic_weights(spark, [0, 1, 2], 3)
 
 
+def test_resampling_groups_no_pixels(spark):
+    """Equal places add up, maps without a number stay null, what no cell reaches has no row; nothing is grouped."""
+    rows = [(0, 0, 0, 0, 1.0), (0, 0, 0, 0, 2.0), (0, 0, 0, 1, None), (0, 0, 5, 0, 7.0), (None, 0, 0, 1, 4.0), (2, 1, 0, 0, None)]
+    rows += [(i, 0, 0, x, float(i + x)) for i in range(10, 30) for x in range(2)]
+    cells = spark.createDataFrame(rows, "img int, unit int, y int, x int, v double").repartition(7)
+    both = resample._table(spark, [(0, 0, 1.0), (1, 0, 0.5), (2, 1, 1.0)])
+    got = resample.resample(cells, both, resample._table(spark, [(0, 0, 1.0), (1, 0, 0.5), (1, 1, 0.5)]))
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.schema == spark.createDataFrame([], "img int, unit int, py int, px int, v double").schema
+    out = {tuple(r)[:4]: r.v for r in got.collect()}
+    want = {(0, 0, 0, 0): 3.0, (0, 0, 0, 1): 1.5, (0, 0, 1, 0): 1.5, (0, 0, 1, 1): 0.75, (None, 0, 0, 1): 2.0, (None, 0, 1, 1): 1.0}
+    want |= {(2, 1, y, x): None for y in range(2) for x in range(2)}
+    for i in range(10, 30):
+        want |= {(i, 0, y, x): (i + x / 2) / (y + 1) for y in range(2) for x in range(2)}
+    assert out == want
+
+
 def test_gaussian_spreads_the_mass(spark):
     field = resample.FieldMap((0, 0), (9, 9), (9, 9))
     m = np.zeros((7, 7))

@@ -127,25 +127,56 @@ def gaussian_weights(
     return _table(spark, rows)
 
 
+#: Output pixels made in one go by a task that resamples cells (8 MB of doubles).
+_PIXELS = 1 << 20
+
+
+def _entries(weights: DataFrame) -> list[tuple[int, int, float]]:
+    """The rows of a weight table, which is as large as a grid side, in a fixed order."""
+    rows = weights.where("o is not null and i is not null and w is not null").select("o", "i", "w")
+    return sorted((int(r["o"]), int(r["i"]), float(r["w"])) for r in rows.collect())
+
+
+def gather_maps(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """Maps ``(img, unit, values array<double>, held array<boolean>)``, row-major, of cells ``(img, unit, y, x, v)``.
+
+    ``held`` tells which places have a cell; values of equal places are added, a place without a number is
+    null. Cells beyond the grid are left out, and maps that have no others. The cells are shuffled and sorted
+    by map once; a task then holds the maps of one Arrow batch, however many maps there are.
+    """
+    kind = T.StructType([
+        cells.schema["img"], cells.schema["unit"],
+        T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("held", T.ArrayType(T.BooleanType())),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return maps.gather(batches, height, width)
+
+    place = [F.col(c).cast("long").alias(c) for c in ("y", "x")]
+    inside = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
+    wanted = cells.select("img", "unit", *place, F.col("v").cast("double").alias("v")).where(inside)
+    return spread(wanted, "img", "unit").sortWithinPartitions("img", "unit").mapInArrow(run, kind)
+
+
+def _gathered(cells: DataFrame, wy: list, wx: list) -> DataFrame:
+    return gather_maps(cells, *[max((i for _, i, _ in w), default=-1) + 1 for w in (wy, wx)])
+
+
 def resample(cells: DataFrame, weights_y: DataFrame, weights_x: DataFrame) -> DataFrame:
     """``(img, unit, py, px, v)`` from ``(img, unit, y, x, v)``.
 
-    The small input cells are shuffled by map once; both sums then run where the map is,
-    so the much larger output never moves.
+    The small input cells are shuffled by map once; both sums then run over the whole maps of
+    an Arrow batch, so the much larger output is never moved, grouped or held.
     """
-    wy = weights_y.select(F.col("o").alias("py"), F.col("i").alias("y"), F.col("w").alias("wy"))
-    wx = weights_x.select(F.col("o").alias("px"), F.col("i").alias("x"), F.col("w").alias("wx"))
-    rows = (
-        spread(cells.select("img", "unit", "y", "x", "v"), "img", "unit")
-        .join(wy, "y")
-        .groupBy("img", "unit", "py", "x")
-        .agg(F.sum(F.col("v") * F.col("wy")).alias("v"))
-    )
-    return (
-        rows.join(wx, "x")
-        .groupBy("img", "unit", "py", "px")
-        .agg(F.sum(F.col("v") * F.col("wx")).alias("v"))
-    )
+    wy, wx = _entries(weights_y), _entries(weights_x)
+    gathered = _gathered(cells, wy, wx)
+    new = [T.StructField("py", T.IntegerType()), T.StructField("px", T.IntegerType()), T.StructField("v", T.DoubleType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from maps.weighted_rows(batch, wy, wx, _PIXELS)
+
+    return gathered.mapInArrow(run, T.StructType([*gathered.schema.fields[:2], *new]))
 
 
 def upsample_linear(cells, shape_in, fieldmap: FieldMap, reduction=1, shape=None, scaleshape=None):
