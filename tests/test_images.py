@@ -93,6 +93,25 @@ def test_resampling_groups_no_pixels(spark):
     assert out == want
 
 
+def test_percentile_masks_join_no_pixels(spark, maps):
+    """Pixels beyond every kernel count as 0; the limit is the percentile of all pixels of all maps."""
+    field = resample.FieldMap((0, 0), (6, 6), (6, 6))
+    mask = resample.blur_masks(_cells(spark, maps), (4, 5), field, (24, 30), percentile=90)
+    assert "Join [img" not in mask._jdf.queryExecution().executedPlan().toString()
+    kernel = np.exp(-0.5 * (np.arange(-2, 3) / 0.6) ** 2)
+    kernel /= kernel.sum()
+    whole = {}
+    for key, m in maps.items():
+        whole[key] = np.zeros((24, 30))
+        for y, x in np.ndindex(m.shape):
+            whole[key][1 + 6 * y : 6 + 6 * y, 1 + 6 * x : 6 + 6 * x] += m[y, x] * np.outer(kernel, kernel)
+    limit = np.percentile(np.stack(list(whole.values())), 90)
+    got = _dense(mask, 24, 30)
+    for key, v in whole.items():
+        assert np.array_equal(~np.isnan(got[key]), v > limit)
+        assert np.allclose(got[key][v > limit], v[v > limit], atol=1e-12)
+
+
 def test_gaussian_spreads_the_mass(spark):
     field = resample.FieldMap((0, 0), (9, 9), (9, 9))
     m = np.zeros((7, 7))

@@ -179,6 +179,17 @@ def resample(cells: DataFrame, weights_y: DataFrame, weights_x: DataFrame) -> Da
     return gathered.mapInArrow(run, T.StructType([*gathered.schema.fields[:2], *new]))
 
 
+def _weighted_maps(gathered: DataFrame, wy: list, wx: list, shape) -> DataFrame:
+    """Resampled maps ``(img, unit, w, values)``; pixels without a number are null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from maps.weighted_maps(batch, wy, wx, _PIXELS, tuple(shape))
+
+    kind = [*gathered.schema.fields[:2], T.StructField("w", T.IntegerType()), T.StructField("values", T.ArrayType(T.DoubleType()))]
+    return gathered.mapInArrow(run, T.StructType(kind))
+
+
 def upsample_linear(cells, shape_in, fieldmap: FieldMap, reduction=1, shape=None, scaleshape=None):
     """Bilinear interpolation between the unit centres of a field map."""
     spark = cells.sparkSession
@@ -236,26 +247,21 @@ def blur_masks(
         )
         for a in (0, 1)
     ]
-    reached = cut(resample(cells, *tables))
+    wy, wx = map(_entries, tables)
+    # the maps as they come are kept, their many pixels are made where they are counted
+    kept = cut(_gathered(cells, wy, wx))
+    blurred = _weighted_maps(kept, wy, wx, image_shape)
     if percentile is None:
-        limit = reached.agg(F.max("v") * threshold).scalar()
-        return reached.where(F.col("v") > limit)
-    full = _with_unreached(reached, image_shape)
-    limit = percentiles(full.withColumn("_all", F.lit(1)), ["_all"], "v", [percentile / 100])
-    return full.where(F.col("v") > limit.select("quantile").scalar())
-
-
-def _with_unreached(reached: DataFrame, image_shape) -> DataFrame:
-    """Pixels beyond the reach of every kernel hold 0."""
-    rows, cols = image_shape
-    grid = (
-        reached.select("img", "unit")
-        .distinct()
-        .withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-        .withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    )
-    keys = ["img", "unit", "py", "px"]
-    return grid.join(reached, keys, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+        limit = blurred.select(F.explode("values").alias("v")).agg(F.max("v") * threshold).scalar()
+    else:
+        # pixels beyond the reach of every kernel hold 0, and so do maps without a number of their own
+        named = F.col("img").isNotNull() & F.col("unit").isNotNull()
+        zero = F.transform("values", lambda v: F.coalesce(F.when(named, v), F.lit(0.0)))
+        blurred = blurred.withColumn("values", zero)
+        found = percentiles(blurred.select(F.lit(1).alias("_all"), F.explode("values").alias("v")), ["_all"], "v", [percentile / 100])
+        limit = found.select("quantile").scalar()
+    rows = blocks_to_cells(blurred).select("img", "unit", F.col("y").alias("py"), F.col("x").alias("px"), "v")
+    return rows.where(F.col("v") > limit)
 
 
 def pixel_rows(
