@@ -149,6 +149,34 @@ def test_extraction_goes_on_where_it_broke(spark):
     assert store.compute_in_ranges(fewer, compute(1000), path, size=10).count() == 99 and seen.value == 109
 
 
+def test_images_are_fetched_once(spark):
+    """Several jobs take what was fetched for all missing ranges; a second run fetches what it lacks."""
+    path, seen = scratch(spark, "fetched-once"), spark.sparkContext.accumulator(0)
+    images = spark.createDataFrame([(i, f"p{i}") for i in range(100)], "img long, image string")
+
+    def fetch(part):
+        def add(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch.assign(values=[[float(i)] * 4 for i in batch["img"]])[["img", "values"]]
+
+        # as files are: all are opened, then those wanted are kept
+        return part.select("img").join(images.mapInPandas(add, "img long, values array<double>"), "img")
+
+    def compute(found):
+        return extract_features(found, halves_of_four(), (1, 2, 2))
+
+    store.compute_in_ranges(images.where("img < 30"), compute, path, size=10, jobs=3, fetch=fetch)
+    assert seen.value == 100
+    whole = store.compute_in_ranges(images, compute, path, size=10, jobs=4, fetch=fetch)
+    assert seen.value == 200
+    assert sorted((r["img"], r["max_v"]) for r in whole.collect()) == [(i, float(i)) for i in range(100)]
+
+
+def halves_of_four():
+    return lambda batch: {"max": batch.max(axis=(2, 3))}
+
+
 def test_no_images(spark):
     none = spark.createDataFrame([], "img long, values array<double>")
     assert store.compute_in_ranges(none, lambda part: extract_features(part, halves(), (1, 2, 2)), scratch(spark, "none")).count() == 0

@@ -36,18 +36,20 @@ def file_features(
 ) -> tuple[DataFrame, DataFrame]:
     """Features of the image files that ``images`` (``img, image``) names below ``folder``, and the files not to be read.
 
-    Files are decoded, resized, normalised and given to the model in one pass for the ranges
-    of images that ``path`` does not hold yet.
+    Files are decoded once, whatever the number of jobs, then resized, normalised and given to the model
+    in one pass for the ranges of images that ``path`` does not hold yet.
     """
     stored = files.read_images(spark, folder, names)
 
-    def compute(part: DataFrame) -> DataFrame:
-        found = part.select("img", F.col("image").alias("file")).join(stored, "file")
+    def fetch(part: DataFrame) -> DataFrame:
+        return part.select("img", F.col("image").alias("file")).join(stored, "file")
+
+    def compute(found: DataFrame) -> DataFrame:
         return extract_features(files.input_arrays(found, *side, key="img"), model, (3, *side))
 
     listed = images.select(F.col("img").cast("long").alias("img"), "image")
     lost = listed.join(stored.where(F.col("height") >= 0), F.col("image") == F.col("file"), "left_anti")
-    return store.compute_in_ranges(listed, compute, path, size, jobs), lost
+    return store.compute_in_ranges(listed, compute, path, size, jobs, fetch), lost
 
 
 def analyse(

@@ -72,50 +72,74 @@ def label_pixels(images: DataFrame) -> DataFrame:
     return image_pixels(images).select("file", "y", "x", label.alias("label"))
 
 
-def label_maps(images: DataFrame) -> DataFrame:
-    """Whole label maps ``(file, height, width, labels array<int>)``, row-major, packed where they are decoded."""
+#: Numbers of decoded images that leave a task together (8 MB of doubles), or one image.
+_NUMBERS = 1 << 20
 
-    def decode(batch: pa.RecordBatch) -> list[np.ndarray]:
-        out = []
-        for raw, h, w, n in zip(*(batch.column(c).to_pylist() for c in ("data", "height", "width", "n_channels"))):
-            bgr = np.frombuffer(raw, dtype=np.uint8).reshape(h * w, n).astype(np.int32)
-            out.append(bgr[:, min(2, n - 1)] + 256 * bgr[:, min(1, n - 1)])
-        return out
+
+def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to ``_NUMBERS`` at most, or single rows."""
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if i > lo and total + n > _NUMBERS:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if sizes:
+        yield lo, len(sizes)
+
+
+def label_maps(images: DataFrame, every: bool = False) -> DataFrame:
+    """Whole label maps ``(file, height, width, labels array<int>)``, row-major, packed where they are decoded.
+
+    With ``every``, unreadable images have a row too, of nulls.
+    """
+
+    def decode(raw: bytes, h: int, w: int, n: int) -> np.ndarray:
+        bgr = np.frombuffer(raw, dtype=np.uint8).reshape(h * w, n).astype(np.int32)
+        return bgr[:, min(2, n - 1)] + 256 * bgr[:, min(1, n - 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # an image at a time: decoded label maps take four times the bytes of an image channel
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                flat = decode(one)[0]
-                labels = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([one.column("file"), one.column("height"), one.column("width"), labels], names=["file", "height", "width", "labels"])
+            h, w, n = (batch.column(c).to_numpy() for c in ("height", "width", "n_channels"))
+            good = h >= 0
+            sizes = np.where(good, h.astype(np.int64) * w, 0)
+            # decoded label maps take four times the bytes of an image channel
+            for lo, hi in _runs(sizes.tolist()):
+                flat = [decode(batch.column("data")[i].as_py(), h[i], w[i], n[i]) for i in range(lo, hi) if good[i]]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[lo:hi])]).astype(np.int32), mask=np.append(~good[lo:hi], False))
+                labels = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+                shape = [pa.array(x[lo:hi], mask=~good[lo:hi]) for x in (h, w)]
+                yield pa.RecordBatch.from_arrays([batch.column("file").slice(lo, hi - lo), *shape, labels], names=["file", "height", "width", "labels"])
 
-    return images.where(F.col("height") >= 0).mapInArrow(run, "file string, height int, width int, labels array<int>")
+    kept = images if every else images.where(F.col("height") >= 0)
+    return kept.mapInArrow(run, "file string, height int, width int, labels array<int>")
 
 
 def input_arrays(images: DataFrame, height: int, width: int, key: str = "file", bgr_mean: list[float] | None = None) -> DataFrame:
     """Images as network input ``(key, values array<double>)``: 3 × height × width, row-major.
 
     Decoded, resized bilinearly (to bytes, as image files hold them), and normalised in one
-    pass, an image at a time; grey images fill all three channels. Unreadable images have no row.
+    pass, a bounded number at a time; grey images fill all three channels. Unreadable images have no row.
     """
     from unitscope.operators.images import BGR_MEAN, INPUT_SCALE
     from unitscope.operators.maps import resize
 
     mean = np.array(list(reversed(bgr_mean or BGR_MEAN)))[:, None, None]
 
+    def array(raw: bytes, h: int, w: int, n: int) -> np.ndarray:
+        bgr = np.frombuffer(raw, dtype=np.uint8).reshape(h, w, n)
+        rgb = np.stack([bgr[..., min(c, n - 1)] for c in (2, 1, 0)]).astype(np.float64)
+        if (h, w) != (height, width):
+            rgb = np.clip(np.floor(np.round(resize(rgb, height, width), 9) + 0.5), 0, 255)
+        return ((rgb - mean) / INPUT_SCALE).ravel()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw, h, w, n = (batch.column(c)[i].as_py() for c in ("data", "height", "width", "n_channels"))
-                bgr = np.frombuffer(raw, dtype=np.uint8).reshape(h, w, n)
-                rgb = np.stack([bgr[..., min(c, n - 1)] for c in (2, 1, 0)]).astype(np.float64)
-                if (h, w) != (height, width):
-                    rgb = np.clip(np.floor(np.round(resize(rgb, height, width), 9) + 0.5), 0, 255)
-                flat = ((rgb - mean) / INPUT_SCALE).ravel()
-                values = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(i, 1), values], names=[key, "values"])
+            for lo, hi in _runs([3 * height * width] * batch.num_rows):
+                flat = [array(*(batch.column(c)[i].as_py() for c in ("data", "height", "width", "n_channels"))) for i in range(lo, hi)]
+                ends = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (3 * height * width))
+                values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(flat)))
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), values], names=[key, "values"])
 
     kind = T.StructType([images.schema[key], T.StructField("values", T.ArrayType(T.DoubleType()))])
     return images.where(F.col("height") >= 0).select(key, "height", "width", "n_channels", "data").mapInArrow(run, kind)

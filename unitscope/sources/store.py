@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from unitscope.session import scratch
+
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end."""
@@ -34,14 +36,21 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def compute_in_ranges(
-    images: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, size: int = 4096, jobs: int = 8
+    images: DataFrame,
+    compute: Callable[[DataFrame], DataFrame],
+    path: str,
+    size: int = 4096,
+    jobs: int = 8,
+    fetch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``compute`` over ``images`` (with a long ``img``), stored by ranges of ``size`` image numbers.
 
     A manifest lists the finished ranges with the number of images each was made from. A run
     leaves those alone and computes only what is missing, or has other images by number now,
     in at most ``jobs`` jobs; what an interrupted job has left behind is overwritten and never
-    read. ``compute`` maps images to rows with the same ``img``.
+    read. ``compute`` maps images to rows with the same ``img``. What is dear to read by ranges is
+    added by ``fetch``, to all missing images at once: several jobs then take their ranges from a
+    copy in the scratch folder.
     """
     spark = images.sparkSession
     made, manifest = f"{path}/ranges", f"{path}/manifest"
@@ -57,12 +66,19 @@ def compute_in_ranges(
     run = (finished().agg(F.max("_run")).first()[0] or 0) + 1
     missing = wanted.join(latest, ["_range", "_images"], "left_anti").orderBy("_range").collect()
     step = max(1, -(-len(missing) // jobs))
+    whole = images.where(part.isin([r["_range"] for r in missing]))
+    whole = (fetch(whole) if fetch else whole).withColumn("_range", part)
+    if fetch and len(missing) > step:
+        held = scratch(spark, "fetched")
+        whole.write.partitionBy("_range").parquet(held)
+        whole = spark.read.schema(whole.schema).parquet(held)
     for at in range(0, len(missing), step):
         now = missing[at : at + step]
-        rows = compute(images.where(part.isin([r["_range"] for r in now]))).withColumn("_range", part)
+        rows = compute(whole.where(F.col("_range").isin([r["_range"] for r in now])).drop("_range")).withColumn("_range", part)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_range").parquet(made)
         spark.createDataFrame([(*r, run) for r in now], listed).coalesce(1).write.mode("append").parquet(manifest)
-    kind = compute(images.limit(0)).schema
+    none = images.limit(0)
+    kind = compute(fetch(none) if fetch else none).schema
     if not exists(spark, made):
         return spark.createDataFrame([], kind)
     read = spark.read.schema(T.StructType([*kind.fields, T.StructField("_range", T.LongType())])).parquet(made)
