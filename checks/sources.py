@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks import query
 from unitscope.operators import resample
-from unitscope.operators.layout import bounded
+from unitscope.operators.layout import bounded, spread
 from unitscope.session import scratch
 from unitscope.sources import arrays, dataset
 from unitscope.sources import images as image_files
@@ -457,7 +457,7 @@ def _dataset(spark, sf) -> str:
     maps = fx.channels(spark, sf).withColumn("file", F.concat(F.lit("m"), F.col("img") % 7, F.lit("/"), img, F.lit("_"), F.col("channel"), F.lit(".png")))
     rgb = F.flatten(F.transform("labels", lambda x: F.array(x % 256, F.floor(x / 256).cast("int"), F.lit(0))))
     side = F.lit(fx.GRID)
-    image_files.write_png(maps.select("file", side.alias("height"), side.alias("width"), rgb.alias("rgb")), f"{path}/images")
+    image_files.write_png(spread(maps, "file").select("file", side.alias("height"), side.alias("width"), rgb.alias("rgb")), f"{path}/images")
     # two label maps an image
     listed = maps.groupBy("img").agg(F.array_join(F.array_sort(F.collect_list("file")), ";").alias("object"))
     index = fx.images(spark, sf).join(listed, "img").join(fx.scalars(spark, sf).select("img", F.col("label").alias("scene")), "img", "left")

@@ -76,6 +76,27 @@ def test_what_cannot_be_read_is_listed(data):
     }
 
 
+def test_label_maps_are_read_once(spark, folder, data):
+    """A scan for the label maps and none for what is missing; unreadable ones have rows of nulls."""
+    stored = files.read_images(spark, f"{folder[0]}/images", "*.png")
+    out = {r["file"]: (r["height"], r["width"], r["labels"]) for r in files.label_maps(stored, every=True).collect()}
+    want = {f: (*g.shape, g.ravel().tolist()) for f, g in folder[1].items()} | {"m/broken.png": (None, None, None)}
+    assert out == want
+    assert {r["file"] for r in files.label_maps(stored).collect()} == set(want) - {"m/broken.png"}
+
+
+def test_one_scan_meets_label_maps_and_index(spark, folder, monkeypatch):
+    scans, cut = [], dataset.cut
+
+    def counted(df):
+        scans.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan image"))
+        return cut(df)
+
+    monkeypatch.setattr(dataset, "cut", counted)
+    dataset.open_dataset(spark, str(folder[0]), ["object", "scene"])
+    assert sum(scans) == 1
+
+
 def test_all_categories_and_primary_ones(spark, folder, data):
     both = dataset.open_dataset(spark, str(folder[0]), ["object", "scene"], require_all=True)
     assert [r["image"] for r in both.images.orderBy("img").collect()] == ["c.jpg", "gone.jpg"]

@@ -132,7 +132,8 @@ def _segmentations(spark: SparkSession, kept: DataFrame, shown: list[str], folde
     )
     asked = items.where(F.col("path").isNotNull())
     stored = files.read_images(spark, folder, pattern)
-    decoded = stored.select("file", F.lit(True).alias("_there")).join(files.label_maps(stored), "file", "left")
+    # every file is opened once
+    decoded = files.label_maps(stored, every=True).withColumn("_there", F.lit(True))
     met = cut(asked.join(decoded, asked["path"] == decoded["file"], "left"))
     fits = (F.col("height") == F.col("sh")) & (F.col("width") == F.col("sw"))
     good = F.coalesce(fits, F.lit(False))
