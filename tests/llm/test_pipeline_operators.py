@@ -224,3 +224,21 @@ def test_empty_tables(documents):
     assert lines.dedup_lines(none).count() == 0
     assert mixing.mixed(none).count() == 0
     assert packing.pack(none).count() == 0
+
+
+def test_words_with_marks_share_their_stems():
+    """Marks in runs behind a letter are encoded by themselves; words stay known from task to task."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode = packing.encoder(path)
+    assert encode is packing.encoder(path)
+    words = ["größ", "größ!!?", "ciónezar!!", "scum***", "x$$$.", "don't!", "foo'.", "İ.", "i̇.", "é;", "12%", "a1%", "~!!", "a~!", "!!", "<|endoftext|>.", "a<|endoftext|>$$", "ª.", "µ,", "…!", "ō!!"]
+    tokenizer = Tokenizer.from_file(path)
+    for text in [*words, " ".join(words), " ".join(reversed(words)), "größ!!? größ#& größ"]:
+        assert encode([text])[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END], text
+    assert "größ" in encode.known and {"!!?", "#&"} <= set(encode.ends)
+    fresh = packing.Encoder(path)
+    fresh(["Ünßelt!!?"])
+    assert "ünßelt" in fresh.known

@@ -36,7 +36,7 @@ END = 2
 _END = np.array([END], dtype="<u4").tobytes()
 GROUP_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -50,8 +50,8 @@ class Encoder:
     """
 
     MARK = "~"
-    #: Marks that are tokens of their own behind a letter.
-    ENDS = frozenset(".,;:!?")
+    #: Marks that, in runs at the end of a word, are encoded by themselves behind a letter.
+    ENDS = ".,;:!?$#*%&"
 
     def __init__(self, path: str) -> None:
         # Spark keeps the cores busy; threads in each task cost time and memory
@@ -62,7 +62,7 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         (self.mark,) = self._ids(self.MARK)
-        self.ends = {e: self._bytes(e) for e in self.ENDS}
+        self.ends: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -71,17 +71,26 @@ class Encoder:
         return np.array(self._ids(text), dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        known, old = self.known, self.old
-        new = []
+        known, old, ends = self.known, self.old, self.ends
+        split = []
+        stems = set()
         for w in words:
             if w in old:
                 known[w] = old[w]
-            else:
-                new.append(w)
-        split = {w: w[:-1] for w in new if w[-1] in self.ENDS and w[-2:-1].isascii() and w[-2:-1].isalpha()}
-        stems = [w for w in {split.get(w, w) for w in new} if w not in known]
+                continue
+            stem = w.rstrip(self.ENDS)
+            # letters beyond these may be lowered to a letter and a mark
+            if len(stem) == len(w) or not stem or stem[-1] > "\xff" or not stem[-1].isalpha():
+                stems.add(w)
+                continue
+            split.append((w, stem))
+            if stem not in known:
+                if stem in old:
+                    known[stem] = old[stem]
+                else:
+                    stems.add(stem)
         odd = [w for w in stems if self.MARK in w]
-        plain = [w for w in stems if self.MARK not in w]
+        plain = list(stems.difference(odd)) if odd else list(stems)
         for w in odd:
             known[w] = self._bytes(w)
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
@@ -89,14 +98,21 @@ class Encoder:
         made = self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
         for group, encoding in zip(groups, made):
             ids = np.array(encoding.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark)
+            cuts = 4 * np.flatnonzero(ids == self.mark)
             if len(cuts) != len(group) - 1:
                 raise ValueError("the tokenizer does not keep words apart")
             raw = ids.tobytes()
-            for w, lo, hi in zip(group, [0, *(cuts + 1)], [*cuts, len(ids)]):
-                known[w] = raw[4 * lo : 4 * hi]
-        for w, stem in split.items():
-            known[w] = known[stem] + self.ends[w[-1]]
+            lo = 0
+            for w, hi in zip(group, [*cuts.tolist(), len(raw)]):
+                known[w] = raw[lo:hi]
+                lo = hi + 4
+        for w, stem in split:
+            end = w[len(stem) :]
+            if end not in ends:
+                if len(ends) >= 10_000:
+                    ends.clear()
+                ends[end] = self._bytes(end)
+            known[w] = known[stem] + ends[end]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text and the end token."""
@@ -121,6 +137,17 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, words)) + _END, dtype="<u4") for words in parts]
 
 
+#: The last encoder of a worker process, which is used for many tasks: words stay known between them.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
@@ -238,7 +265,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(path), Packer(length)
+        encode, packer = encoder(path), Packer(length)
         base = TaskContext.get().partitionId() << 40
         ids: list[np.ndarray] = []
         names: list[int | None] = []
