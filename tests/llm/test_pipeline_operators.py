@@ -3,6 +3,7 @@
 import uuid
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 from unitscope.llm import lines, mixing, near_dup, packing, private, quality
+from unitscope.session import checkpoint_dir
 
 
 def pairs(documents):
@@ -68,6 +70,18 @@ def test_lines_of_a_large_group(spark):
     assert {(r["doc_id"], r["pos"]) for r in lines.later_lines(frame).collect()} == brute.later_lines(docs)
 
 
+def test_lines_leave_no_tables(spark):
+    """Tables of the steps are gone when the marks are there, which do not need them."""
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = [(i, f"{text} e{i}\n{' '.join(f'd{i}_{k}' for k in range(9))}") for i in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    files = lambda: {*Path(checkpoint_dir(spark).removeprefix("file:")).glob("unitscope/*/**/*.parquet")}
+    before = files()
+    marks = lines.later_lines(frame)
+    assert files() == before
+    assert {(r["doc_id"], r["pos"]) for r in marks.collect()} == brute.later_lines(docs)
+
+
 def test_short_lines(spark):
     rows = [(1, "All rights reserved.\na\n\none two three four five"), (2, "a b\nALL  rights reserved.\n \nA\none two three four"), (3, "a b\nab\n\nall rights")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
