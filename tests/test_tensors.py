@@ -273,6 +273,21 @@ def test_product_of_many_pairs_shuffles_no_sums(spark, monkeypatch):
         assert "Exchange" not in after.split("== Physical Plan ==")[-1]
 
 
+@pytest.mark.parametrize("heavy", [0, 20, 10**6])
+def test_operands_of_a_striped_product_are_packed(spark, monkeypatch, heavy):
+    """Operands find their stripes without a join of their cells, whatever the weight of an inner index."""
+    cells = [(-1, -1, i if i else None, k, float(i - k) if i - k else None) for i in range(40) for k in range(4) if k or i < 15]
+    left = spark.createDataFrame(cells, schema.MATRIX)
+    right = left.select("id_1", "id_2", F.col("id_4").alias("id_3"), F.col("id_3").alias("id_4"), "value")
+    for name, value in {"HEAVY_CELLS": heavy, "STRIPE_PAIRS": 300, "STRIPE_CELLS": 50}.items():
+        monkeypatch.setattr(algebra, name, value)
+    product = algebra.multiply_tiled(left, right, 8)
+    assert "Join" not in product._jdf.queryExecution().toString()
+    found = [(r["id_3"], r["id_4"], r["value"]) for r in product.collect()]
+    want = _product_of([c[2:] for c in cells], [(k, i, v) for _, _, i, k, v in cells])
+    assert len(found) == len(want) and {(i, j): v for i, j, v in found} == want
+
+
 def test_products_keep_infinities_apart(spark, monkeypatch):
     monkeypatch.setattr(algebra, "JOINED_PAIRS", 0)
     left = spark.createDataFrame([(-1, -1, 0, 0, float("inf")), (-1, -1, 1, 0, 1.0), (-1, -1, 1, 1, 2.0)], schema.MATRIX)
