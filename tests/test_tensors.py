@@ -288,6 +288,18 @@ def test_operands_of_a_striped_product_are_packed(spark, monkeypatch, heavy):
     assert len(found) == len(want) and {(i, j): v for i, j, v in found} == want
 
 
+def test_copies_of_operands_are_bounded(spark, monkeypatch):
+    """Tasks follow from pairs only as far as the operands need not be sent too often."""
+    cells = [(-1, -1, i, k, float(i + k)) for i in range(40) for k in range(3)]
+    left = spark.createDataFrame(cells, schema.MATRIX)
+    right = left.select("id_1", "id_2", F.col("id_4").alias("id_3"), F.col("id_3").alias("id_4"), "value")
+    for name, value in {"STRIPE_PAIRS": 1, "SENT_CELLS": 0}.items():
+        monkeypatch.setattr(algebra, name, value, raising=False)
+    product = algebra.multiply_tiled(left, right, 8)
+    assert product.rdd.getNumPartitions() <= 64  # of 4,800 pairs
+    assert product.count() == 1600
+
+
 def test_products_keep_infinities_apart(spark, monkeypatch):
     monkeypatch.setattr(algebra, "JOINED_PAIRS", 0)
     left = spark.createDataFrame([(-1, -1, 0, 0, float("inf")), (-1, -1, 1, 0, 1.0), (-1, -1, 1, 1, 2.0)], schema.MATRIX)
