@@ -1,12 +1,14 @@
 """Graphs against plain Python on small inputs."""
 
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from unitscope.operators import graph
+from unitscope.session import checkpoint_dir
 
 
 def _edge_dict(edges):
@@ -183,3 +185,16 @@ def test_nations_are_whole_communities(spark, tmp_path):
     found = {(r.unit, r.community) for r in QUERIES["k6_communities_of_nations"](spark, str(tmp_path)).collect()}
     assert found == {(i, 0) for i in range(12)} | {(i, 12) for i in range(12, 15)}
     assert "// 8" not in SQL["k6_communities_of_nations"]
+
+
+def test_cliques_leave_their_edges_and_lists(spark):
+    """Of the tables that edges pass through on their way to triangles, the last two stay."""
+    edges = spark.createDataFrame([(i, j, 1) for i in range(8) for j in range(i + 1, 8) if (i + j) % 3], "src long, dst long, weight long")
+    tables = lambda: {f.parent for f in Path(checkpoint_dir(spark).removeprefix("file:")).glob("unitscope/*/**/*.parquet")}
+    before = tables()
+    found = graph.cliques(edges, 3)
+    assert len(tables() - before) == 2
+    ends = {(i, j) for i, j, _ in edges.collect()}
+    assert {tuple(r) for r in found.collect()} == {
+        (i, j, k) for i, j in ends for k in range(j + 1, 8) if {(i, k), (j, k)} <= ends
+    }
