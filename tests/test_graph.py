@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitscope.operators import graph
+from unitscope.operators.links import turns
 from unitscope.session import checkpoint_dir
 
 
@@ -198,3 +199,29 @@ def test_cliques_leave_their_edges_and_lists(spark):
     assert {tuple(r) for r in found.collect()} == {
         (i, j, k) for i, j in ends for k in range(j + 1, 8) if {(i, k), (j, k)} <= ends
     }
+
+
+def test_held_and_joined_communities_agree(spark, monkeypatch):
+    """Packed links of whole nodes give what joins of links give: loops, repeated and turned edges, long and negative ids."""
+    rng = np.random.default_rng(7)
+    ids = np.concatenate([rng.integers(-(10**15), 10**15, 30), [0, 1]])
+    rows = [(int(ids[a]), int(ids[b]), float(w)) for a, b, w in rng.integers(0, [32, 32, 5], (160, 3))]
+    rows += [(int(ids[a]), int(ids[b]), 4.0) for g in range(0, 30, 6) for a, b in combinations(range(g, g + 6), 2)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    joined = lambda: {(r["unit"], r["community"]) for r in graph.multilevel_communities(edges).collect()}
+    held = graph._held_communities(edges)
+    assert "Join" not in held._jdf.queryExecution().toString()
+    got = {(r["unit"], r["community"]) for r in held.collect()}
+    monkeypatch.setattr(graph, "HELD_NODES", 0)
+    assert got == joined()
+    monkeypatch.setattr(graph, "HELD_NODES", 100)
+    monkeypatch.setattr(graph, "HELD_LINKS", 50)
+    assert got == joined()
+
+
+def test_turns_are_those_of_spark(spark):
+    nodes = [0, 1, -5, 10**17, 360_000]
+    frame = spark.createDataFrame([(n,) for n in nodes], "node long")
+    for step in (0, 3, 40):
+        want = [r[0] for r in frame.select(F.xxhash64("node", F.lit(step))).collect()]
+        assert turns(np.array(nodes), step).tolist() == want
